@@ -1,0 +1,415 @@
+"""Each operator against a brute-force version, an exact round trip or held-out accuracy, and the odd cases:
+nulls, empty and very long texts, ties, repeated rows, empty tables, extra columns with clashing names."""
+
+import base64
+import hashlib
+import itertools
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from attestra.llm import byte_bpe, chat_fsm, chunk_dedup, common, decontaminate, ecoc_langid, ngram_join, pu_quality, url_cascade, warc_store, wavelet
+from attestra.llm.queries import RULES
+
+DOCS = "doc_id long, text string, id string, key long, part int, n string, words string"
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def docs(spark, rows):
+    return spark.createDataFrame([(i, t, "x", 1, 2, "y", "z") for i, t in rows], DOCS).repartition(3)
+
+
+def prose(n, seed, vocabulary=400):
+    r = random.Random(seed)
+    return " ".join("".join(r.choice("aeioubcdfgl") for _ in range(1 + v % 7)) + str(v) for v in (r.randrange(vocabulary) for _ in range(n)))
+
+
+ODD = [(1, None), (2, ""), (3, " \n\t "), (4, "a"), (5, "A"), (5, "A"), (None, "Some text here"), (6, "some TEXT here"), (7, "É b"), (8, "é b"), (9, prose(9000, 1)), (10, prose(9000, 1).upper())]
+
+
+# -- n-gram join
+
+
+def sets_of(text, k):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
+
+
+def classes(rows, k, percent):
+    parent = list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    sets = [sets_of(t, k) for _, t in rows]
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        a, b = sets[i], sets[j]
+        if a and b and 100 * len(a & b) >= percent * len(a | b):
+            parent[find(i)] = find(j)
+    big = 1 << 62
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        r = find(i)
+        least[r] = min(least.get(r, big), big if d is None else d)
+    return sorted(((d, len(s), None if least[find(i)] == big else least[find(i)]) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True))), key=str)
+
+
+def near_rows():
+    r = random.Random(5)
+    rows = list(ODD)
+    for g in range(12):
+        base = prose(r.choice([8, 12, 30, 60, 150]), 100 + g).split()
+        for c in range(r.choice([1, 3, 25])):
+            w = list(base)
+            for _ in range(r.choice([0, 0, 1, 1, 2, 4])):
+                w[r.randrange(len(w))] = r.choice(["new", "word", f"u{r.randrange(99)}"])
+            if r.random() < 0.3:
+                w = w[: -1 - r.randrange(2)]
+            rows.append((1000 + 100 * g + c, (" " if c % 2 else "\n").join(w)))
+    common_line = prose(40, 77)
+    rows += [(5000 + i, common_line + " " + prose(r.choice([3, 10, 60]), 900 + i)) for i in range(40)]
+    return rows
+
+
+@pytest.mark.parametrize("k,percent", [(3, 90), (5, 80), (1, 50), (2, 100)])
+def test_near_duplicates(spark, k, percent):
+    rows = near_rows()
+    got = ngram_join.near_duplicates(docs(spark, rows), k, percent).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == classes(rows, k, percent)
+
+
+def test_near_duplicates_chain(spark):
+    """Links that no star finds: each text is similar only to its neighbours."""
+    w = prose(200, 3, 10**6).split()
+    rows = [(i, " ".join(w[2 * i : 2 * i + 60])) for i in range(50)]
+    got = ngram_join.near_duplicates(docs(spark, rows), 3, 90)
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()), key=str) == classes(rows, 3, 90)
+
+
+def test_near_duplicates_empty(spark):
+    assert ngram_join.near_duplicates(docs(spark, [])).collect() == []
+
+
+def test_components(spark):
+    nodes = spark.range(1, 41).withColumnRenamed("id", "node")
+    links = spark.createDataFrame([(i, i + 1) for i in range(1, 30)] + [(40, 35), (35, 33)], "a long, b long")
+    got = {r["node"]: r["comp"] for r in common.components(nodes, links, "t").collect()}
+    assert got == {i: 1 if i <= 30 else 33 if i in (33, 35, 40) else i for i in range(1, 41)}
+
+
+# -- WARC
+
+
+def test_warc_round_trip(spark):
+    rows = [(1, "http://a/", "same"), (2, None, "same"), (3, "http://b/\r\nX: y", "same"), (4, "u", None), (5, "u", ""), (6, "u", "é" * 100_000), (6, "u", "é" * 100_000), (7, "u", "other"), (None, "u", "other")]
+    pages = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, html string, digest string, owner string").repartition(3)
+    archive = warc_store.write_archive(pages)
+    assert archive.payloads(spark).count() == 4
+    got = warc_store.reconstruct(archive, spark).collect()
+    assert len(got) == len(rows) and all(r["intact"] for r in got)
+    by = {}
+    for i, _, h in rows:
+        by.setdefault((h or "").encode(), []).append(i)
+    owner = {k: max((x for x in v if x is not None), default=None) for k, v in by.items()}
+    want = sorted([(i, (h or "").encode(), "response" if owner[(h or "").encode()] == i else "revisit", None if owner[(h or "").encode()] == i else owner[(h or "").encode()]) for i, _, h in rows], key=str)
+    assert sorted([(r["id"], bytes(r["payload"]), r["record_type"], r["refers_to"]) for r in got], key=str) == want
+    for r in got:
+        p = bytes(r["payload"])
+        assert r["payload_digest"] == base64.b32encode(hashlib.sha1(p).digest()).decode() and r["payload_bytes"] == len(p)
+        head = bytes(r["header"])
+        assert head.startswith(b"WARC/1.1\r\n") and head.endswith(b"\r\n\r\n") and head.count(b"\r\n\r\n") == 1 and b"\nX: y" not in head
+    whole = {r["id"]: bytes(r["record"]) for r in warc_store.record_bytes(warc_store.reconstruct(archive, spark)).collect()}
+    assert whole[3].split(b"\r\n\r\n", 1)[1] == b"same\r\n\r\n" and whole[1].endswith(b"Content-Length: 0\r\n\r\n\r\n\r\n")
+
+
+def test_warc_least_size_and_empty(spark):
+    schema = "page_id long, url string, html string"
+    archive = warc_store.write_archive(spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abc"), (4, "u", "abc")], schema), min_bytes=3)
+    got = {r["id"]: (r["record_type"], r["refers_to"]) for r in warc_store.reconstruct(archive, spark).collect()}
+    assert got == {1: ("response", None), 2: ("response", None), 3: ("revisit", 4), 4: ("response", None)}
+    assert warc_store.reconstruct(warc_store.write_archive(spark.createDataFrame([], schema)), spark).collect() == []
+
+
+# -- wavelet matrix
+
+
+@pytest.mark.parametrize("n,top", [(0, 1), (1, 1), (3000, 2), (5000, 49408), (513, 7)])
+def test_wavelet_matrix(n, top):
+    ids = np.random.default_rng(n).integers(0, top, n).astype(np.uint16)
+    first, names, counts, m = wavelet.open_shard(wavelet.pack_shard(12, [5, None], np.array([n, 0]), ids))
+    assert (first, names, counts.tolist()) == (12, [5, None], [n, 0])
+    assert m.all().tolist() == ids.tolist()
+    for at in range(0, n, max(1, n // 50)):
+        t = int(ids[at])
+        assert m.access(at) == t
+        where = np.flatnonzero(ids == t)
+        assert m.count(t) == len(where) and m.count(t, at, n) == (where >= at).sum()
+        k = int(np.searchsorted(where, at))
+        assert m.find(t, k) == at and m.find(t, len(where)) == -1
+    assert m.count(1 << 20) == 0
+
+
+def test_wavelet_damage():
+    data = bytearray(wavelet.pack_shard(0, [1], np.array([3]), np.array([1, 2, 3])))
+    data[-10] ^= 1
+    with pytest.raises(ValueError):
+        wavelet.open_shard(bytes(data))
+
+
+@pytest.mark.parametrize("shard", [1 << 22, 50])
+def test_token_files(spark, shard, monkeypatch):
+    monkeypatch.setattr(wavelet, "SHARD_IDS", shard)
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    tok.encode_special_tokens = True
+    rows = [*ODD, (11, "It's <|endoftext|> 1 000 ﬁ   x́ \x1c y 日本語テキスト\r\nZ"), (12, "w" * 5000)]
+    path, starts = wavelet.tokenize_to_files(docs(spark, rows), public_tokenizers.path("word_bpe_49k.json"), 2)
+    got = sorted(((r["start"], r["id"], r["n_tokens"], r["ids_crc32"]) for r in wavelet.read_documents(spark, path, starts).collect()))
+    want, at = [], 0
+    coded = [(i, [*tok.encode(t or "", add_special_tokens=False).ids, 2]) for i, t in rows]
+    for i, ids in sorted(coded, key=lambda x: (x[0] is not None, x[0])):
+        want.append((at, i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert got == want
+    path, starts = wavelet.tokenize_to_files(docs(spark, []), public_tokenizers.path("word_bpe_49k.json"), 2)
+    assert starts == [0]
+
+
+# -- byte-level BPE
+
+
+def plain_encoding():
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+LONG = [
+    "  ".join(prose(30000, 4).split()) + "   \n\n x",
+    "ab" * 3000 + " then 's " + "1" * 4000 + "x" + "!?" * 2500 + " " * 3000 + "end" + "\n" * 2100,
+    "é" * 3000 + "日本" * 1500,
+    "a " * 40000,
+    "word  it's 12ab34 <|endoftext|>",
+]
+
+
+def test_bpe_matches_library(spark):
+    plain = plain_encoding()
+    rows = ODD + [(100 + i, t) for i, t in enumerate(LONG)]
+    got = byte_bpe.encode(docs(spark, rows), RANKS, public_tokenizers.PATTERN).collect()
+    want = sorted([(i, np.array(plain.encode_ordinary(t or ""), "<u4").tobytes(), (t or "").encode()) for i, t in rows], key=str)
+    assert sorted([(r["doc_id"], bytes(r["ids"]), bytes(r["decoded"])) for r in got], key=str) == want
+    assert byte_bpe.token_digests(docs(spark, []), RANKS, public_tokenizers.PATTERN).collect() == []
+    back = byte_bpe.decode(spark.createDataFrame([(1, None), (2, bytearray(b""))], "doc_id long, ids binary"), RANKS, public_tokenizers.PATTERN).collect()
+    assert sorted((r["doc_id"], r["decoded"]) for r in back) == [(1, None), (2, bytearray(b""))]
+
+
+def test_segments_are_whole():
+    _, _, pattern, safe = byte_bpe.encoding(RANKS, public_tokenizers.PATTERN)
+    for t in LONG:
+        parts = list(byte_bpe.segments(t, safe, 100))
+        assert "".join(parts) == t and [m for p in parts for m in pattern.findall(p)] == pattern.findall(t)
+
+
+# -- exact duplicates
+
+
+def test_exact_duplicates(spark):
+    rows = ODD + [(20, "x" * 50_000), (21, "X" * 50_000), (22, "x" * 50_001), (23, prose(9000, 1) + " ")]
+    got = chunk_dedup.exact_duplicates(docs(spark, rows)).collect()
+    low = lambda t: (t or "").translate(str.maketrans(common.UPPER, common.LOWER))
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(low(t), []).append(i)
+    want = []
+    for i, t in rows:
+        g = groups[low(t)]
+        keep = max((x for x in g if x is not None), default=None)
+        want.append((i, keep, len(g), i == keep, hashlib.sha256(low(t).encode()).hexdigest()))
+    assert sorted([(r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in got], key=str) == sorted(want, key=str)
+    assert max(r["n_chunks"] for r in got) > 3
+    assert chunk_dedup.exact_duplicates(docs(spark, [])).collect() == []
+
+
+def test_chunks_concatenate_and_realign(spark):
+    t = prose(5000, 8) + ". " + prose(3000, 9)
+    df = spark.createDataFrame([(t,), ("inserted words. " + t,), ("\n" * 40000,)], "t string").select("t", chunk_dedup.chunks(F.col("t")).alias("c")).collect()
+    assert all("".join(r["c"]) == r["t"] for r in df)
+    assert len(set(df[0]["c"]) & set(df[1]["c"])) >= len(df[0]["c"]) - 3
+
+
+# -- decontamination
+
+
+def brute_contamination(rows, items, window=10):
+    find = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(str.maketrans(common.UPPER, common.LOWER)))
+    out = []
+    for i, t in rows:
+        w, hit, ids = find(t), set(), set()
+        for j, b in items:
+            x = find(b)
+            for s in range(max(1, len(x) - window + 1)) if x else ():
+                g = x[s : s + window]
+                for p in range(len(w) - len(g) + 1):
+                    if w[p : p + len(g)] == g:
+                        hit.update(range(p, p + len(g)))
+                        ids |= {str(j)} if j is not None else set()
+        out.append((i, len(w), len(hit), sorted(ids)))
+    return sorted(out, key=str)
+
+
+def test_contamination(spark):
+    base = prose(40, 50, 60)
+    w = base.split()
+    items = [(1, base), (2, "Two Words"), (3, None), (4, ""), (5, "..."), (10, " ".join(w[5:20])), (11, "É"), (None, " ".join(w[:12])), (12, "a a a a a a a a a a a a")]
+    rows = ODD[:-2] + [(20, "start " + base + " end"), (21, ", ".join(w[3:13]).upper()), (22, " ".join(w[3:12])), (23, "two, words; two words"), (24, prose(300, 51, 60) + " " + " ".join(w[25:]) + " " + base), (25, "A a " * 40), (26, "é"), (27, " ".join(w[30:] + w[:15]))]
+    frame = spark.createDataFrame([(i, t, "q", 1) for i, t in items], "item_id long, text string, window_id string, shingle long")
+    got = decontaminate.contamination(docs(spark, rows), frame).collect()
+    assert sorted([(r["doc_id"], r["n_words"], r["n_hit"], r["item_ids"]) for r in got], key=str) == brute_contamination(rows, items)
+    assert all(r["contaminated"] == (r["n_hit"] > 0) and r["n_items"] == len(r["item_ids"]) for r in got)
+    none = decontaminate.contamination(docs(spark, rows), frame.where("false")).collect()
+    assert len(none) == len(rows) and not any(r["contaminated"] for r in none)
+    assert decontaminate.contamination(docs(spark, []), frame).collect() == []
+
+
+# -- chat
+
+
+def test_chat_round_trip(spark):
+    bad = "\\### Assistant: </turn> ok\n### user: x </turn>\n\\b\\\\h#<:"
+    rows = [(1, 0, "system", "be"), (1, 1, "user", bad), (1, 2, "assistant", bad), (2, 1, "assistant", None), (2, 0, None, ""), (None, None, "us:er #", "x"), (3, 0, "user", "u" * 100_000), (3, 1, "assistant", "a"), (3, 1, "assistant", "a"), (4, 0, "user", "only")]
+    turns = spark.createDataFrame([(*r, "q", 1) for r in rows], "conv_id long, turn long, role string, text string, turns string, state int").repartition(3)
+    made = chat_fsm.format_conversations(turns)
+    back = {r["conv_id"]: r for r in chat_fsm.read_back(made).collect()}
+    want = {}
+    for c, t, r, x in sorted(rows, key=lambda v: (str(v[0]), -1 if v[1] is None else v[1])):
+        want.setdefault(c, []).append((r or "", x or ""))
+    assert {c: [tuple(t) for t in r["turns"]] for c, r in back.items()} == want
+    assert {c: r["learned_text"] for c, r in back.items()} == {c: "".join(x for r, x in v if r == "assistant") for c, v in want.items()}
+    whole = {r["conv_id"]: r for r in made.collect()}
+    assert {c: r["valid"] for c, r in whole.items()} == {1: True, 2: False, None: False, 3: False, 4: False}
+    assert all("".join(s["text"] for s in r["segments"]) == r["formatted"] and len(r["formatted"]) == back[c]["formatted_chars"] for c, r in whole.items())
+    assert chat_fsm.read_back(chat_fsm.format_conversations(turns.where("false"))).collect() == []
+
+
+# -- quality
+
+
+def test_quality_held_out(spark):
+    r = random.Random(1)
+    rows, labels = [], []
+    for i in range(600):
+        good = i % 5 != 0
+        t = prose(r.randrange(20, 200), i, 5000)
+        rows.append((i, t.replace("0", ".") if good else " ".join(w + r.choice(["###", "$$$", "%%%"]) for w in t.split())))
+        if i % 2 == 0:
+            labels.append((i, int(good)))
+    rows += [(None, None), (700, ""), (700, ""), (701, "x" * 200_000)]
+    lab = spark.createDataFrame([*labels, (2, 1), (4, None), (None, 1)], "doc_id long, quality int")
+    got = pu_quality.learn_and_score(docs(spark, rows), lab, lambda i: F.col("id_") % 4 != 2).collect()
+    assert len(got) == len(rows) and all(0 <= x["score"] <= 1 for x in got)
+    held = [(x["score"] >= 0.7) == (x["doc_id"] % 5 != 0) for x in got if x["doc_id"] is not None and x["doc_id"] < 600 and x["doc_id"] % 4 == 2]
+    assert sum(held) / len(held) > 0.95
+    none = pu_quality.learn_and_score(docs(spark, rows[:5]), lab.where("false"), lambda i: F.lit(True)).collect()
+    assert {round(x["score"], 6) for x in none} == {pu_quality.PRIOR}
+    assert pu_quality.learn_and_score(docs(spark, []), lab, lambda i: F.lit(True)).collect() == []
+
+
+# -- language
+
+
+def test_codewords():
+    for k in range(2, 8):
+        c = ecoc_langid.codewords(k)
+        assert c.shape == (k, 2 ** (k - 1) - 1) and all((a != b).sum() >= 2 ** (k - 2) for a, b in itertools.combinations(c, 2))
+    big = ecoc_langid.codewords(30)
+    assert min((a != b).sum() for a, b in itertools.combinations(big, 2)) >= 16
+
+
+def test_language_held_out(spark):
+    kinds = {"en": "the and of with that this from were have".split(), "de": "der und nicht für auch über schön wird eine".split(), "fr": "le une pas été où garçon voilà avec des".split(), "es": "el los niño qué está más una para con".split()}
+    r = random.Random(2)
+    rows = [(i, " ".join(r.choice(w) for _ in range(r.randrange(5, 40))), k) for i, (k, w) in enumerate(list(kinds.items()) * 60)]
+    odd = [(900, None, "en"), (901, "", None), (902, "123 !!", "de"), (903, "THE AND " * 60_000, None), (None, "über nicht", None)]
+    frame = spark.createDataFrame([(*x, "q", 0.0) for x in rows + odd], "doc_id long, text string, lang string, lang_pred string, score double").repartition(3)
+    got = {x["doc_id"]: x for x in ecoc_langid.identify(frame, F.col("doc_id") % 3 != 0).collect()}
+    held = [got[i]["lang_pred"] == k for i, _, k in rows if i % 3 == 0]
+    assert sum(held) / len(held) > 0.98
+    assert [got[i]["lang_pred"] for i in (900, 901, 902, 903, None)] == ["und", "und", "und", "en", "de"] and got[900]["ambiguous"] and got[900]["score"] == 0
+    assert {x["lang_pred"] for x in ecoc_langid.identify(frame.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+    assert ecoc_langid.identify(frame.where("false")).collect() == []
+
+
+# -- urls
+
+
+def brute_judge(url):
+    rest = url.split("://", 1)[1] if url and "://" in url else ""
+    host = re.match(r"[^/?#]*", rest)[0].translate(str.maketrans(common.UPPER, common.LOWER))
+    path = re.match(r"[^?#]*", rest[len(host) :])[0]
+    fits = [r for r in RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+    best = max(fits, key=lambda r: len(r.key), default=None)
+    return host, path, best.key if best else None, best.verdict if best else "allow"
+
+
+def test_urls(spark):
+    urls = [None, "", "example.com/en/1", "http://", "http://example.com/en/7", "http://EXAMPLE.com/en/71?x#y", "http://notexample.com/en/7", "https://a.b.example.net/de/8", "ftp://x.net/de/9", "http://x.org#/es/", "http://x.org/es/?://", "http://com/en/", "http://.com/en/", "http://com./en/", "http://x.com/En/", "http://" + "a." * 300 + "com/en/" + "z" * 9000, "http://é.org/es/", "http://example.com", "http://exa\nmple.com/en/7\n"]
+    pages = spark.createDataFrame([(i, u, "q", "r") for i, u in enumerate([*urls, urls[4]])] + [(None, urls[4], "q", "r")], "page_id long, url string, host string, key string").repartition(3)
+    got = url_cascade.judge(pages, RULES).collect()
+    want = [(i, *brute_judge(u)) for i, u in enumerate([*urls, urls[4]])] + [(None, *brute_judge(urls[4]))]
+    assert sorted([(r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in got], key=str) == sorted(want, key=str)
+    assert {r["verdict"] for r in url_cascade.judge(pages, []).collect()} == {"allow"}
+    assert url_cascade.judge(pages.where("false"), RULES).collect() == []
+
+
+def test_cascade_is_exact(spark):
+    universe = spark.range(20_000).select(F.concat(F.lit("k"), "id").alias("key"))
+    listed = universe.where("crc32(key) % 7 = 0").unionByName(spark.createDataFrame([(None,), ("k3",), ("k3",)], "key string"))
+    cascade = url_cascade.build(listed, universe)
+    assert len(cascade.levels) > 2
+    wrong = universe.where(cascade.contains(F.col("key")) != ((F.crc32("key") % 7 == 0) | (F.col("key") == "k3")))
+    assert wrong.count() == 0
+
+
+# -- pipeline
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    r = random.Random(11)
+    item = prose(30, 600)
+    rows = [(i, prose(r.randrange(30, 120), 700 + i, 3000)) for i in range(40)]
+    rows += [(50 + i, rows[i][1].upper() if i % 2 else rows[i][1]) for i in range(6)]
+    for i in range(8):
+        w = rows[10 + i][1].split()
+        w[r.randrange(len(w))] = "changed"
+        rows.append((70 + i, " ".join(w)))
+    rows += [(90, rows[30][1] + " " + item), (91, " ".join(item.split()[4:14])), (92, " ".join(item.split()[4:13])), (93, None), (94, ""), (95, "12 34"), (96, "Hi")]
+    frame = spark.createDataFrame([(i, t, ["en", "de", None][i % 3], "s", len(t or ""), "q") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, component_id string")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+
+    left = [(i, t) for i, t in rows if t and re.search(r"[^\W\d_]", t)]
+    last = {}
+    for i, t in left:
+        last[t.lower()] = max(i, last.get(t.lower(), i))
+    left = [(i, t) for i, t in left if last[t.lower()] == i]
+    comp = {i: c for i, _, c in classes(left, 5, 80)}
+    left = [(i, t) for i, t in left if comp[i] == i]
+    hit = {i: h for i, _, h, _ in brute_contamination(left, [(1, item)])}
+    left = [(i, t) for i, t in left if not hit[i]]
+    plain = plain_encoding()
+    want = []
+    for i, t in left:
+        ids = plain.encode_ordinary(t)
+        want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()))
+    assert sorted(tuple(x) for x in got) == sorted(want)
+    assert 30 < len(want) < len(rows) - 10
