@@ -23,6 +23,8 @@ BUCKETS = 1 << 14
 ORDERS = (1, 2, 3, 4)
 #: Texts of each language, as a mean, that the classifiers are fitted on.
 TRAIN_PER_LANGUAGE = 250
+#: Columns of the training matrix that the driver holds at once.
+COLUMNS = 1 << 12
 #: Bytes of text worked on at once.
 PIECE = 1 << 18
 #: A text is ambiguous if the two best codewords' losses differ by less than this share of the worst possible difference.
@@ -130,22 +132,34 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_languag
 
     got = arrow_map(picked, run, "lang string, at binary, val binary").limit(2 * per_language * len(languages)).collect()
     got.sort(key=lambda r: (r["lang"], bytes(r["at"]), bytes(r["val"])))
-    x = np.zeros((len(got), len(ORDERS) * BUCKETS), np.float32)
-    for i, r in enumerate(got):
-        x[i, np.frombuffer(r["at"], "<i4")] = np.frombuffer(r["val"], "<f4")
-    y = np.array([languages.index(r["lang"]) for r in got])
+    rows = [(np.frombuffer(r["at"], "<i4"), np.frombuffer(r["val"], "<f4")) for r in got]
+    y = np.array([languages.index(r["lang"]) for r in got], int)
     languages, y = [languages[i] for i in np.unique(y)], np.unique(y, return_inverse=True)[1]
     code = codewords(len(languages))
-    mean = np.array([x[y == k].mean(0) for k in range(len(languages))]).mean(0)
+    share = 1.0 / (len(languages) * np.bincount(y, minlength=1))
+    mean = np.zeros(len(ORDERS) * BUCKETS)
+    for (at, val), k in zip(rows, y, strict=True):
+        mean[at] += val * share[k]
     scale = 1.0 / np.sqrt(mean + 1e-4)
-    xs = (x - mean) * scale
+    weight = np.sqrt(share * len(y))[y][:, None]
+
+    def block(first: int) -> np.ndarray:
+        """Centred and scaled columns from ``first``; the whole matrix never exists."""
+        out = np.zeros((len(rows), COLUMNS))
+        for i, (at, val) in enumerate(rows):
+            lo, hi = np.searchsorted(at, (first, first + COLUMNS))
+            out[i, at[lo:hi] - first] = val[lo:hi]
+        out -= mean[first : first + COLUMNS]
+        out *= scale[first : first + COLUMNS]
+        out *= weight
+        return out
+
     # each language weighs the same: regularised least squares on the bits, solved in the dual
-    weight = np.sqrt((len(y) / len(languages)) / np.bincount(y))[y][:, None]
-    a = xs * weight
-    k = (a @ a.T).astype(np.float64)
+    firsts = range(0, len(mean), COLUMNS)
+    k = sum(a @ a.T for a in map(block, firsts))
     dual = np.linalg.solve(k + np.eye(len(k)) * (0.02 * np.trace(k) / len(k) + 1e-9), weight * code[y])
-    w = (a.T.astype(np.float64) @ dual) * scale[:, None]
-    return Model(languages, code, w.astype(np.float32), -(mean.astype(np.float64) @ w))
+    w = np.concatenate([block(first).T @ dual for first in firsts]) * scale[:, None]
+    return Model(languages, code, w.astype(np.float32), -(mean @ w))
 
 
 def identify(docs: DataFrame, train_on: Column | None = None, text: str = "text", lang: str = "lang", id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
