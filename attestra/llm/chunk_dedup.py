@@ -58,7 +58,8 @@ def exact_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id"
         lists = written(lists.join(bad, ["id", "text_sha256"], "left").select("id", F.concat("recipe", F.coalesce("more", F.array().cast("array<binary>"))).alias("recipe"), "text_sha256"), "recipes")
     # the list itself is compared, not a digest of it
     groups = lists.groupBy("recipe").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    many = groups.where("group_size > 1")
+    # written, so that the join has plain exchanges on both sides and a hot recipe can be split
+    many = written(groups.where("group_size > 1"), "copies")
     out = lists.join(many, "recipe", "left")
     keep = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
     return out.select(
