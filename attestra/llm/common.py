@@ -47,8 +47,8 @@ def free(spark: SparkSession, *tables: DataFrame) -> None:
 
 
 def ascii_lower(text: Column) -> Column:
-    """Lower-case A-Z only. Pure ASCII texts take the fast path."""
-    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+    """Lower-case A-Z only."""
+    return F.translate(text, UPPER, LOWER)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

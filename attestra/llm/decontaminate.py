@@ -10,20 +10,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.common import ascii_lower, small, written
+from attestra.llm.common import LOWER, UPPER, small, written
 
 #: Words of a window, and of a shingle.
 WINDOW, SHINGLE = 10, 3
 #: Windows up to which the index (some 300 bytes each) is broadcast; beyond it the join shuffles.
 BROADCAST_WINDOWS = 100_000
-#: What separates words, before and after A-Z is lower-cased.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What separates words: every ASCII character but letters and digits.
+SEPARATORS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 
 
 def words_of(text: Column) -> Column:
-    """The words of a text: runs of ASCII letters and digits and of all characters beyond ASCII, A-Z lower-cased. Null has none."""
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    """The words of a text: runs of ASCII letters and digits and of all characters beyond ASCII, A-Z lower-cased. Null has none.
+
+    Separators become spaces and the split is at single spaces, which takes an eighth of a regular expression's time.
+    """
+    plain = F.translate(F.coalesce(text, F.lit("")), UPPER + SEPARATORS, LOWER + " " * len(SEPARATORS))
+    return F.array_remove(F.split(plain, " "), "")
 
 
 def _shingle(words: Column, at: Column, m: int) -> Column:
@@ -101,7 +104,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, text:
     named = hits.select("id", "print", "window_id").distinct().join(owners, "window_id").where("item_id is not null").select("id", "print", F.col("item_id").cast("string").alias("item")).groupBy("id", "print").agg(F.array_sort(F.collect_set("item")).alias("item_ids"))
     found = spans.select("id", "print", covered.cast("long").alias("n_hit")).join(named, (spans["id"].eqNullSafe(named["id"])) & (spans["print"].eqNullSafe(named["print"])), "left").select(spans["id"], spans["print"], "n_hit", "item_ids")
     found = written(found, "found")
-    base = rows.select("id", "print", F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(RAW_WORD), F.lit(0))).cast("long").alias("n_words"))
+    base = rows.select("id", "print", F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
     out = base.join(found, (base["id"].eqNullSafe(found["id"])) & (base["print"].eqNullSafe(found["print"])), "left")
     ids = F.coalesce("item_ids", F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
