@@ -90,9 +90,11 @@ def write_archive(pages: DataFrame, path: str | None = None, url: str = "url", b
     with_owner = narrow.join(owners, "digest").withColumn("revisit", ~F.col("id").eqNullSafe(F.col("owner")))
     header = _header(F.col("id"), F.col("uri"), base32(F.col("sha1")), F.col("size"), F.col("owner"), F.col("revisit"))
     with_owner.select("id", header.alias("header"), "digest").write.parquet(f"{path}/records")
-    mine = owners.select(F.col("digest").alias("owned"), "owner")
-    stored = keyed.select("id", "digest", "payload").join(mine, F.col("id").eqNullSafe(F.col("owner")) & (F.col("digest") == F.col("owned"))).select("digest", "owner", "payload")
-    stored.dropDuplicates(["owner", "digest"]).write.parquet(f"{path}/payloads")
+    # one key column for id and digest, so that the rows that the join has put together need not move again
+    at = lambda i, d: F.concat_ws("#", d, F.when(i.isNull(), F.lit("none")).otherwise(F.concat(F.lit("id"), i.cast("string"))))
+    mine = owners.select(at(F.col("owner"), F.col("digest")).alias("at"), "owner")
+    stored = keyed.select(at(F.col("id"), F.col("digest")).alias("at"), "digest", "payload").join(mine, "at")
+    stored.dropDuplicates(["at"]).select("digest", "owner", "payload").write.parquet(f"{path}/payloads")
     return Archive(path)
 
 
