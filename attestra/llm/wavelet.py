@@ -9,10 +9,13 @@ k-th occurrence found, in steps as many as there are planes.
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 import struct
+import sys
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -22,16 +25,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from attestra.llm.common import scratch_dir
+from attestra.llm.common import arrow_map, scratch_dir
 
 #: Fixed values of the format: magic, and bits of a block whose ones are counted.
 MAGIC, BLOCK = b"WVMX0001", 512
 #: Ids of a shard after which it is closed, at the end of a document.
 SHARD_IDS = 1 << 22
-#: Words whose ids a task remembers before it forgets them all.
-MEMO = 400_000
-#: White space that surely ends a piece of any tokenizer that drops it.
+#: Words whose ids a worker remembers. More are encoded where they come; once these are eight times as many
+#: as are remembered, it starts anew, so that what it remembers follows the texts.
+MEMO = 500_000
+#: White space for Python's split that a tokenizer's pattern does not take for such.
+NOT_SPACE = re.compile(r"[\x1c-\x1f]")
 SPACE = re.compile(r"[ \t\r\n]+")
+#: What a word may end with and still be encoded as the word and this.
+ENDS = frozenset(".,;:!?")
 
 
 class WaveletMatrix:
@@ -50,21 +57,22 @@ class WaveletMatrix:
         width = max(1, int(ids.max(initial=0)).bit_length())
         planes, zeros, a = [], [], ids
         for k in range(width - 1, -1, -1):
-            one = (a >> k) & 1 == 1
+            one = (a & a.dtype.type(1 << k)).astype(bool)
             planes.append(np.packbits(one, bitorder="little"))
-            low = a[~one]
+            low = np.compress(~one, a)
             zeros.append(len(low))
-            a = np.concatenate([low, a[one]])
+            a = np.concatenate([low, np.compress(one, a)])
         return cls(len(ids), planes, zeros)
 
     def all(self) -> np.ndarray:
         """Every id in order, by undoing the planes from the last."""
-        cur = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if len(self.bits) <= 16 else np.uint32
+        cur = np.zeros(self.n, kind)
         for k, (p, z) in enumerate(zip(reversed(self.bits), reversed(self.zeros), strict=True)):
             one = np.unpackbits(p, count=self.n, bitorder="little").view(bool)
             out = np.empty_like(cur)
-            out[~one] = cur[:z]
-            out[one] = cur[z:] | np.uint32(1 << k)
+            out[np.flatnonzero(~one)] = cur[:z]
+            out[np.flatnonzero(one)] = cur[z:] | kind(1 << k)
             cur = out
         return cur
 
@@ -168,34 +176,76 @@ def _tokenizer(name: str, path: str) -> Tokenizer:
     return t
 
 
+class _Words(dict):
+    """The ids of single words as bytes, found when first asked for and remembered for the life of the worker."""
+
+    def __init__(self, tokenizer: Tokenizer, kind: str):
+        super().__init__()
+        self.tokenizer, self.kind, self.passed = tokenizer, kind, 0
+        self.tokenize, self.code = tokenizer.model.tokenize, "H" if kind == "<u2" else "I"
+        config = json.loads(tokenizer.to_str())
+        steps = [x["type"] for x in [config["normalizer"], *(config["normalizer"] or {}).get("normalizers", [])] if x]
+        #: A word of letters below U+0130 is one piece here, and its lower case is its normal form: the model can have it at once.
+        self.direct = "Lowercase" in steps and "ByteLevel" in json.dumps(config["pre_tokenizer"]) and config["model"]["type"] == "BPE"
+
+    def __missing__(self, word: str) -> bytes:
+        got = None
+        if self.direct:
+            core, end = (word[:-1], word[-1]) if word[-1] in ENDS and len(word) > 1 else (word, "")
+            if core.isalpha() and (core.isascii() or max(core) < "\u0130"):
+                core = core.lower()
+                if core == word or (got := self.get(core)) is None:
+                    got = self._ids([t.id for t in self.tokenize(core if core.isascii() else core.encode().decode("latin-1").translate(_BYTE_LETTERS))])
+                if end:
+                    got += self[end]
+        if got is None:
+            got = self._ids(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        if len(self) < MEMO:
+            self[word] = got
+        else:
+            self.passed += 1
+            if self.passed > 8 * MEMO:
+                self.clear()
+                self.passed = 0
+        return got
+
+    def _ids(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes() if sys.byteorder == "little" else np.array(ids, self.kind).tobytes()
+
+
+#: The letters that byte-level vocabularies write bytes with: printable bytes stand for themselves, the others follow from U+0100.
+_BYTE_LETTERS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
+
+
+@functools.lru_cache(maxsize=2)
+def _words(name: str, path: str, kind: str) -> _Words:
+    return _Words(_tokenizer(name, path), kind)
+
+
 def encode(docs: DataFrame, tokenizer_path: str, end_id: int, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``(id, ids binary)`` per row: little-endian ids of the whole text, in as few bytes as hold the vocabulary, then ``end_id``.
+    """``(id, ids binary, width)`` per row: little-endian ids of the whole text, ``width`` bytes each, then ``end_id``.
 
-    The tokenizer must drop white space and split at it. Each distinct run of other characters is then
-    encoded once by the library, and remembered; a text is the concatenation of its runs.
+    The tokenizer must lower-case, drop white space and split at it and between letters and marks. Each
+    distinct run of other characters is then encoded by the library once and remembered; a text is the
+    concatenation of its runs.
     """
     name = tokenizer_path.rsplit("/", 1)[-1]
     docs.sparkSession.sparkContext.addFile(tokenizer_path)
-    kind = np.dtype("<u2" if Tokenizer.from_file(tokenizer_path).get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else "<u4")
-
-    def run(batches):
-        memo: dict[str, np.ndarray] = {"": np.zeros(0, kind)}
-        end = np.array([end_id], kind)
-        for b in batches:
-            tok = _tokenizer(name, tokenizer_path)
-            texts = b.column(1).to_pylist()
-            out = []
-            for at in range(0, len(texts), 256):
-                split = [SPACE.split(t or "") for t in texts[at : at + 256]]
-                if len(memo) > MEMO:
-                    memo = {"": np.zeros(0, kind)}
-                new = list({w for s in split for w in s if w not in memo})
-                memo.update((w, np.array(e.ids, kind)) for w, e in zip(new, tok.encode_batch(new, add_special_tokens=False), strict=True))
-                out += [np.concatenate([*map(memo.__getitem__, s), end]).tobytes() for s in split]
-            yield pa.record_batch([b.column(0), pa.array(out, pa.binary())], ["id", "ids"])
+    kind = "<u2" if Tokenizer.from_file(tokenizer_path).get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else "<u4"
+
+    def run(b: pa.RecordBatch):
+        words, end = _words(name, tokenizer_path, kind), np.array([end_id], kind).tobytes()
+        texts, out = b.column(1).to_pylist(), []
+        for t in texts:
+            t = t or ""
+            if words.direct and t.isascii():
+                t = t.lower()  # what the tokenizer does to each of these letters; fewer forms to remember
+            split = t.split() if not NOT_SPACE.search(t) else [w for w in SPACE.split(t) if w]
+            out.append(b"".join(map(words.__getitem__, split)) + end)
+        yield pa.record_batch([b.column(0), pa.array(out, pa.binary())], ["id", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "id long, ids binary").withColumn("width", F.lit(kind.itemsize))
+    return arrow_map(rows, run, "id long, ids binary").withColumn("width", F.lit(int(kind[-1])))
 
 
 def write_shards(tokens: DataFrame, cuts: list[int], path: str | None = None) -> tuple[str, DataFrame]:
@@ -218,6 +268,7 @@ def write_shards(tokens: DataFrame, cuts: list[int], path: str | None = None) ->
     dealt = tokens.mapInArrow(place, "id long, ids binary, width int, part int").repartition(len(edges) + 1, "part").sortWithinPartitions("part", F.col("id").asc_nulls_first(), "ids")
 
     def write(batches):
+        _words.cache_clear()  # this worker may have encoded before
         state = {"part": None, "docs": [], "rows": [], "n": 0, "first": 0, "shard": 0}
 
         def close():
@@ -279,6 +330,7 @@ def read_documents(spark, path: str, starts: list[int]) -> DataFrame:
     shared = spark.sparkContext.broadcast(np.array(starts, np.int64))
 
     def run(batches):
+        _words.cache_clear()
         for b in batches:
             for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 first, docs, counts, m = open_shard(data)
