@@ -23,7 +23,7 @@ WORDS, PERCENT = 5, 80
 #: Words whose hashes a task remembers before it forgets them all.
 MEMO = 400_000
 #: Input bytes for each bucket of n-grams, and the least number of buckets.
-BUCKET_BYTES, LEAST_BUCKETS = 8 << 20, 1024
+BUCKET_BYTES, LEAST_BUCKETS = 32 << 20, 256
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -178,10 +178,15 @@ def prefixes(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return counted.groupBy("owner").applyInArrow(choose, "key long, n int, u int, prefix array<long>")
 
 
-def _may_overlap(n1: Column, at1: Column, n2: Column, at2: Column, percent: int) -> Column:
-    """The size bound, and the positional bound at a shared n-gram: before it the sets share at most the shorter head, after it the shorter tail."""
+def _may_overlap(x: str, y: str, percent: int) -> Column:
+    """The size bound, and the positional bound at a shared n-gram, for rows with n, u and at (the place, less the u before it).
+
+    Before it two sets share at most the shorter head, without the n-grams that only one set has; after
+    it the shorter tail.
+    """
+    n1, u1, at1, n2, u2, at2 = (F.col(f"{t}.{c}") for t in (x, y) for c in ("n", "u", "at"))
     sizes = 100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)
-    reach = F.least(at1, at2) + 1 + F.least(n1 - at1 - 1, n2 - at2 - 1)
+    reach = F.least(at1, at2) + 1 + F.least(n1 - u1 - at1 - 1, n2 - u2 - at2 - 1)
     return sizes & ((100 + percent) * reach >= percent * (n1 + n2))
 
 
@@ -200,7 +205,7 @@ def similar_sets(docs: DataFrame, keys: DataFrame, words: int, percent: int) ->
     # a group is named by its smallest member; its prefix is the same for all of them
     firsts = named.groupBy("name", (F.col("u") == 0).alias("shared")).agg(F.min("key").alias("gid"))
     members = written(named.select("key", "n", "u", "prefix", "name", (F.col("u") == 0).alias("shared")).join(firsts, ["name", "shared"]).select("key", "gid", "n", "u", "prefix"), "members")
-    index = members.where("key = gid").select("gid", "n", "u", F.posexplode("prefix").alias("at", "gram")).withColumn("at", F.col("at") + F.col("u"))
+    index = members.where("key = gid").select("gid", "n", "u", F.posexplode("prefix").alias("at", "gram"))
     busy = index.groupBy("gram").agg(F.count(F.lit(1)).alias("entries")).where("entries > 1").select("gram")
     index = written(index.join(busy, "gram", "left_semi"), "index")
     groups = members.groupBy("gid").agg(F.count(F.lit(1)).alias("size"))
@@ -210,8 +215,8 @@ def similar_sets(docs: DataFrame, keys: DataFrame, words: int, percent: int) ->
 
     band = F.floor(F.log(F.col("n")) / -math.log(percent / 100)) if percent < 100 else F.col("n")
     banded = index.withColumn("band", band)
-    pivots = written(banded.groupBy("gram", "band").agg(F.min(F.struct((F.col("u") / F.col("n")).alias("far"), F.col("gid").alias("gid"), F.col("n").alias("n"), F.col("at").alias("at"))).alias("p")), "pivots")
-    star = banded.join(pivots, ["gram", "band"]).where((F.col("gid") != F.col("p.gid")) & _may_overlap(F.col("n"), F.col("at"), F.col("p.n"), F.col("p.at"), percent)).select(F.col("p.gid").alias("a"), F.col("gid").alias("b"))
+    pivots = written(banded.groupBy("gram", "band").agg(F.min(F.struct((F.col("u") / F.col("n")).alias("far"), F.col("gid").alias("gid"), F.col("n").alias("n"), F.col("u").alias("u"), F.col("at").alias("at"))).alias("p")), "pivots")
+    star = banded.alias("x").join(pivots, ["gram", "band"]).where((F.col("gid") != F.col("p.gid")) & _may_overlap("x", "p", percent)).select(F.col("p.gid").alias("a"), F.col("gid").alias("b"))
     inner = wanted.where("key <> gid").select(F.col("gid").alias("a"), F.col("key").alias("b"))
     links = written(_verified(star.distinct().unionByName(inner), sets, percent), "links")
     comps = components(wanted.select(F.col("key").alias("node")), links, "comps")
@@ -221,11 +226,14 @@ def similar_sets(docs: DataFrame, keys: DataFrame, words: int, percent: int) ->
     spread = written(spread, "spread")
     full = index.join(spread, "gid")
     split = full.groupBy("gram").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l <> h").select("gram")
-    rest = written(full.join(split, "gram", "left_semi"), "rest")
+    lists = members.where("key = gid").select("gid", "prefix")
+    rest = written(full.join(split, "gram", "left_semi").join(lists, "gid"), "rest")
     x, y = rest.alias("x"), rest.alias("y")
     apart = ~((F.col("x.low") == F.col("x.high")) & (F.col("y.low") == F.col("y.high")) & (F.col("x.low") == F.col("y.low")))
-    met = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.gid") < F.col("y.gid")) & apart & _may_overlap(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at"), percent))
-    pairs = met.select(F.col("x.gid").alias("g"), F.col("y.gid").alias("h")).distinct()
+    # a pair meets at its first shared n-gram only
+    once = F.element_at(F.array_intersect("x.prefix", "y.prefix"), 1) == F.col("x.gram")
+    met = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.gid") < F.col("y.gid")) & apart & _may_overlap("x", "y", percent) & once)
+    pairs = met.select(F.col("x.gid").alias("g"), F.col("y.gid").alias("h"))
     pairs = written(pairs.unionByName(spread.where("low <> high").select(F.col("gid").alias("g"), F.col("gid").alias("h"))), "pairs")
     if not pairs.limit(1).count():
         return comps.select(F.col("node").alias("key"), "comp")
