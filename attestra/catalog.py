@@ -1,13 +1,381 @@
-"""The registered queries of the engine and the SQL that checks them."""
+"""The registered queries of the engine over the driver's tables, and the SQL that says the same.
 
+Vocabularies are parameters of the operators; the queries use words that the tables' invented prose
+has, and small literal tables for the rest.
+"""
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from attestra import fixtures
+from attestra.functions import contact, dates, text
+from attestra.operators import evaluate, intervals, layout, lexical, matching, sections
+from attestra.plans import match, parse
+from attestra.sources import documents as sources
+from attestra.sources import export
+from attestra.streaming import stream
 
-def oracle_sql():
-    return {}
+AS_OF = "2026-09-10"
+#: Words that stand for a skill vocabulary in part names and types.
+METALS = {"tin": "tin", "nickel": "nickel", "brass": "brass", "steel": "steel", "copper": "copper"}
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _literal(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+def lexical_topk(spark, sf_dir):
+    """The three documents most like each benchmark item."""
+    pairs = lexical.pair_similarity(_table(spark, sf_dir, "documents"), "doc_id", "text", _table(spark, sf_dir, "benchmark"), "item_id", "text")
+    return lexical.top_matches(pairs.withColumn("similarity", F.round("similarity", 6)), "item_id", "similarity", "doc_id", 3)
+
+
+def clause_dedupe(spark, sf_dir):
+    """Clauses of each document, and distinct ones, after stripping."""
+    d = _table(spark, sf_dir, "documents")
+    parts = F.filter(F.transform(text.clauses(F.coalesce("text", F.lit(""))), text.strip), lambda c: c != "")
+    return d.select("doc_id", F.size(parts).cast("long").alias("clauses"), F.size(F.array_distinct(parts)).cast("long").alias("distinct_clauses"))
+
+
+def clean_evidence(spark, sf_dir):
+    """Characters of clean and of positive evidence of each turn."""
+    d = _table(spark, sf_dir, "conversations").select("conv_id", "turn", text.clean(F.col("text")).alias("c"))
+    return d.select("conv_id", "turn", F.char_length("c.text").cast("long").alias("clean_chars"), F.char_length(text.positive(F.col("c.text"))).cast("long").alias("positive_chars"), "c.changed")
+
+
+def negation_filter(spark, sf_dir):
+    """Clauses of each document that deny something."""
+    d = _table(spark, sf_dir, "documents")
+    denied = F.filter(text.clauses(F.coalesce("text", F.lit(""))), lambda c: c.rlike(r"(?i)(?:^|[^a-z])(?:no|not|without|never)(?:$|[^a-z])"))
+    return d.select("doc_id", F.size(denied).cast("long").alias("denied"))
+
+
+def repetition_lines(spark, sf_dir):
+    """Lines of many words but few different ones."""
+    d = _table(spark, sf_dir, "documents")
+    lines = d.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "t"))
+    words = F.array_remove(F.split(F.lower("t"), r"[^a-z]+"), "")
+    counted = lines.select("doc_id", F.size(words).alias("n"), F.size(F.array_distinct(words)).alias("kinds"))
+    return counted.where((F.col("n") >= 40) & (F.col("kinds") < F.col("n") * 0.5)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.sum("n").alias("words"))
+
+
+def contact_emails(spark, sf_dir):
+    """First address and distinct addresses of each document that has any."""
+    d = _table(spark, sf_dir, "documents").select("doc_id", "text").where(F.contains("text", F.lit("@"))).select("doc_id", contact.emails(F.col("text")).alias("e")).where(F.size("e") > 0)
+    return d.select("doc_id", F.get("e", F.lit(0)).alias("email"), F.size(F.array_distinct("e")).cast("long").alias("addresses"))
+
+
+def phone_candidates(spark, sf_dir):
+    """Documents with numbers in international form."""
+    d = _table(spark, sf_dir, "documents").where(F.col("text").rlike(r"\d{3}")).select("doc_id", contact.phones(F.col("text")).alias("p")).where(F.size("p") > 0)
+    return d.select("doc_id", F.get("p", F.lit(0)).alias("phone"), F.size("p").cast("long").alias("numbers"))
+
+
+def url_normalize(spark, sf_dir):
+    """Page addresses in one form, with their class."""
+    u = _table(spark, sf_dir, "pages").select("page_id", contact.url(F.col("url")).alias("address"))
+    return u.withColumn("kind", contact.url_class(F.col("address")))
+
+
+def section_carry_forward(spark, sf_dir):
+    """The last user or system role at or before each turn, `header` before the first."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    t = _table(spark, sf_dir, "conversations")
+    return t.select("conv_id", "turn", F.coalesce(F.last(F.when(F.col("role").isin("system", "user"), F.col("role")), True).over(w), F.lit("header")).alias("section"))
+
+
+def combined_reroute(spark, sf_dir):
+    """Within the run that a user turn opens, everything from the first long turn on."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    t = _table(spark, sf_dir, "conversations").withColumn("run", F.sum((F.col("role") == "user").cast("int")).over(w))
+    moved = F.max((F.char_length("text") > 300).cast("int")).over(Window.partitionBy("conv_id", "run").orderBy("turn"))
+    return t.select("conv_id", "turn", F.col("run").cast("long").alias("run"), (F.coalesce(moved, F.lit(0)) == 1).alias("moved"))
+
+
+def entry_sessionize(spark, sf_dir):
+    """sessions of a user's events with at most six hours between two."""
+    s = intervals.sessions(_table(spark, sf_dir, "events"), "user_id", "ts", 6 * 3600)
+    return s.select("user_id", "session", F.date_format("started", "yyyy-MM-dd HH:mm:ss").alias("started"), F.date_format("ended", "yyyy-MM-dd HH:mm:ss").alias("ended"), "events")
+
+
+def interval_union_years(spark, sf_dir):
+    """The days that a customer's orders cover, each for 90 days."""
+    o = _table(spark, sf_dir, "orders").select("o_custkey", F.to_date("o_orderdate").alias("a")).withColumn("b", F.date_add("a", 90))
+    return intervals.union_years(o, ["o_custkey"], "a", "b").withColumn("years", F.round("years", 6))
+
+
+def recency_decay(spark, sf_dir):
+    """Recency of a customer's last order."""
+    o = _table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max(F.to_date("o_orderdate")).alias("latest"))
+    return o.select("o_custkey", intervals.recency(F.col("latest"), F.to_date(F.lit(AS_OF))).alias("recency"))
+
+
+def partial_dates(spark, sf_dir):
+    """Partial dates as they are written."""
+    return _literal(spark, [(r,) for r, _ in fixtures.PARTIAL_DATES], "raw string").select("raw", dates.partial_date(F.col("raw")).alias("value"))
+
+
+def order_dates(spark, sf_dir):
+    """Dates of orders in four spellings, read again."""
+    o = _table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("d"))
+    forms = F.array(F.date_format("d", "yyyy-MM-dd"), F.date_format("d", "yyyy/MM"), F.date_format("d", "dd.MM.yyyy"), F.date_format("d", "MMMM yyyy"))
+    return o.select("o_orderkey", F.posexplode(forms).alias("form", "raw")).select("o_orderkey", "form", dates.partial_date(F.col("raw")).alias("value"))
+
+
+def date_spans(spark, sf_dir):
+    """Date ranges."""
+    s = dates.span(F.col("raw"))
+    return _literal(spark, [(r[0],) for r in fixtures.SPANS], "raw string").select("raw", s["start"].alias("start_date"), s["end"].alias("end_date"), s["current"].alias("current"))
+
+
+def durations(spark, sf_dir):
+    """Durations in words."""
+    rows = _literal(spark, [(i, *r[:3]) for i, r in enumerate(fixtures.DURATIONS)], "id int, start_date string, end_date string, current boolean")
+    return rows.select("id", dates.duration(F.col("start_date"), F.col("end_date"), F.col("current"), F.to_date(F.lit(AS_OF))).alias("duration"))
+
+
+def required_years(spark, sf_dir):
+    """Years of experience that a text asks for."""
+    return _literal(spark, [(r,) for r, _ in fixtures.YEARS], "raw string").select("raw", text.required_years(F.col("raw")).alias("years"))
+
+
+def degree_levels(spark, sf_dir):
+    """Degrees named, and degrees insisted on."""
+    rows = _literal(spark, [(r[0],) for r in fixtures.DEGREES], "raw string")
+    return rows.select("raw", text.degree_level(F.col("raw"))["level"].alias("named"), text.degree_level(F.col("raw"), True)["level"].alias("needed"))
+
+
+def headings(spark, sf_dir):
+    """C11: headings and lines that are none."""
+    rows = _literal(spark, [(r[0],) for r in fixtures.HEADINGS], "raw string")
+    return rows.select("raw", sections.heading_of(F.col("raw"))["section"].alias("section"))
+
+
+def vocab_coverage(spark, sf_dir):
+    """Which metals a part's type names, and how much of a wanted set that is."""
+    p = _table(spark, sf_dir, "part").select("p_partkey", text.recognised(F.col("p_type"), METALS).alias("found"))
+    return p.select("p_partkey", F.array_join("found", ",").alias("found"), text.coverage(F.col("found"), F.array(F.lit("brass"), F.lit("tin"), F.lit("steel"))).alias("covered"))
+
+
+def skill_recognition(spark, sf_dir):
+    """Skills of requirement texts."""
+    rows = _literal(spark, [(r[0],) for r in fixtures.SKILL_TEXTS], "raw string")
+    return rows.select("raw", F.array_join(text.skills_in(F.col("raw")), ",").alias("skills"))
+
+
+def matched_missing(spark, sf_dir):
+    """Of the five most sold brands, how many each customer bought and lacks; a customer has no skew of its own."""
+    li = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    p = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
+    o = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    sold = li.join(p, "l_partkey")
+    top = sold.groupBy("p_brand").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "p_brand").limit(5).select("p_brand")
+    bought = sold.join(F.broadcast(top), "p_brand").join(o, "l_orderkey").groupBy("o_custkey").agg(F.count_distinct("p_brand").alias("matched"))
+    return bought.select("o_custkey", "matched", (5 - F.col("matched")).alias("missing"))
+
+
+def weights_rollup(spark, sf_dir):
+    """Leaf scores from account facts, rolled up with the weights of what is active."""
+    c = _table(spark, sf_dir, "customer").where("c_acctbal is not null")
+    values = {"hard_skills_match": F.pmod(F.col("c_custkey"), F.lit(101)).cast("double"), "tools_and_frameworks_match": F.pmod(F.col("c_custkey") * 7, F.lit(101)).cast("double"), "soft_skills_match": F.pmod(F.col("c_custkey") * 13, F.lit(101)).cast("double")}
+    active = {"hard_skills_match": F.col("c_custkey") % 2 == 0, "tools_and_frameworks_match": F.col("c_custkey") % 3 == 0, "soft_skills_match": F.col("c_acctbal") > 0}
+    from attestra.functions.vocabulary import WEIGHTS
+
+    w = matching.normalised_weights(WEIGHTS["skills"], active)
+    return c.select("c_custkey", F.round(matching.roll_up(values, w), 1).alias("score"))
+
+
+def guards_verdict(spark, sf_dir):
+    """Guards and verdicts over scores from orders."""
+    o = _table(spark, sf_dir, "orders").select("o_orderkey", F.pmod(F.col("o_orderkey"), F.lit(101)).cast("double").alias("s"), "o_orderstatus")
+    k = F.col("o_orderkey")
+    s = o.withColumn("score", matching.guarded(F.col("s"), k % 11 == 0, k % 7 == 0, k % 5 != 0, F.lit(40.0)))
+    return s.select("o_orderkey", "score", matching.verdict(F.col("score")).alias("verdict"))
+
+
+def vector_topk(spark, sf_dir):
+    """The five vectors nearest to each whose id is divisible by 100, by cosine."""
+    e = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("probe"))
+    q = F.broadcast(q) if q.count() <= 20_000 else q
+    pairs = e.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(lexical.cosine(F.col("embedding"), F.col("probe")), 5).alias("similarity"))
+    return lexical.top_matches(pairs, "query_id", "similarity", "vec_id", 5)
+
+
+def provenance_lookup(spark, sf_dir):
+    """The first document that holds a benchmark item's first 40 characters, in any case."""
+    b = _table(spark, sf_dir, "benchmark").select("item_id", F.lower(F.substring("text", 1, 40)).alias("piece")).where("piece <> ''")
+    b = F.broadcast(b) if b.count() <= lexical.BROADCAST_ROWS // 20 else b
+    d = _table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("low"))
+    return d.join(b, F.contains("low", "piece")).groupBy("item_id").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("documents"))
+
+
+def quality_metrics(spark, sf_dir):
+    """H1, H2: a crude score of documents against labels, by source."""
+    d = _table(spark, sf_dir, "documents").select("doc_id", "source", F.when(F.col("n_chars") > 50, F.least(F.lit(100.0), F.col("n_chars") / 20.0)).alias("score"))
+    l = _table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") * 100.0).alias("label"))  # noqa: E741
+    rows = evaluate.compared(l.join(d, "doc_id"), "score", "label")
+    return evaluate.metrics(rows, "source").withColumns({"mae": F.round("mae", 1), "model_alignment_score": F.round("model_alignment_score", 1)})
+
+
+def insight_top2(spark, sf_dir):
+    """H3: the two categories that differ most, per customer."""
+    k = F.col("c_custkey")
+    c = _table(spark, sf_dir, "customer").select("c_custkey", *[F.pmod(k * m, F.lit(97)).cast("double").alias(n) for n, m in (("a", 3), ("b", 5), ("c", 11), ("x", 7), ("y", 13), ("z", 17))])
+    return evaluate.widest_gaps(c, "c_custkey", {"skills": ("a", "x"), "context": ("b", "y"), "education": ("c", "z")})
+
+
+def lang_rollup(spark, sf_dir):
+    """documents by stated and by plain language guess."""
+    d = _table(spark, sf_dir, "documents").select("lang", parse.language_of(F.col("text"))["primary"].alias("guess"))
+    return d.groupBy("lang", "guess").agg(F.count(F.lit(1)).alias("documents"))
+
+
+def status_counts(spark, sf_dir):
+    """H4: orders by status."""
+    return evaluate.status_counts(_table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("status")))
+
+
+def flatten_export(spark, sf_dir):
+    """Turns as paths and values, safe for spreadsheets."""
+    t = _table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), F.struct("role", F.struct(F.substring("text", 1, 30).alias("head")).alias("body")).alias("turn"))
+    return export.flat(t, "row_id").withColumn("value", export.safe_cell(F.col("value")))
+
+
+def spatial_nearest(spark, sf_dir):
+    """language names and the level lines next to them."""
+    from attestra.operators import entries
+
+    lines = _literal(spark, [(1, *r) for r in fixtures.LANGUAGE_LINES], layout.BLOCKS).withColumns({"part": F.lit(0), "section": F.lit("languages")})
+    return entries.language_skills(lines).select("language", "proficiency", "cefr_level")
+
+
+def reading_order(spark, sf_dir):
+    """Two columns between a title and a footer."""
+    out = layout.reading_order(_literal(spark, [(1, *r) for r in fixtures.TWO_COLUMNS], layout.BLOCKS), 600.0)
+    return out.select((F.col("seq") % 100_000).alias("place"), "text")
+
+
+def hidden_lines(spark, sf_dir):
+    """Lines that a hidden span covers are gone."""
+    lines = _literal(spark, [(1, *r) for r in fixtures.TWO_COLUMNS], layout.BLOCKS)
+    hidden = _literal(spark, [(1, 1, "left 1", 40.4, 250.0, 103.0), (1, 1, "right 1", 42.0, 250.0, 103.0)], "doc_id long, page int, text string, x0 double, x1 double, y1 double")
+    return layout.visible(lines, hidden).select("text")
+
+
+def parsed_records(spark, sf_dir):
+    """a whole record from positioned lines."""
+    lines = _literal(spark, [(1, *r) for r in fixtures.RECORD_LINES], layout.BLOCKS)
+    links = _literal(spark, [(1, 1, "https://linkedin.com/in/alex", 0.0, 0.0, 1.0, 1.0)], sources.LINKS)
+    r = parse.parse(lines, links, F.to_date(F.lit(AS_OF)))
+    p = F.col("personal_information")
+    first = lambda c: F.get(c, F.lit(0))
+    return r.select(
+        "doc_id", p["full_name"].alias("full_name"), p["email"].alias("email"), p["phone"].alias("phone"), p["linkedin"].alias("linkedin"), p["github"].alias("github"), "summary",
+        F.size("work_experience").alias("jobs"), first("work_experience")["job_title"].alias("job_title"), first("work_experience")["company"].alias("company"), first("work_experience")["start_date"].alias("start_date"), first("work_experience")["duration"].alias("duration"),
+        first("education")["institution"].alias("institution"), first("education")["degree"].alias("degree"), F.array_join(F.transform("skills", lambda s: s["name"]), ",").alias("skills"), F.array_join("other_skills", ",").alias("other_skills"),
+        first("certifications")["certification_name"].alias("certification"), first("languages")["cefr_level"].alias("cefr_level"), F.size("quality.missing_sections").alias("missing"),
+    )
+
+
+def full_match(spark, sf_dir):
+    """Three candidates against two requirement texts, every score."""
+    c, j = fixtures.candidates(spark), fixtures.jobs(spark)
+    out = match.match(c, j, F.to_date(F.lit(AS_OF)))
+    return out.select("cv_id", "jd_id", "score", "verdict", "hard_skills_match", "tools_and_frameworks_match", "soft_skills_match", "skills_score", F.array_join("missing_skills", ",").alias("missing_skills"))
+
+
+def match_requests(spark, sf_dir):
+    """Requests in both forms, with what is wrong with them."""
+    r = sources.requests(_literal(spark, fixtures.REQUESTS, "pair_id int, cv_json string, job_description string"))
+    return r.select("pair_id", F.array_join("skills", ",").alias("skills"), F.array_join("soft_skills", ",").alias("soft_skills"), F.size("experience").alias("jobs"), "summary", F.array_join("errors", ";").alias("errors"))
+
+
+def evidence_of_turns(spark, sf_dir):
+    """Stateless evidence as the stream makes it, over user turns."""
+    t = _table(spark, sf_dir, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    e = stream.evidence_stream(t)
+    return e.select("doc_id", F.char_length("text").cast("long").alias("chars"), F.size("emails").cast("long").alias("emails"), F.size("urls").cast("long").alias("urls"))
+
+
+_QUERIES = [lexical_topk, clause_dedupe, clean_evidence, negation_filter, repetition_lines, contact_emails, phone_candidates, url_normalize, section_carry_forward, combined_reroute, entry_sessionize, interval_union_years, recency_decay, partial_dates, order_dates, date_spans, durations, required_years, degree_levels, headings, vocab_coverage, skill_recognition, matched_missing, weights_rollup, guards_verdict, vector_topk, provenance_lookup, quality_metrics, insight_top2, lang_rollup, status_counts, flatten_export, spatial_nearest, reading_order, hidden_lines, parsed_records, full_match, match_requests, evidence_of_turns]
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_topk(spark, sf_dir)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in _QUERIES}
+
+
+def _values(rows, columns: str) -> str:
+    """A literal table as SQL."""
+    say = lambda x: "NULL" if x is None else str(x).upper() if isinstance(x, bool) else str(x) if isinstance(x, int | float) else "'" + str(x).replace("'", "''") + "'"
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(say, r)) + ')' for r in rows)}) t({columns})"
+
+
+_SPLIT = r"string_split_regex(regexp_replace(regexp_replace(coalesce(text, ''), '([.!?])[\t\n\x0B\f\r \x85\p{Z}]+', '\1' || chr(10), 'g'), '[;\n]+', chr(10), 'g'), '\n')"
+_STRIP = r"regexp_replace(c, '^[\t\n\x0B\f\r \x85\p{Z}]+|[\t\n\x0B\f\r \x85\p{Z}]+$', '', 'g')"
+
+
+def oracle_sql() -> dict[str, str]:
+    lit = {
+        "partial_dates": _values(fixtures.PARTIAL_DATES, "raw, value"),
+        "date_spans": _values(fixtures.SPANS, "raw, start_date, end_date, current"),
+        "durations": _values([(i, r[3]) for i, r in enumerate(fixtures.DURATIONS)], "id, duration"),
+        "required_years": _values(fixtures.YEARS, "raw, years").replace("*", "raw, CAST(years AS DOUBLE) AS years", 1),
+        "degree_levels": _values(fixtures.DEGREES, "raw, named, needed"),
+        "headings": _values(fixtures.HEADINGS, "raw, section"),
+        "skill_recognition": _values(fixtures.SKILL_TEXTS, "raw, skills"),
+        "spatial_nearest": _values(fixtures.LANGUAGES, "language, proficiency, cefr_level"),
+        "reading_order": _values(enumerate(fixtures.TWO_COLUMNS_READ), "place, text"),
+        "hidden_lines": _values([(t,) for t in fixtures.TWO_COLUMNS_READ if t != "left 1"], "text"),
+        "parsed_records": _values([fixtures.RECORD], ", ".join(fixtures.RECORD_COLUMNS)),
+        "match_requests": _values(fixtures.REQUESTS_READ, "pair_id, skills, soft_skills, jobs, summary, errors"),
+    }
+    return lit | {
+        "lexical_topk": rf"""
+WITH t AS (SELECT 'd' AS side, doc_id AS id, list_filter(list_transform(string_split_regex(lower(coalesce(text, '')), '[^\p{{L}}\p{{M}}\p{{N}}_+#.]+'), lambda x: regexp_replace(x, '^[^\p{{L}}\p{{M}}\p{{N}}_]+', '')), lambda x: x <> '') AS w FROM documents
+  UNION ALL SELECT 'b', item_id, list_filter(list_transform(string_split_regex(lower(coalesce(text, '')), '[^\p{{L}}\p{{M}}\p{{N}}_+#.]+'), lambda x: regexp_replace(x, '^[^\p{{L}}\p{{M}}\p{{N}}_]+', '')), lambda x: x <> '') FROM benchmark),
+g AS (SELECT side, id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM t),
+c AS (SELECT side, id, term, 1 + ln(count(*)) AS w FROM g GROUP BY ALL),
+n AS (SELECT side, id, sum(w * w) AS n FROM c GROUP BY ALL),
+s AS (SELECT a.id AS doc_id, b.id AS item_id, sum(a.w * b.w) AS ab, sum(a.w * a.w) AS aa, sum(b.w * b.w) AS bb FROM c a JOIN c b ON a.term = b.term AND a.side = 'd' AND b.side = 'b' GROUP BY ALL),
+p AS (SELECT doc_id, item_id, round(least(1.0, ab / sqrt(({lexical.ALONE**2!r} * x.n - {lexical.ALONE**2 - 1!r} * aa) * ({lexical.ALONE**2!r} * y.n - {lexical.ALONE**2 - 1!r} * bb))), 6) AS similarity FROM s JOIN n x ON x.side = 'd' AND x.id = doc_id JOIN n y ON y.side = 'b' AND y.id = item_id)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, doc_id) AS rank FROM p) WHERE rank <= 3""",
+        "clause_dedupe": f"WITH c AS (SELECT doc_id, list_filter(list_transform({_SPLIT}, lambda c: {_STRIP}), lambda c: c <> '') AS p FROM documents) SELECT doc_id, len(p) AS clauses, len(list_distinct(p)) AS distinct_clauses FROM c",
+        "negation_filter": f"SELECT doc_id, len(list_filter({_SPLIT}, lambda c: regexp_matches(c, '(?i)(?:^|[^a-z])(?:no|not|without|never)(?:$|[^a-z])'))) AS denied FROM documents",
+        "repetition_lines": "WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS t FROM documents), w AS (SELECT doc_id, list_filter(string_split_regex(lower(t), '[^a-z]+'), lambda x: x <> '') AS w FROM l) SELECT doc_id, count(*) AS lines, CAST(sum(len(w)) AS BIGINT) AS words FROM w WHERE len(w) >= 40 AND len(list_distinct(w)) < len(w) * 0.5 GROUP BY doc_id",
+        "contact_emails": r"WITH e AS (SELECT doc_id, regexp_extract_all(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}') AS e FROM documents WHERE contains(text, '@')) SELECT doc_id, e[1] AS email, len(list_distinct(e)) AS addresses FROM e WHERE len(e) > 0",
+        "url_normalize": r"""
+WITH u AS (SELECT page_id, regexp_replace(url, '[.,;)]+$', '') AS t FROM pages),
+p AS (SELECT page_id, lower(regexp_extract(t, '^([A-Za-z]+)://', 1)) AS s, lower(regexp_extract(t, '://([^/?#]*)', 1)) AS h, regexp_extract(t, '://[^/?#]*([^?#]*)', 1) AS q, regexp_extract(t, '(\?[^#]*)', 1) AS r FROM u),
+a AS (SELECT page_id, CASE WHEN s IN ('http', 'https') AND contains(h, '.') THEN s || '://' || h || q || CASE WHEN r = '?' THEN '' ELSE r END END AS address FROM p)
+SELECT page_id, address, CASE WHEN address IS NOT NULL THEN 'website' END AS kind FROM a""",
+        "section_carry_forward": "SELECT conv_id, turn, coalesce(last_value(CASE WHEN role IN ('system', 'user') THEN role END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn), 'header') AS section FROM conversations",
+        "combined_reroute": "WITH t AS (SELECT *, sum(CAST(role = 'user' AS INT)) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM conversations) SELECT conv_id, turn, CAST(run AS BIGINT) AS run, coalesce(max(CAST(length(text) > 300 AS INT)) OVER (PARTITION BY conv_id, run ORDER BY turn), 0) = 1 AS moved FROM t",
+        "entry_sessionize": "WITH a AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS n FROM events), b AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM a) SELECT user_id, CAST(session AS BIGINT) AS session, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS ended, count(*) AS events FROM b GROUP BY user_id, session",
+        "interval_union_years": "WITH o AS (SELECT o_custkey, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS DATE) + 90 AS b FROM orders), m AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY o_custkey ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS n FROM o), i AS (SELECT *, sum(n) OVER (PARTITION BY o_custkey ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM m), g AS (SELECT o_custkey, island, min(a) AS a, max(b) AS b FROM i GROUP BY ALL) SELECT o_custkey, count(*) AS intervals, CAST(sum(b - a) AS BIGINT) AS days, round(sum(b - a) / 365.2425, 6) AS years FROM g GROUP BY o_custkey",
+        "recency_decay": f"SELECT o_custkey, round(100 * pow(2.0, -greatest(0.0, (DATE '{AS_OF}' - max(CAST(o_orderdate AS DATE))) / 365.2425 - 1) / 5), 2) AS recency FROM orders GROUP BY o_custkey",
+        "order_dates": "WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders) SELECT o_orderkey, 0 AS form, strftime(d, '%Y-%m-%d') AS value FROM o UNION ALL SELECT o_orderkey, 1, strftime(d, '%Y-%m') FROM o UNION ALL SELECT o_orderkey, 2, CASE WHEN day(d) <= 12 AND day(d) <> month(d) THEN NULL ELSE strftime(d, '%Y-%m-%d') END FROM o UNION ALL SELECT o_orderkey, 3, strftime(d, '%Y-%m') FROM o",
+        "vocab_coverage": r"WITH f AS (SELECT p_partkey, list_filter(['brass', 'copper', 'nickel', 'steel', 'tin'], lambda m: regexp_matches(lower(p_type), '(^|[^a-z0-9_])' || m || '($|[^a-z0-9_])')) AS f FROM part) SELECT p_partkey, array_to_string(f, ',') AS found, round(100.0 * len(list_intersect(f, ['brass', 'tin', 'steel'])) / 3, 2) AS covered FROM f",
+        "matched_missing": "WITH s AS (SELECT l_orderkey, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey), t AS (SELECT p_brand FROM s GROUP BY p_brand ORDER BY count(*) DESC, p_brand LIMIT 5) SELECT o_custkey, count(DISTINCT p_brand) AS matched, 5 - count(DISTINCT p_brand) AS missing FROM s JOIN t USING (p_brand) JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey",
+        "weights_rollup": "WITH v AS (SELECT c_custkey, c_custkey % 101 AS a, c_custkey * 7 % 101 AS b, c_custkey * 13 % 101 AS c, CASE WHEN c_custkey % 2 = 0 THEN 0.5::DOUBLE ELSE 0 END AS wa, CASE WHEN c_custkey % 3 = 0 THEN 0.3::DOUBLE ELSE 0 END AS wb, CASE WHEN c_acctbal > 0 THEN 0.2::DOUBLE ELSE 0 END AS wc FROM customer WHERE c_acctbal IS NOT NULL) SELECT c_custkey, round(CASE WHEN wa + wb + wc > 0 THEN round(a * (wa / (wa + wb + wc)) + b * (wb / (wa + wb + wc)) + c * (wc / (wa + wb + wc)), 2) ELSE 0 END, 1) AS score FROM v",
+        "guards_verdict": "WITH s AS (SELECT o_orderkey, round(CASE WHEN o_orderkey % 11 = 0 THEN 0 WHEN o_orderkey % 7 = 0 THEN least(o_orderkey % 101, 9)::DOUBLE WHEN o_orderkey % 5 = 0 THEN least(o_orderkey % 101, 9, 40 * 0.09::DOUBLE) ELSE o_orderkey % 101 END, 2)::DOUBLE AS score FROM orders) SELECT *, CASE WHEN score >= 80 THEN 'Highly Suitable' WHEN score >= 60 THEN 'Suitable' WHEN score >= 40 THEN 'Partially Suitable' ELSE 'Low Compatibility' END AS verdict FROM s",
+        "vector_topk": "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(e.v, q.v), 5) AS similarity FROM e q JOIN e ON q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM p) WHERE rank <= 5",
+        "provenance_lookup": "SELECT item_id, min(doc_id) AS doc_id, count(*) AS documents FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(substr(b.text, 1, 40))) WHERE b.text <> '' GROUP BY item_id",
+        "quality_metrics": "WITH r AS (SELECT source, CASE WHEN n_chars > 50 THEN least(100.0, n_chars / 20.0)::DOUBLE END AS s, quality * 100.0 AS y FROM documents JOIN labels USING (doc_id)), d AS (SELECT source, s, round(abs(s - y), 2) AS a FROM r), m AS (SELECT source, count(*) AS n, count(s) AS ok, count(*) FILTER (a <= 10) AS fit, round(avg(a), 2) AS mae FROM d GROUP BY source) SELECT source, n AS total_cases, ok AS executed_successfully, round(100.0 * ok / n, 2) AS execution_success_rate, round(mae, 1) AS mae, round(round(100 - mae, 2), 1) AS model_alignment_score, fit AS aligned_cases, round(100.0 * fit / n, 2) AS alignment_pass_rate, CASE WHEN ok = n AND fit = n THEN 'PASS' ELSE 'FAIL' END AS final_status FROM m",
+        "insight_top2": "WITH g AS (SELECT c_custkey, unnest([{'i': 0, 'category': 'skills', 'gap': abs(c_custkey * 3 % 97 - c_custkey * 7 % 97)}, {'i': 1, 'category': 'context', 'gap': abs(c_custkey * 5 % 97 - c_custkey * 13 % 97)}, {'i': 2, 'category': 'education', 'gap': abs(c_custkey * 11 % 97 - c_custkey * 17 % 97)}]) AS x FROM customer), r AS (SELECT c_custkey, row_number() OVER (PARTITION BY c_custkey ORDER BY x.gap DESC, x.i) AS rank, x.category AS category, x.gap::DOUBLE AS gap FROM g) SELECT * FROM r WHERE rank <= 2",
+        "lang_rollup": r"WITH d AS (SELECT lang, CASE WHEN length(regexp_replace(coalesce(text, ''), '[^\p{L}]', '', 'g')) < 15 THEN 'und' WHEN regexp_matches(text, '[A-Za-z]') THEN 'en' ELSE 'und' END AS guess FROM documents) SELECT lang, guess, count(*) AS documents FROM d GROUP BY ALL",
+        "status_counts": "SELECT o_orderstatus AS status, count(*) AS cases, round(count(*) / sum(count(*)) OVER (), 4) AS share FROM orders GROUP BY o_orderstatus",
+        "flatten_export": r"WITH t AS (SELECT conv_id * 1000 + turn AS row_id, unnest([{'path': 'turn.role', 'v': coalesce(role, '')}, {'path': 'turn.body.head', 'v': coalesce(substr(text, 1, 30), '')}]) AS x FROM conversations) SELECT row_id, x.path AS path, CASE WHEN regexp_matches(x.v, '^\s*[=+\-@\t\r]') THEN '''' || x.v ELSE x.v END AS value FROM t",
+    }
