@@ -56,13 +56,24 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+#: Bytes of an Arrow batch that a Python function is given at once; a single longer row goes alone.
+SLICE_BYTES = 8 << 20
+
+
+def slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """``b`` in parts of about SLICE_BYTES, so that what Python makes of a part stays small."""
+    step = max(1, b.num_rows // max(1, -(-b.nbytes // SLICE_BYTES)))
+    for at in range(0, b.num_rows, step):
+        yield b.slice(at, step)
+
+
 def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``f`` on every Arrow batch of ``df``."""
+    """``f`` on every Arrow batch of ``df``, a part at a time."""
 
     def run(batches):
         for b in batches:
-            if b.num_rows:
-                yield from f(b)
+            for part in slices(b):
+                yield from f(part)
 
     return df.mapInArrow(run, schema)
 

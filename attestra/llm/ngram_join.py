@@ -8,6 +8,7 @@ then expanded to members and verified on the whole sets.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -20,8 +21,8 @@ from attestra.llm.common import arrow_map, components, free, small, written
 
 #: Words of an n-gram, and the least similarity in percent, unless a caller says otherwise.
 WORDS, PERCENT = 5, 80
-#: Words whose hashes a task remembers before it forgets them all.
-MEMO = 400_000
+#: Words whose hashes a worker remembers before it forgets them all.
+MEMO = 250_000
 #: Input bytes for each bucket of n-grams, and the least number of buckets.
 BUCKET_BYTES, LEAST_BUCKETS = 32 << 20, 256
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -35,6 +36,12 @@ class _Memo(dict):
         return h
 
 
+@functools.cache
+def _memo() -> _Memo:
+    """One for the life of the worker, as tasks and slices share most words."""
+    return _Memo()
+
+
 def _mix(z: np.ndarray) -> np.ndarray:
     z = (z ^ (z >> np.uint64(30))) * _M1
     z = (z ^ (z >> np.uint64(27))) * _M2
@@ -68,9 +75,9 @@ def _keys(docs: DataFrame, words: int) -> DataFrame:
     """``(id, n, key)`` per row."""
 
     def run(b: pa.RecordBatch):
-        memo = _Memo()
-        sets = [shingle_set(t, words, memo) for t in b.column(1).to_pylist()]
-        yield pa.record_batch([b.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([set_key(s) for s in sets], pa.int64())], ["id", "n", "key"])
+        memo = _memo()
+        made = [(len(s), set_key(s)) for s in (shingle_set(t, words, memo) for t in b.column(1).to_pylist())]
+        yield pa.record_batch([b.column(0), pa.array([n for n, _ in made], pa.int32()), pa.array([k for _, k in made], pa.int64())], ["id", "n", "key"])
 
     return arrow_map(docs, run, f"id {docs.schema['id'].dataType.simpleString()}, n int, key long")
 
@@ -116,7 +123,7 @@ def prefixes(docs: DataFrame, words: int, percent: int) -> DataFrame:
     owners = 1 << max(8, bits - 2)
 
     def deal(b: pa.RecordBatch):
-        memo = _Memo()
+        memo = _memo()
         sets: dict[int, np.ndarray] = {}
         for t in b.column(0).to_pylist():
             s = shingle_set(t, words, memo)
@@ -254,7 +261,7 @@ def _fetch(docs: DataFrame, keys: DataFrame, wanted: DataFrame, words: int) -> D
     one = written(one, "fetch")
 
     def run(b: pa.RecordBatch):
-        memo = _Memo()
+        memo = _memo()
         sets = [shingle_set(t, words, memo) for t in b.column(0).to_pylist()]
         yield pa.record_batch([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["key", "n", "grams"])
 
