@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -67,6 +69,13 @@ def slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield b.slice(at, step)
 
 
+def give_back() -> None:
+    """Return freed memory to the system; a worker lives on after its task, beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``f`` on every Arrow batch of ``df``, a part at a time."""
 
@@ -74,6 +83,7 @@ def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBat
         for b in batches:
             for part in slices(b):
                 yield from f(part)
+        give_back()
 
     return df.mapInArrow(run, schema)
 

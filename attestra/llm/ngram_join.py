@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.common import arrow_map, components, free, small, written
+from attestra.llm.common import arrow_map, components, free, give_back, small, written
 
 #: Words of an n-gram, and the least similarity in percent, unless a caller says otherwise.
 WORDS, PERCENT = 5, 80
@@ -158,6 +158,7 @@ def prefixes(docs: DataFrame, words: int, percent: int) -> DataFrame:
         order = np.lexsort((who, owner))
         owner, who, grams, df = owner[order], who[order], grams[order], df[order]
         cols = _packed(owner, _runs(owner, who), who, keys, sizes, [grams.astype("<u4"), df])
+        give_back()
         return pa.table([*cols, pa.array(np.full(len(cols[0]), bucket), pa.int64())], ["owner", "keys", "sizes", "counts", "grams", "df", "bucket"])
 
     def choose(t: pa.Table) -> pa.Table:
