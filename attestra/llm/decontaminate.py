@@ -14,8 +14,9 @@ from attestra.llm.common import LOWER, UPPER, small, written
 
 #: Words of a window, and of a shingle.
 WINDOW, SHINGLE = 10, 3
-#: Windows up to which the index (some 300 bytes each) is broadcast; beyond it the join shuffles.
-BROADCAST_WINDOWS = 100_000
+#: Windows up to which the index (some 300 bytes each) is broadcast; beyond it the join shuffles. The
+#: shingles alone, of 8 bytes, are broadcast as a filter before that up to a higher bound.
+BROADCAST_WINDOWS, BROADCAST_SHINGLES = 100_000, 4_000_000
 #: What separates words: every ASCII character but letters and digits.
 SEPARATORS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 
@@ -73,6 +74,28 @@ def _index(docs: DataFrame, windows: DataFrame, sizes: list[int]) -> DataFrame:
     return windows.join(rare, "window_id").select(F.col("r.shingle").alias("shingle"), F.col("r.offset").alias("offset"), "window_id", "words", "len")
 
 
+def _met(docs: DataFrame, index: DataFrame, sizes: list[int], window: int) -> DataFrame:
+    """``(id, print, begin, end, window_id)`` for every place where a window of the index occurs.
+
+    With a small index a document's words never leave their task. Beyond the bound the places whose
+    shingle the index has are shuffled, each with the words around it that a window over it can cover,
+    never with the whole document.
+    """
+    begin, stop = F.col("at") - F.col("offset"), F.col("at") - F.col("offset") + F.col("len")
+    named = ["id", "print", begin.alias("begin"), stop.alias("end"), "window_id"]
+    placed = _positions(docs, sizes)
+    if index.count() <= BROADCAST_WINDOWS:
+        met = placed.join(F.broadcast(index), "shingle").where((begin >= 0) & (stop <= F.size("all")))
+        return met.where(F.slice("all", F.greatest(begin, F.lit(0)) + 1, F.col("len")) == F.col("words")).select(*named)
+    first = F.greatest(F.col("at") - (window - 1), F.lit(0))
+    around = ["id", "print", "at", "shingle", F.size("all").alias("n"), first.alias("first"), F.slice("all", first + 1, 2 * window - 1).alias("around")]
+    known = index.select("shingle").distinct()
+    if known.count() <= BROADCAST_SHINGLES:
+        placed = placed.join(F.broadcast(known), "shingle", "left_semi")
+    met = placed.select(*around).join(index, "shingle").where((begin >= 0) & (stop <= F.col("n")))
+    return met.where(F.slice("around", F.greatest(begin - F.col("first"), F.lit(0)) + 1, F.col("len")) == F.col("words")).select(*named)
+
+
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, text: str = "text", id_col: str = "doc_id", item_text: str = "text", item_id: str = "item_id") -> DataFrame:
     """``(<id>, n_words, n_hit, n_items, item_ids array<string>, contaminated)`` per row of ``docs``.
 
@@ -82,8 +105,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, text:
     listed; a null item id is left out of the list. Empty tables give no rows or no hits. Other columns
     are not read.
 
-    The documents' words stay in the task that cuts them: the index of windows is broadcast if it is
-    small, and a document's row goes on only where a shingle meets it. The hits of a document are
+    The documents' words stay in the task that cuts them if the index of windows is small enough to be
+    broadcast; else only places that a shingle of the index names go on, with the words around them. The hits of a document are
     gathered as a set of places, which its length bounds.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text)).alias("print"), F.col(text).alias("text"))
@@ -91,10 +114,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, text:
     windows = written(windows, "distinct")
     sizes = sorted(min(SHINGLE, r["len"]) for r in windows.select(F.least("len", F.lit(SHINGLE)).alias("len")).distinct().collect()) or [SHINGLE]
     index = written(_index(rows, windows, sizes), "index")
-    begin = F.col("at") - F.col("offset")
-    met = _positions(rows, sizes).join(small(index, BROADCAST_WINDOWS), "shingle")
-    met = met.where((begin >= 0) & (begin + F.col("len") <= F.size("all"))).where(F.slice("all", F.greatest(begin, F.lit(0)) + 1, F.col("len")) == F.col("words"))
-    hits = written(met.select("id", "print", begin.alias("begin"), (begin + F.col("len")).alias("end"), "window_id"), "hits")
+    hits = written(_met(rows, index, sizes, window), "hits")
     spans = hits.groupBy("id", "print").agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("spans"))
     covered = F.aggregate(
         "spans",

@@ -266,7 +266,12 @@ def brute_contamination(rows, items, window=10):
     return sorted(out, key=str)
 
 
-def test_contamination(spark):
+@pytest.mark.parametrize("windows, shingles", [(None, None), (0, None), (0, 0)])
+def test_contamination(spark, monkeypatch, windows, shingles):
+    if windows is not None:
+        monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", windows)
+    if shingles is not None:
+        monkeypatch.setattr(decontaminate, "BROADCAST_SHINGLES", shingles)
     base = prose(40, 50, 60)
     w = base.split()
     items = [(1, base), (2, "Two Words"), (3, None), (4, ""), (5, "..."), (10, " ".join(w[5:20])), (11, "É"), (None, " ".join(w[:12])), (12, "a a a a a a a a a a a a")]
