@@ -211,11 +211,9 @@ def vector_topk(spark, sf_dir):
 
 
 def provenance_lookup(spark, sf_dir):
-    """The first document that holds a benchmark item's first 40 characters, in any case."""
-    b = _table(spark, sf_dir, "benchmark").select("item_id", F.lower(F.substring("text", 1, 40)).alias("piece")).where("piece <> ''")
-    b = F.broadcast(b) if b.count() <= lexical.BROADCAST_ROWS // 20 else b
-    d = _table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("low"))
-    return d.join(b, F.contains("low", "piece")).groupBy("item_id").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("documents"))
+    """The first document that holds the whole text of a benchmark item, in any case, and how many do."""
+    found = sections.containing(_table(spark, sf_dir, "documents"), "doc_id", _table(spark, sf_dir, "benchmark"), "item_id")
+    return found.groupBy("item_id").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("documents"))
 
 
 def quality_metrics(spark, sf_dir):
@@ -246,7 +244,7 @@ def status_counts(spark, sf_dir):
 
 def flatten_export(spark, sf_dir):
     """Turns as paths and values, safe for spreadsheets."""
-    t = _table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), F.struct("role", F.struct(F.substring("text", 1, 30).alias("head")).alias("body")).alias("turn"))
+    t = _table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), F.struct("role", F.struct("text").alias("body")).alias("turn"))
     return export.flat(t, "row_id").withColumn("value", export.safe_cell(F.col("value")))
 
 
@@ -372,10 +370,10 @@ SELECT page_id, address, CASE WHEN address IS NOT NULL THEN 'website' END AS kin
         "weights_rollup": "WITH v AS (SELECT c_custkey, c_custkey % 101 AS a, c_custkey * 7 % 101 AS b, c_custkey * 13 % 101 AS c, CASE WHEN c_custkey % 2 = 0 THEN 0.5::DOUBLE ELSE 0 END AS wa, CASE WHEN c_custkey % 3 = 0 THEN 0.3::DOUBLE ELSE 0 END AS wb, CASE WHEN c_acctbal > 0 THEN 0.2::DOUBLE ELSE 0 END AS wc FROM customer WHERE c_acctbal IS NOT NULL) SELECT c_custkey, round(CASE WHEN wa + wb + wc > 0 THEN round(a * (wa / (wa + wb + wc)) + b * (wb / (wa + wb + wc)) + c * (wc / (wa + wb + wc)), 2) ELSE 0 END, 1) AS score FROM v",
         "guards_verdict": "WITH s AS (SELECT o_orderkey, round(CASE WHEN o_orderkey % 11 = 0 THEN 0 WHEN o_orderkey % 7 = 0 THEN least(o_orderkey % 101, 9)::DOUBLE WHEN o_orderkey % 5 = 0 THEN least(o_orderkey % 101, 9, 40 * 0.09::DOUBLE) ELSE o_orderkey % 101 END, 2)::DOUBLE AS score FROM orders) SELECT *, CASE WHEN score >= 80 THEN 'Highly Suitable' WHEN score >= 60 THEN 'Suitable' WHEN score >= 40 THEN 'Partially Suitable' ELSE 'Low Compatibility' END AS verdict FROM s",
         "vector_topk": "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(e.v, q.v), 5) AS similarity FROM e q JOIN e ON q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM p) WHERE rank <= 5",
-        "provenance_lookup": "SELECT item_id, min(doc_id) AS doc_id, count(*) AS documents FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(substr(b.text, 1, 40))) WHERE b.text <> '' GROUP BY item_id",
+        "provenance_lookup": "SELECT item_id, min(doc_id) AS doc_id, count(*) AS documents FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text)) WHERE b.text <> '' GROUP BY item_id",
         "quality_metrics": "WITH r AS (SELECT source, CASE WHEN n_chars > 50 THEN least(100.0, n_chars / 20.0)::DOUBLE END AS s, quality * 100.0 AS y FROM documents JOIN labels USING (doc_id)), d AS (SELECT source, s, round(abs(s - y), 2) AS a FROM r), m AS (SELECT source, count(*) AS n, count(s) AS ok, count(*) FILTER (a <= 10) AS fit, round(avg(a), 2) AS mae FROM d GROUP BY source) SELECT source, n AS total_cases, ok AS executed_successfully, round(100.0 * ok / n, 2) AS execution_success_rate, round(mae, 1) AS mae, round(round(100 - mae, 2), 1) AS model_alignment_score, fit AS aligned_cases, round(100.0 * fit / n, 2) AS alignment_pass_rate, CASE WHEN ok = n AND fit = n THEN 'PASS' ELSE 'FAIL' END AS final_status FROM m",
         "insight_top2": "WITH g AS (SELECT c_custkey, unnest([{'i': 0, 'category': 'skills', 'gap': abs(c_custkey * 3 % 97 - c_custkey * 7 % 97)}, {'i': 1, 'category': 'context', 'gap': abs(c_custkey * 5 % 97 - c_custkey * 13 % 97)}, {'i': 2, 'category': 'education', 'gap': abs(c_custkey * 11 % 97 - c_custkey * 17 % 97)}]) AS x FROM customer), r AS (SELECT c_custkey, row_number() OVER (PARTITION BY c_custkey ORDER BY x.gap DESC, x.i) AS rank, x.category AS category, x.gap::DOUBLE AS gap FROM g) SELECT * FROM r WHERE rank <= 2",
         "lang_rollup": r"WITH d AS (SELECT lang, CASE WHEN length(regexp_replace(coalesce(text, ''), '[^\p{L}]', '', 'g')) < 15 THEN 'und' WHEN regexp_matches(text, '[A-Za-z]') THEN 'en' ELSE 'und' END AS guess FROM documents) SELECT lang, guess, count(*) AS documents FROM d GROUP BY ALL",
         "status_counts": "SELECT o_orderstatus AS status, count(*) AS cases, round(count(*) / sum(count(*)) OVER (), 4) AS share FROM orders GROUP BY o_orderstatus",
-        "flatten_export": r"WITH t AS (SELECT conv_id * 1000 + turn AS row_id, unnest([{'path': 'turn.role', 'v': coalesce(role, '')}, {'path': 'turn.body.head', 'v': coalesce(substr(text, 1, 30), '')}]) AS x FROM conversations) SELECT row_id, x.path AS path, CASE WHEN regexp_matches(x.v, '^\s*[=+\-@\t\r]') THEN '''' || x.v ELSE x.v END AS value FROM t",
+        "flatten_export": r"WITH t AS (SELECT conv_id * 1000 + turn AS row_id, unnest([{'path': 'turn.role', 'v': coalesce(role, '')}, {'path': 'turn.body.text', 'v': coalesce(text, '')}]) AS x FROM conversations) SELECT row_id, x.path AS path, CASE WHEN regexp_matches(x.v, '^\s*[=+\-@\t\r]') THEN '''' || x.v ELSE x.v END AS value FROM t",
     }

@@ -14,6 +14,8 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from attestra.functions import vocabulary as v
 from attestra.functions.text import ANY_CASE, LINE_END, strip
 
+#: Pieces of text up to which ``containing`` broadcasts them.
+BROADCAST_PIECES = 20_000
 _EXACT = {word: section for section, words in reversed(v.SECTIONS.items()) for word in words} | {"haqqimda": "professional_summary"}
 
 
@@ -98,3 +100,26 @@ def accepted_suggestions(suggestions: DataFrame, blocks: DataFrame) -> DataFrame
     s = s.where((F.col("field") != "email") | F.col("value").rlike("^" + v.EMAIL + "$"))
     b = blocks.select(F.col("doc_id").alias("b_doc"), F.col("page").alias("b_page"), F.col("text").alias("b_text"))
     return s.join(b, (F.col("doc_id") == F.col("b_doc")) & (F.col("page") == F.col("b_page")) & F.contains("b_text", "quote"), "left_semi")
+
+
+def containing(texts: DataFrame, text_key: str, pieces: DataFrame, piece_key: str, text: str = "text", piece: str = "text") -> DataFrame:
+    """``(<piece_key>, <text_key>)``: every text that holds a piece as it stands, in any case.
+
+    The second to fourth word of a piece stand whole, and next to each other, in any text that holds the
+    piece, so pieces of five words or more meet texts in an equi-join on these, and only such pairs are
+    compared. Shorter pieces are looked for in every text, as a query set that a count bounds for the
+    broadcast. Null and empty pieces are in no text; rows that repeat a key meet as often.
+    """
+    words = lambda c: F.filter(F.split(c, r"[^\p{L}\p{M}\p{N}]+"), lambda w: w != "")
+    p = pieces.select(F.col(piece_key).alias("p_key"), F.lower(F.col(piece)).alias("p_text")).where("p_text <> ''")
+    t = texts.select(F.col(text_key).alias("t_key"), F.lower(F.col(text)).alias("t_text")).where("t_text is not null")
+    p = p.withColumn("w", words(F.col("p_text")))
+    print_of = lambda a, at: F.xxhash64(*[F.get(a, at + i) for i in range(3)])
+    long = p.where(F.size("w") >= 5).select("p_key", "p_text", print_of(F.col("w"), F.lit(1)).alias("mark"))
+    short = p.where(F.size("w") < 5).select("p_key", "p_text")
+    few = lambda df: F.broadcast(df) if df.count() <= BROADCAST_PIECES else df
+    w = t.select("t_key", "t_text", words(F.col("t_text")).alias("w"))
+    marks = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 3, F.lit(0))), lambda i: print_of(F.col("w"), i)))
+    met = w.select("t_key", "t_text", F.explode(marks).alias("mark")).join(few(long), "mark").where(F.contains("t_text", "p_text"))
+    scanned = t.join(few(short), F.contains("t_text", "p_text"))
+    return met.select("p_key", "t_key").unionByName(scanned.select("p_key", "t_key")).select(F.col("p_key").alias(piece_key), F.col("t_key").alias(text_key))

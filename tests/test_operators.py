@@ -222,6 +222,18 @@ def test_provenance_and_suggestions(spark):
     assert [r["value"] for r in sections.accepted_suggestions(s, b).collect()] == ["ann@x.org"]
 
 
+def test_containing(spark, monkeypatch):
+    texts = [(1, "One two, three: four five six."), (2, "xONE TWO, three: four fivey"), (3, None), (4, ""), (5, "one two three four five"), (5, "É uno; one"), (6, "two, three: four"), (6, "two, three: four"), (7, "a b a b a b a b")]
+    pieces = [(10, "one two, three: four five"), (11, "three"), (12, ""), (13, None), (14, "é UNO;"), (14, "two, three: four"), (15, "a b a b a"), (None, "six.")]
+    want = sorted((repr((p, t)) for t, x in texts for p, y in pieces if x is not None and y and y.lower() in x.lower()))
+    t = spark.createDataFrame([(i, x, "q") for i, x in texts], "doc_id long, text string, mark string")
+    p = spark.createDataFrame([(i, x, "q") for i, x in pieces], "item_id long, text string, w string")
+    for bound in (sections.BROADCAST_PIECES, 0):
+        monkeypatch.setattr(sections, "BROADCAST_PIECES", bound)
+        assert sorted(repr(tuple(r)) for r in sections.containing(t, "doc_id", p, "item_id").collect()) == want
+    assert sections.containing(t, "doc_id", p.where("false"), "item_id").count() == 0 == sections.containing(t.where("false"), "doc_id", p, "item_id").count()
+
+
 def test_dashboard_and_export(spark, tmp_path):
     lines = spark.createDataFrame([(1, *r) for r in fixtures.RECORD_LINES], layout.BLOCKS)
     records = parse.parse(lines, spark.createDataFrame([], sources.LINKS), F.lit(AS_OF)).cache()
