@@ -60,6 +60,7 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 #: Bytes of an Arrow batch that a Python function is given at once; a single longer row goes alone.
 SLICE_BYTES = 8 << 20
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -77,7 +78,13 @@ def give_back() -> None:
 
 
 def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``f`` on every Arrow batch of ``df``, a part at a time."""
+    """``f`` on every Arrow batch of ``df``, a part at a time.
+
+    A session that names no bound for the bytes of a batch gets SLICE_BYTES, so that the JVM's copy of a
+    batch, which a count of rows alone doesn't bound, stays as small as Python's.
+    """
+    if BATCH_BYTES not in df.sparkSession.conf.getAll:
+        df.sparkSession.conf.set(BATCH_BYTES, str(SLICE_BYTES))
 
     def run(batches):
         for b in batches:
