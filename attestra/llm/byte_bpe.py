@@ -76,6 +76,8 @@ def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 #: A run that could be one long piece: letters, numbers, white space, or anything else.
 LONG_RUN = regex.compile(rf"\p{{L}}{{{LONG_PIECE // 4},}}|\p{{N}}{{{LONG_PIECE // 4},}}|\s{{{LONG_PIECE // 4},}}|[^\s\p{{L}}\p{{N}}]{{{LONG_PIECE // 4},}}")
 
+WHITE = regex.compile(r"\s")
+
 
 def may_hold_long_piece(text: str) -> bool:
     """False for almost every text, by the lengths of its words; else as LONG_RUN says."""
@@ -98,9 +100,10 @@ def encode_text(text: str, enc: tiktoken.Encoding, ranks: dict[bytes, int], patt
         if may_hold_long_piece(part):
             for m in pattern.finditer(part):
                 if m.end() - m.start() >= LONG_PIECE // 4 and len(piece := m[0].encode()) > LONG_PIECE:
-                    # A match looks ahead for white space only, and a run of white space cut at the end
-                    # of a match is matched whole: what stands before and after a match can go alone.
-                    ids += enc.encode_ordinary(part[at : m.start()])
+                    # What stands before and after a match can go alone, but for a run of white space before
+                    # it: followed by text, the last character of the run is a match of its own.
+                    cut = m.start() - 1 if m.start() > at and WHITE.match(part, m.start() - 1) else m.start()
+                    ids += enc.encode_ordinary(part[at:cut]) + enc.encode_ordinary(part[cut : m.start()])
                     ids += [ranks[piece]] if piece in ranks else merge_long(piece, ranks)
                     at = m.end()
         ids += enc.encode_ordinary(part[at:])

@@ -219,6 +219,16 @@ def test_segments_are_whole():
         assert "".join(parts) == t and [m for p in parts for m in pattern.findall(p)] == pattern.findall(t)
 
 
+def test_bpe_white_space_before_long_pieces():
+    plain, opened = plain_encoding(), byte_bpe.encoding(RANKS, public_tokenizers.PATTERN)
+    r = random.Random(6)
+    kinds = [" ", "\n", "\t", "\r\n", "\x0b", "\x0c", "\x1c", "\x85", "\xa0", "\u2028", "\u3000"]
+    runs = ["x" * 2100, "日本" * 400, "7" * 2100, "=" * 2100, "\u0301" * 1100, "ab1" * 40, "'s", "\n" * 2100]
+    texts = ["a" + w + t for w in ("\n\n", "\t\t", " \n", "\n ", "\n", "\r\n\r\n") for t in runs]
+    texts += ["".join(r.choice(["", "a", "b."]) + "".join(r.choice(kinds) for _ in range(r.randrange(4))) + r.choice(runs) for _ in range(4)) for _ in range(200)]
+    assert [t for t in texts if byte_bpe.encode_text(t, *opened) != plain.encode_ordinary(t)] == []
+
+
 # -- exact duplicates
 
 
