@@ -14,10 +14,20 @@ from attestra.llm import byte_bpe, chunk_dedup, decontaminate, ecoc_langid, ngra
 from attestra.llm.common import small, written
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` less the ids in ``gone(doc_id)``; a null id matches a null id."""
-    out = small(gone.select(F.col("doc_id").alias("gone_")).distinct())
-    return docs.join(out, docs["doc_id"].eqNullSafe(F.col("gone_")), "left_anti")
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` written with a number of each row, and the name of that column.
+
+    Ids may be null or repeat; a written number names one row, the same each time it is read.
+    """
+    row = "row_"
+    while row in map(str.lower, docs.columns):
+        row += "_"
+    return written(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), row
+
+
+def _without(docs: DataFrame, gone: DataFrame, row: str) -> DataFrame:
+    """``docs`` less the rows whose numbers are in ``gone``."""
+    return docs.join(small(gone), row, "left_anti").drop(row)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,20 +37,27 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are equal but for the case of A-Z, the row with the largest id stays."""
-    return _without(docs, written(chunk_dedup.exact_duplicates(docs).where(~F.col("kept")), "copies"))
+    """Of texts that are equal but for the case of A-Z, one row stays: the one with the largest id, any id before null."""
+    docs, row = _numbered(docs)
+    named = docs.select(F.struct("doc_id", row).alias("id"), "text")
+    copies = chunk_dedup.exact_duplicates(named, id_col="id").where(~F.col("kept"))
+    return _without(docs, written(copies.select(f"id.{row}"), "copies"), row)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts linked by a Jaccard similarity of 0.8 or more over five-word n-grams, the smallest id stays."""
-    classes = ngram_join.near_duplicates(docs)
-    return _without(docs, written(classes.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))), "nears"))
+    """Of texts linked by a Jaccard similarity of 0.8 or more over five-word n-grams, one row stays: the one with the smallest id, any id before null."""
+    docs, row = _numbered(docs)
+    named = docs.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", row).alias("id"), "text")
+    copies = ngram_join.near_duplicates(named, id_col="id").where(F.col("id") != F.col("component_id"))
+    return _without(docs, written(copies.select(f"id.{row}"), "nears"), row)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of ten words of a benchmark item, or a whole shorter item."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _without(docs, written(decontaminate.contamination(docs, items).where("contaminated"), "leaks"))
+    docs, row = _numbered(docs)
+    leaks = decontaminate.contamination(docs, items, id_col=row).where("contaminated")
+    return _without(docs, written(leaks.select(row), "leaks"), row)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -428,3 +428,20 @@ def test_pipeline_against_brute_force(spark, tmp_path):
         want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()))
     assert sorted(tuple(x) for x in got) == sorted(want)
     assert 30 < len(want) < len(rows) - 10
+
+
+def test_pipeline_stages_decide_by_row(spark, tmp_path):
+    """Several null and repeated ids: one row of each group stays, and no other row goes for having the same id."""
+    item = prose(30, 600)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    a, b, c, d, e = (prose(60, 800 + i, 10**6) for i in range(5))
+    frame = lambda rows: spark.createDataFrame([(i, t, "s", "q") for i, t in rows], "doc_id long, text string, row_ string, component_id string").repartition(3)
+    left = lambda stage, rows: sorted(((r["doc_id"], r["text"]) for r in stage(spark, frame(rows), str(tmp_path)).collect()), key=str)
+    rows = [(None, a), (None, a.upper()), (None, a), (None, b), (1, c), (1, c), (1, d), (2, d), (None, d), (None, None)]
+    got = left(corpus_pipeline.exact, rows)
+    assert [x for x in got if (x[1] or "").lower() != a] == sorted([(None, b), (1, c), (2, d), (None, None)], key=str) and len(got) == 5
+    rows = [(None, a + " x"), (None, a), (None, a), (None, b), (1, c), (1, c), (1, d + " x"), (2, d), (None, d), (1, e), (None, None), (None, None)]
+    got = left(corpus_pipeline.near, rows)
+    assert [x for x in got if not (x[1] or "").startswith(a)] == sorted([(None, b), (1, c), (1, d + " x"), (1, e), (None, None), (None, None)], key=str) and len(got) == 7
+    rows = [(None, a + " " + item), (None, b), (None, None), (1, item), (1, c), (1, c), (2, d)]
+    assert left(corpus_pipeline.benchmark, rows) == sorted([(None, b), (None, None), (1, c), (1, c), (2, d)], key=str)
