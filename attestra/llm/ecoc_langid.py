@@ -31,6 +31,8 @@ PIECE = 1 << 18
 MARGIN = 0.05
 UNDETERMINED = "und"
 LETTER = re.compile(r"[^\W\d_]")
+#: Names of the columns that ``identify`` makes.
+MADE = ("lang_pred", "score", "ambiguous", "lettered")
 
 
 def codewords(k: int) -> np.ndarray:
@@ -67,6 +69,10 @@ def pieces(text: str):
         yield data[at : at + PIECE + max(ORDERS) - 1]
 
 
+def lettered(text: str | None) -> bool:
+    return bool(text and LETTER.search(text))
+
+
 def histogram(text: str) -> np.ndarray:
     """Shares of all n-grams of the whole text by bucket; each order sums to 1 (short overlaps aside)."""
     h = np.zeros(len(ORDERS) * BUCKETS)
@@ -93,7 +99,7 @@ class Model:
 
     def decide(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score from 0 to 1, and whether the second codeword is nearly as near."""
-        if not text or not LETTER.search(text) or not self.languages:
+        if not lettered(text) or not self.languages:
             return UNDETERMINED, 0.0, True
         if len(self.languages) == 1:
             return self.languages[0], 1.0, False
@@ -162,28 +168,30 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_languag
     return Model(languages, code, w.astype(np.float32), -(mean @ w))
 
 
-def identify(docs: DataFrame, train_on: Column | None = None, text: str = "text", lang: str = "lang", id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``(<id>, *keep, lang_pred, score, ambiguous)`` per row, from its whole text alone.
+def identify(docs: DataFrame, train_on: Column | None = None, text: str = "text", lang: str = "lang", id_col: str = "doc_id", keep: tuple[str, ...] = (), made: tuple[str, str, str, str] = MADE) -> DataFrame:
+    """``(<id>, *keep, lang_pred, score, ambiguous, lettered)`` per row, from its whole text alone.
 
     The classifiers are fitted on rows of ``docs`` where ``train_on`` holds (all, if None). A text that
     is null, or has no letter, is `und` with score 0 and ambiguous; so is every text if no row could be
     learned from. Repeated rows get equal answers; an empty table gives an empty result. ``keep`` names
     columns to hand on; the others are not read, whatever their names. The score is the best
-    codeword's share of exp(-loss) over all codewords.
+    codeword's share of exp(-loss) over all codewords; ``lettered`` says that the text has a letter,
+    whatever was learned. ``made`` names the last four columns otherwise.
     """
     model = fit(docs if train_on is None else docs.where(train_on), text, lang)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by BUCKETS, ORDERS and the code's length
-    cols = [docs[id_col].alias("id_"), docs[text].alias("text_"), *[docs[c] for c in keep]]
+    cols = [docs[id_col], docs[text], *[docs[c] for c in keep]]
+    own = [f"c{i}" for i in range(len(cols) - 1 + len(made))]  # in Python and Arrow, where no name of the caller's may clash
 
     def run(b: pa.RecordBatch):
         m = shared.value
-        got = [m.decide(t) for t in b.column(1).to_pylist()]
-        made = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.bool_())]
-        yield pa.record_batch([b.column(0), *[b.column(i) for i in range(2, b.num_columns)], *made], ["id_", *keep, "lang_pred", "score", "ambiguous"])
+        texts = b.column(1).to_pylist()
+        got = [m.decide(t) for t in texts]
+        new = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.bool_()), pa.array([lettered(t) for t in texts], pa.bool_())]
+        yield pa.record_batch([b.column(0), *[b.column(i) for i in range(2, b.num_columns)], *new], own)
 
-    kind = lambda c: docs.schema[c].dataType.simpleString()
-    fields = ", ".join([f"id_ {kind(id_col)}", *[f"`{c}` {kind(c)}" for c in keep], "lang_pred string, score double, ambiguous boolean"])
-    return arrow_map(docs.select(*cols), run, fields).withColumnRenamed("id_", id_col)
+    kinds = [*[docs.schema[c].dataType.simpleString() for c in (id_col, *keep)], "string", "double", "boolean", "boolean"]
+    return arrow_map(docs.select(*cols), run, ", ".join(map(" ".join, zip(own, kinds, strict=True)))).toDF(id_col, *keep, *made)
 
 
 __all__ = ["Model", "codewords", "fit", "identify"]

@@ -14,14 +14,19 @@ from attestra.llm import byte_bpe, chunk_dedup, decontaminate, ecoc_langid, ngra
 from attestra.llm.common import small, written
 
 
+def _new(name: str, docs: DataFrame) -> str:
+    """``name``, longer if a column of ``docs`` has it."""
+    while name in map(str.lower, docs.columns):
+        name += "_"
+    return name
+
+
 def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     """``docs`` written with a number of each row, and the name of that column.
 
     Ids may be null or repeat; a written number names one row, the same each time it is read.
     """
-    row = "row_"
-    while row in map(str.lower, docs.columns):
-        row += "_"
+    row = _new("row_", docs)
     return written(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), row
 
 
@@ -32,8 +37,11 @@ def _without(docs: DataFrame, gone: DataFrame, row: str) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts whose language can't be told: null texts and those without a letter. ``lang`` stays as it was."""
-    judged = ecoc_langid.identify(docs, keep=tuple(c for c in docs.columns if c != "doc_id"))
-    return judged.where(F.col("lang_pred") != ecoc_langid.UNDETERMINED).select(*docs.columns)
+    lang, lettered = _new("lang_", docs), _new("lettered_", docs)
+    made = (lang, _new("score_", docs), _new("ambiguous_", docs), lettered)
+    judged = ecoc_langid.identify(docs, keep=tuple(c for c in docs.columns if c != "doc_id"), made=made)
+    # where no row names its language nothing is learned, and `und` says nothing about the text
+    return judged.where((F.col(lang) != ecoc_langid.UNDETERMINED) | F.col(lettered)).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -445,3 +445,12 @@ def test_pipeline_stages_decide_by_row(spark, tmp_path):
     assert [x for x in got if not (x[1] or "").startswith(a)] == sorted([(None, b), (1, c), (1, d + " x"), (1, e), (None, None), (None, None)], key=str) and len(got) == 7
     rows = [(None, a + " " + item), (None, b), (None, None), (1, item), (1, c), (1, c), (2, d)]
     assert left(corpus_pipeline.benchmark, rows) == sorted([(None, b), (None, None), (1, c), (1, c), (2, d)], key=str)
+
+
+def test_pipeline_language_with_nothing_to_learn(spark, tmp_path):
+    rows = [(1, "Some words here"), (2, None), (3, "12 ..."), (None, "é"), (4, "")]
+    for lang in (None, "en"):
+        frame = spark.createDataFrame([(i, t, lang, "a", 1, "b", "c", "d", "e", 2) for i, t in rows], "doc_id long, text string, lang string, lang_pred string, score int, ambiguous string, id_ string, text_ string, lang_ string, lettered int")
+        got = corpus_pipeline.language(spark, frame, str(tmp_path))
+        assert got.columns == frame.columns
+        assert sorted(map(tuple, got.collect()), key=str) == sorted([(i, t, lang, "a", 1, "b", "c", "d", "e", 2) for i, t in (rows[0], rows[3])], key=str)
