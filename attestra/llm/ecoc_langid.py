@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestra.llm.common import arrow_map
@@ -112,19 +112,23 @@ class Model:
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_language: int = TRAIN_PER_LANGUAGE) -> Model:
-    """Fit on a bounded sample of ``labelled``: about ``per_language`` texts of each language, picked by a hash of the text.
+    """Fit on a bounded sample of ``labelled``: about ``per_language`` different texts of each language, picked by a hash of the text.
 
     Rows without language or text are left out. Histograms of the sampled texts are made by the
     executors and only these reach the driver, at most ``2 * per_language`` a language. No rows: a
     model that knows no language and answers `und`.
     """
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    # copies count once, so a language of few texts with many copies has all of its texts picked
+    counts = {r["lang"]: r["count"] for r in rows.select("lang", "hash").distinct().groupBy("lang").count().collect()}
     languages = sorted(counts)
     if not languages:
         return Model([], codewords(0), np.zeros((1, 1)), np.zeros(1))
     rate = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_language / n))])
-    picked = rows.where(F.abs(F.xxhash64("text") % 1_000_003) < 1_000_003 * rate[F.col("lang")])
+    some = rows.where(F.abs(F.col("hash") % 1_000_003) < 1_000_003 * rate[F.col("lang")]).distinct()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "text"))
+    picked = some.withColumn("place", place).where(F.col("place") <= 2 * per_language).select("lang", "text")
 
     def run(b: pa.RecordBatch):
         at, val, names = [], [], []
@@ -136,7 +140,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_languag
             val.append(h[nz].astype("<f4").tobytes())
         yield pa.record_batch([pa.array(names, pa.string()), pa.array(at, pa.binary()), pa.array(val, pa.binary())], ["lang", "at", "val"])
 
-    got = arrow_map(picked, run, "lang string, at binary, val binary").limit(2 * per_language * len(languages)).collect()
+    got = arrow_map(picked, run, "lang string, at binary, val binary").collect()
     got.sort(key=lambda r: (r["lang"], bytes(r["at"]), bytes(r["val"])))
     rows = [(np.frombuffer(r["at"], "<i4"), np.frombuffer(r["val"], "<f4")) for r in got]
     y = np.array([languages.index(r["lang"]) for r in got], int)

@@ -363,6 +363,14 @@ def test_language_held_out(spark):
     assert ecoc_langid.identify(frame.where("false")).collect() == []
 
 
+def test_language_sample_with_copies(spark):
+    """A language of few texts with many copies is learned, and a hot text pushes none out."""
+    rows = [("de", f"wort {i % 3}") for i in range(900)] + [(k, f"{k} {i}") for k in ("en", "fr") for i in range(400)]
+    rows += [("aa", f"hot {i % 40}") for i in range(4000)]
+    frame = spark.createDataFrame(rows, "lang string, text string").orderBy("lang")
+    assert ecoc_langid.fit(frame, per_language=5).languages == ["aa", "de", "en", "fr"]
+
+
 # -- urls
 
 
