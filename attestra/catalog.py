@@ -75,7 +75,7 @@ def contact_emails(spark, sf_dir):
 
 def phone_candidates(spark, sf_dir):
     """Documents with numbers in international form."""
-    d = _table(spark, sf_dir, "documents").where(F.col("text").rlike(r"\d{3}")).select("doc_id", contact.phones(F.col("text")).alias("p")).where(F.size("p") > 0)
+    d = _table(spark, sf_dir, "documents").where(F.col("text").rlike(r"\d(?:[ .()-]*\d){7}")).select("doc_id", contact.phones(F.col("text")).alias("p")).where(F.size("p") > 0)
     return d.select("doc_id", F.get("p", F.lit(0)).alias("phone"), F.size("p").cast("long").alias("numbers"))
 
 
