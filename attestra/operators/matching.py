@@ -108,6 +108,6 @@ def years_and_recency(spans: Column, as_of: Column) -> tuple[Column, Column]:
 
 
 def needs_review(baseline: Column, forbidden: Column, conflict: Column, jd: Column, has_evidence: Column) -> Column:
-    """Whether a pair would go to a second, contextual model (a hook; none is part of this package)."""
+    """Whether a pair would go to a second, contextual model, which is not part of this package."""
     odd = (F.size(forbidden) > 0) | conflict | jd.rlike(r"\b[A-Z]{2,4}\b|\bnot\b")
     return (baseline.between(40, 70) | odd) & has_evidence

@@ -53,8 +53,8 @@ _hooks: dict[str, Hook] = {}
 
 
 def register_hook(name: str, f: Hook) -> None:
-    """``name`` is one of pdf_lines, pdf_links, ocr_lines, person_names, embeddings, rerank, suggestions."""
-    if name not in {"pdf_lines", "pdf_links", "ocr_lines", "person_names", "embeddings", "rerank", "suggestions"}:
+    """``name`` is pdf_lines, the only reader that is called; other names are refused, as nothing would read them."""
+    if name != "pdf_lines":
         raise ValueError(f"no hook is called {name}")
     _hooks[name] = f
 

@@ -254,3 +254,9 @@ def test_stream(spark, tmp_path):
     q.awaitTermination(60)
     got = spark.table("evidence").first()
     assert got["text"] == "Knows Go.\na@b.org" and got["emails"] == ["a@b.org"]
+
+
+def test_hooks_that_nothing_reads_are_refused():
+    for name in ("pdf_links", "ocr_lines", "person_names", "embeddings", "rerank", "suggestions", "other"):
+        with pytest.raises(ValueError):
+            sources.register_hook(name, lambda batches: batches)
