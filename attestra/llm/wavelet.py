@@ -9,11 +9,13 @@ k-th occurrence found, in steps as many as there are planes.
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import os
 import re
 import struct
 import sys
+import uuid
 import zlib
 from array import array
 
@@ -31,6 +33,8 @@ from attestra.llm.common import arrow_map, scratch_dir
 MAGIC, BLOCK = b"WVMX0001", 512
 #: Ids of a shard after which it is closed, at the end of a document.
 SHARD_IDS = 1 << 22
+#: What a null id counts as.
+LEAST = -(1 << 63)
 #: Words whose ids a worker remembers. More are encoded where they come; once these are eight times as many
 #: as are remembered, it starts anew, so that what it remembers follows the texts.
 MEMO = 650_000
@@ -39,6 +43,11 @@ NOT_SPACE = "\x1c\x1d\x1e\x1f"
 SPACE = re.compile(r"[ \t\r\n]+")
 #: What a word may end with and still be encoded as the word and this.
 ENDS = frozenset(".,;:!?")
+#: A pattern whose matches hold no white space, and kinds of pre-tokenizers and normalizers for which
+#: a text's ids are those of its runs between white space, one after the other.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+SPLITTERS = frozenset({"Whitespace", "WhitespaceSplit", "BertPreTokenizer"})
+NORMALIZERS = frozenset({"NFC", "NFKC", "Lowercase", "Replace"})
 
 
 class WaveletMatrix:
@@ -151,10 +160,18 @@ def open_shard(data: bytes) -> tuple[int, list[int | None], np.ndarray, WaveletM
     return first, docs, np.frombuffer(parts[2], "<i8"), WaveletMatrix(n, [np.frombuffer(p, np.uint8) for p in parts[3:]], zeros)
 
 
+def qualified(spark, path: str) -> str:
+    """``path``, made a folder, with scheme and host as Hadoop resolves it: one without a scheme is of the default file system."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(where)
+    return store.makeQualified(where).toString()
+
+
 def put(uri: str, data: bytes) -> None:
-    """Write a file whole or not at all; a second attempt of a task writes the same bytes again."""
-    local = re.sub(r"^file:/+", "/", uri)
-    if local.startswith("/"):
+    """Write a file whole or not at all, under a qualified uri; a second attempt of a task writes the same bytes again."""
+    if uri.startswith("file:"):
+        local = re.sub(r"^file:/+", "/", uri)
         os.makedirs(os.path.dirname(local), exist_ok=True)
         with open(tmp := f"{local}.{os.getpid()}.tmp", "wb") as f:
             f.write(data)
@@ -164,16 +181,30 @@ def put(uri: str, data: bytes) -> None:
 
     store, path = fs.FileSystem.from_uri(uri)
     store.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    with store.open_output_stream(path) as f:
+    with store.open_output_stream(tmp := f"{path}.{uuid.uuid4().hex}.tmp") as f:
         f.write(data)
+    store.move(tmp, path)
 
 
 @functools.lru_cache(maxsize=2)
 def _tokenizer(name: str, path: str) -> Tokenizer:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    t = Tokenizer.from_file(path if SparkContext._active_spark_context is not None else SparkFiles.get(name))
-    t.encode_special_tokens = True  # the strings of special tokens are ordinary text here
-    return t
+    return Tokenizer.from_file(path if SparkContext._active_spark_context is not None else SparkFiles.get(name))
+
+
+def _flat(step: dict | None, inside: str) -> list[dict]:
+    return [] if step is None else [y for x in step[inside] for y in _flat(x, inside)] if step["type"] == "Sequence" else [step]
+
+
+def splits_at_space(config: dict) -> bool:
+    """Whether the tokenizer of ``config`` gives a text the ids of its runs between white space, one after the other."""
+    before, cut = _flat(config["normalizer"], "normalizers"), _flat(config["pre_tokenizer"], "pretokenizers")
+    plain = all(x["type"] in NORMALIZERS and (x["type"] != "Replace" or (x["pattern"], x["content"]) == ({"Regex": r"\s+"}, " ")) for x in before)
+    first = bool(cut) and (cut[0]["type"] in SPLITTERS or (cut[0]["type"] == "Split" and cut[0]["behavior"] == "Removed" and cut[0]["invert"] and cut[0]["pattern"] == {"Regex": WORD_PATTERN}))
+    # a later step must not mark the start of what it is given
+    marks = any(x["type"] == "Metaspace" or x.get("add_prefix_space") for x in cut)
+    named = all(not SPACE.search(x["content"]) and not x["lstrip"] and not x["rstrip"] and not x["single_word"] for x in config["added_tokens"])
+    return plain and first and not marks and named
 
 
 class _Words(dict):
@@ -184,9 +215,27 @@ class _Words(dict):
         self.tokenizer, self.kind, self.passed = tokenizer, kind, 0
         self.tokenize, self.code = tokenizer.model.tokenize, "H" if kind == "<u2" else "I"
         config = json.loads(tokenizer.to_str())
-        steps = [x["type"] for x in [config["normalizer"], *(config["normalizer"] or {}).get("normalizers", [])] if x]
+        steps = [x["type"] for x in _flat(config["normalizer"], "normalizers")]
+        #: Whether texts may be encoded run by run; if not, they go to the library whole.
+        self.split = splits_at_space(config)
         #: A word of letters below U+0130 is one piece here, and its lower case is its normal form: the model can have it at once.
-        self.direct = "Lowercase" in steps and "ByteLevel" in json.dumps(config["pre_tokenizer"]) and config["model"]["type"] == "BPE"
+        self.direct = self.split and "Lowercase" in steps and "ByteLevel" in json.dumps(config["pre_tokenizer"]) and config["model"]["type"] == "BPE"
+        #: Strings in a text that the library takes for a token as they stand, in lower case.
+        self.named = tuple(x["content"].lower() for x in config["added_tokens"])
+
+    def text(self, t: str) -> bytes:
+        """The ids of a whole text, as the library gives them without special tokens at its ends."""
+        if not self.split:
+            return self.whole(t)
+        if self.direct and t.isascii():
+            low = t.lower()  # what the tokenizer does to each of these letters; fewer forms to remember
+            if not any(x in low for x in self.named):
+                t = low
+        runs = [w for w in SPACE.split(t) if w] if any(c in t for c in NOT_SPACE) else t.split()
+        return b"".join(map(self.__getitem__, runs))
+
+    def whole(self, t: str) -> bytes:
+        return self._ids(self.tokenizer.encode(t, add_special_tokens=False).ids)
 
     def __missing__(self, word: str) -> bytes:
         got = None
@@ -199,7 +248,7 @@ class _Words(dict):
                 if end:
                     got += self[end]
         if got is None:
-            got = self._ids(self.tokenizer.encode(word, add_special_tokens=False).ids)
+            got = self.whole(word)
         if len(self) < MEMO:
             self[word] = got
         else:
@@ -225,9 +274,10 @@ def _words(name: str, path: str, kind: str) -> _Words:
 def encode(docs: DataFrame, tokenizer_path: str, end_id: int, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``(id, ids binary, width)`` per row: little-endian ids of the whole text, ``width`` bytes each, then ``end_id``.
 
-    The tokenizer must lower-case, drop white space and split at it and between letters and marks. Each
-    distinct run of other characters is then encoded by the library once and remembered; a text is the
-    concatenation of its runs.
+    The ids are the library's without special tokens at a text's ends; the string of a special token
+    inside a text is that token, as the library has it. Where the tokenizer drops white space and splits
+    at it, each distinct run of other characters is encoded by the library once and remembered, and a
+    text is the concatenation of its runs; any other tokenizer is given whole texts.
     """
     name = tokenizer_path.rsplit("/", 1)[-1]
     docs.sparkSession.sparkContext.addFile(tokenizer_path)
@@ -235,37 +285,38 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int, text: str = "text"
 
     def run(b: pa.RecordBatch):
         words, end = _words(name, tokenizer_path, kind), np.array([end_id], kind).tobytes()
-        texts, out = b.column(1).to_pylist(), []
-        for t in texts:
-            t = t or ""
-            if words.direct and t.isascii():
-                t = t.lower()  # what the tokenizer does to each of these letters; fewer forms to remember
-            split = [w for w in SPACE.split(t) if w] if any(c in t for c in NOT_SPACE) else t.split()
-            out.append(b"".join(map(words.__getitem__, split)) + end)
+        out = [words.text(t or "") + end for t in b.column(1).to_pylist()]
         yield pa.record_batch([b.column(0), pa.array(out, pa.binary())], ["id", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     return arrow_map(rows, run, "id long, ids binary").withColumn("width", F.lit(int(kind[-1])))
 
 
-def write_shards(tokens: DataFrame, cuts: list[int], path: str | None = None) -> tuple[str, DataFrame]:
+def write_shards(tokens: DataFrame, cuts: list[tuple[int, int]], path: str | None = None) -> tuple[str, DataFrame]:
     """Write ``(id, ids, width)`` as shard files in ascending order of id; the folder, and ``(part, ids)`` written per part.
 
-    ``cuts`` are ids that split the rows into parts of about the same size; each part is sorted by its
-    task and closed into shards of about SHARD_IDS ids, a document never being split. Null ids come
-    first; rows with the same id go in order of their tokens.
+    ``cuts`` are pairs of an id and a hash that split the rows into parts of about the same size; each
+    part is sorted by its task and closed into shards of about SHARD_IDS ids, a document never being
+    split, however many ids it has. A null id is the least; rows with the same id go in order of a hash
+    of their tokens, so those of an id that very many rows have are spread over parts.
     """
-    path = path or scratch_dir(tokens.sparkSession, "tokens")
-    edges = sorted(set(cuts))
     spark = tokens.sparkSession
-    shared = spark.sparkContext.broadcast(np.array(edges, np.int64))
+    path = qualified(spark, path or scratch_dir(spark, "tokens"))
+    edges = np.array(sorted(set(cuts)), np.int64).reshape(-1, 2)
+    shared = spark.sparkContext.broadcast(edges)
 
     def place(batches):
+        low, hot = np.ascontiguousarray(shared.value[:, 0]), shared.value
         for b in batches:
-            ids = b.column(0).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
-            yield pa.record_batch([*b.columns, pa.array(np.searchsorted(shared.value, ids, side="right").astype(np.int32))], ["id", "ids", "width", "part"])
+            ids = b.column(0).fill_null(LEAST).to_numpy(zero_copy_only=False)
+            tie = np.fromiter((zlib.crc32(x) for x in b.column(1).to_pylist()), np.int64, b.num_rows)
+            part = np.searchsorted(low, ids, side="left")
+            for i in np.intersect1d(ids, low):
+                mine = ids == i
+                part[mine] += np.searchsorted(hot[low == i, 1], tie[mine], side="right")
+            yield pa.record_batch([*b.columns, pa.array(tie), pa.array(part.astype(np.int32))], ["id", "ids", "width", "tie", "part"])
 
-    dealt = tokens.mapInArrow(place, "id long, ids binary, width int, part int").repartition(len(edges) + 1, "part").sortWithinPartitions("part", F.col("id").asc_nulls_first(), "ids")
+    dealt = tokens.mapInArrow(place, "id long, ids binary, width int, tie long, part int").repartitionById(len(edges) + 1, "part").sortWithinPartitions("part", F.col("id").asc_nulls_first(), "tie", "ids").drop("tie")
 
     def write(batches):
         _words.cache_clear()  # this worker may have encoded before
@@ -299,20 +350,28 @@ def write_shards(tokens: DataFrame, cuts: list[int], path: str | None = None) ->
     return path, dealt.mapInArrow(write, "part int, ids long")
 
 
-def order_cuts(docs: DataFrame, parts: int, id_col: str = "doc_id") -> list[int]:
-    """At most ``parts - 1`` ids between which the rows fall about evenly."""
+def order_cuts(docs: DataFrame, parts: int, id_col: str = "doc_id") -> list[tuple[int, int]]:
+    """At most ``parts - 1`` pairs of an id and a hash below 2**32, between which the rows fall about evenly.
+
+    An id that several cuts fall on has that many parts of the hash's range.
+    """
     if parts < 2:
         return []
-    at = docs.agg(F.percentile_approx(F.col(id_col).cast("long"), [i / parts for i in range(1, parts)], 10_000)).first()[0]
-    return sorted(set(at or []))
+    at = docs.agg(F.percentile_approx(F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST)), [i / parts for i in range(1, parts)], 10_000)).first()[0]
+    cuts = []
+    for i, group in itertools.groupby(sorted(at or [])):
+        n = len(list(group))
+        cuts += [(i, (1 << 32) * j // n) for j in range(n)]
+    return cuts
 
 
 def tokenize_to_files(docs: DataFrame, tokenizer_path: str, end_id: int, text: str = "text", id_col: str = "doc_id", path: str | None = None) -> tuple[str, list[int]]:
     """Encode every row of ``docs`` and write the shard files; the folder, and the place of each part's first id.
 
-    A null or empty text has the end id alone; repeated rows and null ids are written too. An empty
-    table writes no file. One number for each part reaches the driver, and the number of parts is that
-    of shuffle partitions.
+    A null or empty text has the end id alone; repeated rows and null ids are written too, in a fixed
+    order. A text of more ids than a shard should have is a shard by itself. An empty table writes no
+    file. Columns other than the id and the text are not read, whatever their names. One number for each
+    part reaches the driver, and the number of parts is that of shuffle partitions.
     """
     spark = docs.sparkSession
     cuts = order_cuts(docs, int(spark.conf.get("spark.sql.shuffle.partitions")), id_col)
