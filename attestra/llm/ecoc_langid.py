@@ -8,6 +8,7 @@ the second codeword costs nearly as little.
 from __future__ import annotations
 
 import itertools
+import json
 import re
 from dataclasses import dataclass
 
@@ -23,6 +24,8 @@ BUCKETS = 1 << 14
 ORDERS = (1, 2, 3, 4)
 #: Texts of each language, as a mean, that the classifiers are fitted on.
 TRAIN_PER_LANGUAGE = 250
+#: Texts that the classifiers are fitted on altogether, at least one of each language; languages that may be learned.
+TRAIN_TEXTS, MOST_LANGUAGES = 5000, 5000
 #: Columns of the training matrix that the driver holds at once.
 COLUMNS = 1 << 12
 #: Bytes of text worked on at once.
@@ -36,17 +39,31 @@ MADE = ("lang_pred", "score", "ambiguous", "lettered")
 
 
 def codewords(k: int) -> np.ndarray:
-    """``k`` rows of +1 and -1. Up to 7 classes: every split of the classes, once. More: 63 splits by a fixed seed, rows at least a quarter apart."""
+    """``k`` rows of +1 and -1, at least a quarter of their places apart.
+
+    Up to 7 classes: every split of the classes, once. More: rows drawn by a fixed seed one after the
+    other, each far enough from those before; where some draws in a row fail the code gets longer, so
+    this ends for any ``k``.
+    """
     if k < 2:
         return np.ones((k, 1), np.int8)
     if k <= 7:
         cols = [(1, *c) for c in itertools.product((1, -1), repeat=k - 1) if -1 in c]
         return np.array(cols, np.int8).T
-    for seed in itertools.count():
-        code = np.where(np.random.default_rng(seed).random((k, 63)) < 0.5, 1, -1).astype(np.int8)
-        apart = (63 - code.astype(int) @ code.T.astype(int)) // 2 + 63 * np.eye(k, dtype=int)
-        if apart.min() >= 16 and (abs(code.sum(0)) < k).all():
-            return code
+    width = 63
+    while True:
+        draw = np.random.default_rng(width)
+        code = np.zeros((k, width), np.int8)
+        for i in range(k):
+            some = np.where(draw.random((32, width)) < 0.5, 1, -1).astype(np.int8)
+            far = (width - some.astype(np.float32) @ code[:i].T.astype(np.float32)).min(1, initial=2 * width) >= 2 * -(-width // 4)
+            if not far.any():
+                break
+            code[i] = some[far.argmax()]
+        else:
+            if (abs(code.sum(0, dtype=int)) < k).all():
+                return code
+        width += 16
 
 
 def grams(data: bytes) -> list[np.ndarray]:
@@ -114,9 +131,11 @@ class Model:
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_language: int = TRAIN_PER_LANGUAGE) -> Model:
     """Fit on a bounded sample of ``labelled``: about ``per_language`` different texts of each language, picked by a hash of the text.
 
-    Rows without language or text are left out. Histograms of the sampled texts are made by the
-    executors and only these reach the driver, at most ``2 * per_language`` a language. No rows: a
-    model that knows no language and answers `und`.
+    Rows without language or text are left out; copies of a text count once, and every language that
+    has a row is learned. Histograms of the sampled texts are made by the executors and only these reach
+    the driver, at most a quarter more than ``per_language`` a language and, where there are many
+    languages, fewer of each, so that about TRAIN_TEXTS come in all. No rows: a model that knows no language and answers
+    `und`. More than MOST_LANGUAGES different values is an error: such a column doesn't hold languages.
     """
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     rows = rows.withColumn("hash", F.xxhash64("text"))
@@ -125,10 +144,14 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_languag
     languages = sorted(counts)
     if not languages:
         return Model([], codewords(0), np.zeros((1, 1)), np.zeros(1))
-    rate = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_language / n))])
+    if len(languages) > MOST_LANGUAGES:
+        raise ValueError(f"{len(languages)} different values of {lang}, over the bound of {MOST_LANGUAGES}")
+    each = max(1, min(per_language, TRAIN_TEXTS // len(languages)))
+    # at least some twenty texts of each language are let through, so that none is lost to its hashes
+    rate = F.from_json(F.lit(json.dumps({k: min(1.0, max(each, 20) / n) for k, n in counts.items()})), "map<string,double>")
     some = rows.where(F.abs(F.col("hash") % 1_000_003) < 1_000_003 * rate[F.col("lang")]).distinct()
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "text"))
-    picked = some.withColumn("place", place).where(F.col("place") <= 2 * per_language).select("lang", "text")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.abs(F.col("hash") % 1_000_003), "hash", "text"))
+    picked = some.withColumn("place", place).where(F.col("place") <= each + each // 4).select("lang", "text")
 
     def run(b: pa.RecordBatch):
         at, val, names = [], [], []
@@ -177,7 +200,9 @@ def identify(docs: DataFrame, train_on: Column | None = None, text: str = "text"
 
     The classifiers are fitted on rows of ``docs`` where ``train_on`` holds (all, if None). A text that
     is null, or has no letter, is `und` with score 0 and ambiguous; so is every text if no row could be
-    learned from. Repeated rows get equal answers; an empty table gives an empty result. ``keep`` names
+    learned from. Repeated rows get equal answers, as do equal texts; of codewords that cost the same the
+    first language in order of its name is taken, and the answer is ambiguous. Texts of any length are
+    read whole, a piece at a time; an empty table gives an empty result. ``keep`` names
     columns to hand on; the others are not read, whatever their names. The score is the best
     codeword's share of exp(-loss) over all codewords; ``lettered`` says that the text has a letter,
     whatever was learned. ``made`` names the last four columns otherwise.
