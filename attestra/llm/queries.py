@@ -35,7 +35,7 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_warc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive = warc_store.write_archive(_table(spark, sf_dir, "pages"))
     out = warc_store.reconstruct(archive, spark, with_payload=False)
-    return out.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return out.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
 
 
 def op3_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,10 +58,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    extra = spark.createDataFrame([(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)], "conv_id long, turn long, role string, text string")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL_TEXT).alias("text"))
     back = chat_fsm.read_back(chat_fsm.format_conversations(turns.unionByName(extra)))
     plain = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return back.select("conv_id", "n_turns", F.sha2(plain, 256).alias("turns_sha256"), "loss_chars", F.sha2("learned_text", 256).alias("loss_sha256"), "formatted_chars")
+    return back.select("conv_id", "n_turns", F.sha2(plain, 256).alias("turns_sha256"), "loss_chars", F.sha2("learned_text", 256).alias("loss_sha256"), "formatted_chars", "state", "valid")
 
 
 def op8_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +72,7 @@ def op8_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ecoc_langid.identify(_table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 5) != 0)
-    return out.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
 def op10_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +96,7 @@ d AS (SELECT page_id, body, CAST(octet_length(encode(body)) AS BIGINT) AS payloa
 SELECT page_id, payload_bytes,
   array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((('0x' || substr(h, 1 + 5 * (i // 4), 5))::BIGINT >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31 AS BIGINT), 1)), '') AS payload_digest,
   CASE WHEN page_id = owner THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN page_id <> owner THEN owner END AS refers_to
+  CASE WHEN page_id <> owner THEN owner END AS refers_to, true AS intact
 FROM d
 """
 
@@ -124,12 +124,15 @@ _OP7 = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
-x AS (SELECT *, length(role) + length(text) + length(regexp_replace(role || text, '[^\\#<:]', '', 'g')) + 15 AS chars FROM t)
+x AS (SELECT *, length(role) + length(text) + length(regexp_replace(role || text, '[^\\#<:]', '', 'g')) + 15 AS chars,
+  coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text), 'start') || '>' || role IN ('start>system', 'start>user', 'system>user', 'user>assistant', 'assistant>user', 'assistant>tool', 'tool>assistant') AS ok FROM t)
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(chars) AS BIGINT) AS formatted_chars
+  CAST(sum(chars) AS BIGINT) AS formatted_chars,
+  CASE WHEN bool_and(ok) THEN arg_max(role, (turn, role, text)) ELSE 'invalid' END AS state,
+  bool_and(ok) AND arg_max(role, (turn, role, text)) = 'assistant' AS valid
 FROM x GROUP BY conv_id
 """
 

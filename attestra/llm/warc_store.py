@@ -12,11 +12,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm.common import scratch_dir
+from attestra.llm.common import scratch_dir, small, written
 
 #: The base-32 alphabet and the profile that WARC/1.1 names for equal payloads.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+URN = "urn:x-page"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Digests that several rows have, of some 130 bytes, up to which they are broadcast.
+BROADCAST_DIGESTS = 100_000
 #: Payloads of at least so many bytes are stored once.
 MIN_BYTES = 0
 
@@ -33,7 +36,19 @@ def base32(hexed: Column) -> Column:
 
 
 def _urn(page: Column) -> Column:
-    return F.concat(F.lit("<urn:x-page:"), F.coalesce(page.cast("string"), F.lit("none")), F.lit(">"))
+    """A name for any id, none the same as another's; what would end it or the line is percent-encoded. A null id has a name of its own."""
+    said = page.cast("string")
+    for sign in "%>\r\n":
+        said = F.replace(said, F.lit(sign), F.lit(f"%{ord(sign):02X}"))
+    return F.coalesce(F.concat(F.lit(URN), F.lit(":"), said), F.lit(URN))
+
+
+def _named(urn: Column) -> Column:
+    """The id, as a string, that a name was made of."""
+    said = F.when(F.startswith(urn, F.lit(f"{URN}:")), F.substring(urn, len(URN) + 2, 2147483647))
+    for sign in "\n\r>%":
+        said = F.replace(said, F.lit(f"%{ord(sign):02X}"), F.lit(sign))
+    return said
 
 
 def _header(page: Column, uri: Column, digest: Column, size: Column, refers_to: Column, revisit: Column) -> Column:
@@ -43,11 +58,11 @@ def _header(page: Column, uri: Column, digest: Column, size: Column, refers_to:
         "\r\n",
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), F.when(revisit, "revisit").otherwise("response")),
-        F.concat(F.lit("WARC-Record-ID: "), _urn(page)),
+        F.concat(F.lit("WARC-Record-ID: <"), _urn(page), F.lit(">")),
         F.lit("WARC-Date: 1970-01-01T00:00:00Z"),
         F.concat(F.lit("WARC-Target-URI: "), clean),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), digest),
-        F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), _urn(refers_to))),
+        F.when(revisit, F.concat(F.lit("WARC-Refers-To: <"), _urn(refers_to), F.lit(">"))),
         F.when(revisit, F.lit(f"WARC-Profile: {PROFILE}")),
         F.lit("Content-Type: application/octet-stream"),
         F.concat(F.lit("Content-Length: "), F.when(revisit, F.lit(0)).otherwise(size).cast("string")),
@@ -73,21 +88,26 @@ def write_archive(pages: DataFrame, path: str | None = None, url: str = "url", b
 
     Of records with equal payloads of at least ``min_bytes``, that with the largest id is a response,
     the others revisit it; smaller ones are all responses. Rows that repeat both id and payload are all
-    responses; a null id is the smallest. Payloads are equal if SHA-256, SHA-1 and length agree. An
-    empty table gives an empty archive. Other columns are not read.
+    responses; a null id is the smallest. Ids may be numbers or strings. Payloads are equal if SHA-256,
+    SHA-1 and length agree. Bodies of any length are kept whole; an empty table gives an empty archive.
+    Other columns are not read, whatever their names.
 
     Bodies move once, to meet the ids that own a payload; digests are made in the scan, and the
-    grouping by digest sees a digest once per task, so copies that are a third of all rows do not meet.
+    grouping by digest sees a digest once per task. The owners of digests that several rows have are
+    written, and are sent to all tasks if a count shows that they are few; else both sides of the join
+    are plain, so that Spark can split a digest that is a third of all rows.
     """
     spark = pages.sparkSession
     path = path or scratch_dir(spark, "warc")
     rows = pages.select(F.col(id_col).alias("id"), F.col(url).alias("uri"), F.encode(F.coalesce(F.col(body), F.lit("")), "UTF-8").alias("payload"))
     sized = rows.withColumn("size", F.octet_length("payload").cast("long")).withColumn("sha1", F.sha1("payload"))
-    key = F.when(F.col("size") >= min_bytes, F.concat_ws("-", F.sha2("payload", 256), "sha1", "size")).otherwise(F.concat_ws("-", F.sha2("payload", 256), "sha1", "size", F.coalesce(F.col("id").cast("string"), F.lit("none"))))
+    key = F.when(F.col("size") >= min_bytes, F.concat_ws("-", F.sha2("payload", 256), "sha1", "size")).otherwise(F.concat_ws("-", F.sha2("payload", 256), "sha1", "size", F.coalesce(F.concat(F.lit("id"), F.col("id").cast("string")), F.lit("none"))))
     keyed = sized.withColumn("digest", key)
     narrow = keyed.select("id", "uri", "size", "sha1", "digest")
-    owners = narrow.groupBy("digest").agg(F.max("id").alias("owner"))
-    with_owner = narrow.join(owners, "digest").withColumn("revisit", ~F.col("id").eqNullSafe(F.col("owner")))
+    owners = written(narrow.groupBy("digest").agg(F.max("id").alias("owner"), F.count(F.lit(1)).alias("rows")), "owners")
+    shared = owners.where("rows > 1").select("digest", "owner", F.lit(True).alias("shared"))
+    owner = F.when(F.col("shared"), F.col("owner")).otherwise(F.col("id"))
+    with_owner = narrow.join(small(shared, BROADCAST_DIGESTS), "digest", "left").withColumn("owner", owner).withColumn("revisit", ~F.col("id").eqNullSafe(F.col("owner")))
     header = _header(F.col("id"), F.col("uri"), base32(F.col("sha1")), F.col("size"), F.col("owner"), F.col("revisit"))
     with_owner.select("id", header.alias("header"), "digest").write.parquet(f"{path}/records")
     # one key column for id and digest, so that the rows that the join has put together need not move again
@@ -103,8 +123,8 @@ def read_headers(archive: Archive, spark: SparkSession) -> DataFrame:
     rec = archive.records(spark)
     text = F.decode("header", "UTF-8")
     line = lambda name: F.nullif(F.regexp_extract(text, rf"\r\n{name}: ?([^\r\n]*)\r\n", 1), F.lit(""))
-    refers = F.regexp_extract(F.coalesce(line("WARC-Refers-To"), F.lit("")), r"urn:x-page:(-?\d+)", 1)
-    return rec.select("id", "header", "digest", line("WARC-Type").alias("record_type"), F.nullif(refers, F.lit("")).cast(rec.schema["id"].dataType).alias("refers_to"), F.replace(line("WARC-Payload-Digest"), F.lit("sha1:"), F.lit("")).alias("stated_sha1"))
+    refers = _named(F.regexp_extract(F.coalesce(line("WARC-Refers-To"), F.lit("")), r"^<([^>]*)>$", 1))
+    return rec.select("id", "header", "digest", line("WARC-Type").alias("record_type"), refers.cast(rec.schema["id"].dataType).alias("refers_to"), F.replace(line("WARC-Payload-Digest"), F.lit("sha1:"), F.lit("")).alias("stated_sha1"))
 
 
 def reconstruct(archive: Archive, spark: SparkSession, with_payload: bool = True) -> DataFrame:
