@@ -23,8 +23,13 @@ from attestra.llm.common import arrow_map, components, free, give_back, small, w
 WORDS, PERCENT = 5, 80
 #: Words whose hashes a worker remembers before it forgets them all.
 MEMO = 250_000
-#: Input bytes for each bucket of n-grams, and the least number of buckets.
-BUCKET_BYTES, LEAST_BUCKETS = 32 << 20, 256
+#: N-grams of all documents for each task and bucket, and the least number of buckets.
+TASK_GRAMS, LEAST_BUCKETS = 1 << 20, 256
+#: Documents that an n-gram must be in, by estimate, for it to pass by its bucket; one in how many texts the estimate is made on;
+#: and the most such n-grams, which are sent to all tasks.
+HOT, HOT_SAMPLE, MOST_HOT = 1 << 20, 64, 1 << 20
+#: Pivots, of some 80 bytes, up to which they are broadcast.
+BROADCAST_PIVOTS = 100_000
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -106,8 +111,32 @@ def _joined(table: pa.Table, name: str, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
 
 
-def prefixes(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """``(key, n, u, prefix array<long>)`` for each distinct set that may link with another.
+def hot_grams(docs: DataFrame, words: int, texts: int, grams: int) -> tuple[np.ndarray, np.ndarray]:
+    """N-grams, sorted, that some HOT of the ``texts`` have, and how many have them, by an estimate.
+
+    Which n-grams these are and in what order changes no result, as long as all tasks hold to the same;
+    the estimate is made on texts picked by a hash. No more than MOST_HOT come to the driver: the bound
+    on documents grows with the number of all ``grams``.
+    """
+    least = max(HOT, -(-grams // MOST_HOT))
+    if texts < least:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int32)
+
+    def run(b: pa.RecordBatch):
+        memo = _memo()
+        got = [shingle_set(t, words, memo) for t in b.column(0).to_pylist()]
+        kinds, n = np.unique(np.concatenate(got), return_counts=True) if got else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        yield pa.record_batch([pa.array(kinds.view(np.int64)), pa.array(n.astype(np.int64))], ["gram", "n"])
+
+    some = arrow_map(docs.where(F.pmod(F.xxhash64("text"), F.lit(HOT_SAMPLE)) == 0).select("text").distinct(), run, "gram long, n long")
+    rows = some.groupBy("gram").agg((F.sum("n") * HOT_SAMPLE).alias("n")).where(F.col("n") >= least).collect()
+    kinds = np.array([r["gram"] for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(kinds)
+    return kinds[order], np.minimum(np.array([r["n"] for r in rows], np.int64), (1 << 31) - 1).astype(np.int32)[order]
+
+
+def prefixes(docs: DataFrame, words: int, percent: int, texts: int, grams: int) -> DataFrame:
+    """``(key, n, u, prefix array<long>)`` for each distinct set that may link with another; ``texts`` and ``grams`` are counts of all rows.
 
     ``u`` n-grams of the set occur in no other set; they are the rarest and come first in the prefix,
     but need not be told apart, as they meet nothing. ``prefix`` holds the rest of it, rarest first. A
@@ -116,11 +145,30 @@ def prefixes(docs: DataFrame, words: int, percent: int) -> DataFrame:
     N-grams are dealt to buckets by their leading bits and sent as packed arrays, of 32 bits beyond the
     bucket's; that two may then be taken for one costs a needless candidate at most. A bucket sees each
     set once however many copies it has, counts exact document frequencies, and sends on only n-grams
-    of two sets or more.
+    of two sets or more. An n-gram that very many sets have, which one bucket could not hold, goes with
+    its set at once, with an estimate for its count: any order will do that is the same for all sets.
+    The numbers of buckets and tasks grow with the n-grams.
     """
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    bits = min(24, max(int(math.log2(LEAST_BUCKETS)), math.ceil(math.log2(max(1, size / BUCKET_BYTES)))))
-    owners = 1 << max(8, bits - 2)
+    tasks = max(1, -(-grams // TASK_GRAMS))
+    bits = min(24, max(LEAST_BUCKETS - 1, tasks - 1).bit_length())
+    tasks = min(tasks, 1 << bits)
+    owners = 1 << max(8, bits)
+    kinds, often = hot_grams(docs, words, texts, grams)
+    # an n-gram is known by its bucket and 32 bits more; those taken for one have one count
+    kinds, place = np.unique(kinds >> np.uint64(32 - bits), return_inverse=True)
+    most = np.zeros(len(kinds), np.int32)
+    np.maximum.at(most, place, often)
+    hot = docs.sparkSession.sparkContext.broadcast((kinds, most))
+
+    def to_owners(top, who, low, df, keys, sizes):
+        """Rows for the sets' owners of n-grams whose buckets are ``top``."""
+        owner = (keys[who] & (owners - 1)).astype(np.int64)
+        order = np.lexsort((who, owner, top))
+        top, owner, who, low, df = top[order], owner[order], who[order], low[order], df[order]
+        cuts = _runs(top)
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            own, *cols = _packed(owner[i:j], _runs(owner[i:j], who[i:j]), who[i:j], keys, sizes, [low[i:j], df[i:j]])
+            yield pa.record_batch([pa.array(np.full(len(own), top[i])), *cols, own], ["bucket", "keys", "sizes", "counts", "grams", "df", "owner"])
 
     def deal(b: pa.RecordBatch):
         memo = _memo()
@@ -134,11 +182,23 @@ def prefixes(docs: DataFrame, words: int, percent: int) -> DataFrame:
         keys, sizes = np.array(list(sets), np.int64), np.array([len(s) for s in sets.values()])
         grams = np.concatenate(list(sets.values()))
         who = np.repeat(np.arange(len(keys)), sizes)
+        kinds, counts = hot.value
+        if len(kinds):
+            known = grams >> np.uint64(32 - bits)
+            at = np.minimum(np.searchsorted(kinds, known), len(kinds) - 1)
+            mine = kinds[at] == known
+            top, low = (grams[mine] >> np.uint64(64 - bits)).astype(np.int64), ((grams[mine] >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype("<u4")
+            for part in to_owners(top, who[mine], low, counts[at[mine]].astype("<i4"), keys, sizes):
+                yield part
+            grams, who = grams[~mine], who[~mine]
+            if not len(grams):
+                return
         bucket = (grams >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
         order = np.argsort(bucket, kind="stable")
         bucket, who = bucket[order], who[order]
         low = ((grams[order] >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype("<u4")
-        yield pa.record_batch(_packed(bucket, _runs(bucket, who), who, keys, sizes, [low]), ["bucket", "keys", "sizes", "counts", "grams"])
+        cols = _packed(bucket, _runs(bucket, who), who, keys, sizes, [low])
+        yield pa.record_batch([*cols, pa.nulls(len(cols[0]), pa.binary()), pa.nulls(len(cols[0]), pa.int64())], ["bucket", "keys", "sizes", "counts", "grams", "df", "owner"])
 
     def count(t: pa.Table) -> pa.Table:
         bucket = t.column("bucket")[0].as_py()
@@ -164,8 +224,17 @@ def prefixes(docs: DataFrame, words: int, percent: int) -> DataFrame:
     def choose(t: pa.Table) -> pa.Table:
         keys, sizes, counts, grams, df = (_joined(t, c, k) for c, k in (("keys", "<i8"), ("sizes", "<i4"), ("counts", "<i4"), ("grams", "<u4"), ("df", "<i4")))
         runs = np.array([len(x) // 8 for x in t.column("keys").to_pylist()])
-        bucket = np.repeat(np.repeat(t.column("bucket").to_numpy(), runs), counts)
-        gram = (bucket << 32) | grams.astype(np.int64)
+        bucket, past = (np.repeat(t.column(c).to_numpy(zero_copy_only=False), runs) for c in ("bucket", "past"))
+        # of n-grams that passed by their bucket, a set with copies may have sent those of a bucket more than once
+        again = np.flatnonzero(past)
+        again = again[np.lexsort((bucket[again], keys[again]))]
+        again = again[1:][(keys[again][1:] == keys[again][:-1]) & (bucket[again][1:] == bucket[again][:-1])]
+        first = np.ones(len(keys), bool)
+        first[again] = False
+        mine = np.repeat(first, counts)
+        grams, df = grams[mine], df[mine]
+        keys, sizes, bucket, counts = keys[first], sizes[first], bucket[first], counts[first]
+        gram = (np.repeat(bucket, counts) << 32) | grams.astype(np.int64)
         own, where, inverse = np.unique(keys, return_index=True, return_inverse=True)
         who = np.repeat(inverse, counts)
         order = np.lexsort((gram, df, who))
@@ -181,9 +250,15 @@ def prefixes(docs: DataFrame, words: int, percent: int) -> DataFrame:
         lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(gram[kept]))
         return pa.table([pa.array(own[some]), pa.array(n[some].astype(np.int32)), pa.array(u[some].astype(np.int32)), lists], ["key", "n", "u", "prefix"])
 
-    dealt = arrow_map(docs.select("text"), deal, "bucket long, keys binary, sizes binary, counts binary, grams binary")
-    counted = dealt.groupBy("bucket").applyInArrow(count, "owner long, keys binary, sizes binary, counts binary, grams binary, df binary, bucket long")
-    return counted.groupBy("owner").applyInArrow(choose, "key long, n int, u int, prefix array<long>")
+    dealt = arrow_map(docs.select("text"), deal, "bucket long, keys binary, sizes binary, counts binary, grams binary, df binary, owner long")
+    if len(kinds):
+        dealt = written(dealt, "dealt")
+    plain = dealt.where("owner is null").select("bucket", "keys", "sizes", "counts", "grams")
+    counted = plain.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(count, "owner long, keys binary, sizes binary, counts binary, grams binary, df binary, bucket long")
+    counted = counted.withColumn("past", F.lit(False))
+    if len(kinds):
+        counted = counted.unionByName(dealt.where("owner is not null").withColumn("past", F.lit(True)))
+    return counted.repartition(tasks, "owner").groupBy("owner").applyInArrow(choose, "key long, n int, u int, prefix array<long>")
 
 
 def _may_overlap(x: str, y: str, percent: int) -> Column:
@@ -207,24 +282,28 @@ def similar_sets(docs: DataFrame, keys: DataFrame, words: int, percent: int) ->
     pairs of groups that pass the filters are expanded to members that are in different components so
     far, and verified: a pair inside one component would change nothing, and all others are checked.
     """
-    pre = written(prefixes(docs, words, percent), "prefixes")
+    texts, grams = keys.agg(F.count(F.lit(1)), F.sum("n")).first()
+    pre = written(prefixes(docs, words, percent, texts, grams or 0), "prefixes")
     ident = F.when(F.col("u") == 0, F.xxhash64("n", "prefix")).otherwise(F.col("key"))
     named = pre.withColumn("name", ident)
     # a group is named by its smallest member; its prefix is the same for all of them
-    firsts = named.groupBy("name", (F.col("u") == 0).alias("shared")).agg(F.min("key").alias("gid"))
-    members = written(named.select("key", "n", "u", "prefix", "name", (F.col("u") == 0).alias("shared")).join(firsts, ["name", "shared"]).select("key", "gid", "n", "u", "prefix"), "members")
+    # only sets with a shared prefix may be of one group; what a key is joined with is written first, so that Spark can split a hot one
+    both = named.where("u = 0").groupBy("name").agg(F.min("key").alias("gid"), F.count(F.lit(1)).alias("size"))
+    both = written(both.where("size > 1").select(F.col("name").alias("of"), "gid"), "firsts")
+    mine = (F.col("u") == 0) & (F.col("name") == F.col("of"))
+    members = written(named.join(small(both), mine, "left").select("key", F.coalesce("gid", "key").alias("gid"), "n", "u", "prefix"), "members")
     index = members.where("key = gid").select("gid", "n", "u", F.posexplode("prefix").alias("at", "gram"))
-    busy = index.groupBy("gram").agg(F.count(F.lit(1)).alias("entries")).where("entries > 1").select("gram")
-    index = written(index.join(busy, "gram", "left_semi"), "index")
+    busy = written(index.groupBy("gram").agg(F.count(F.lit(1)).alias("entries")).where("entries > 1").select("gram"), "busy")
+    index = written(index.join(small(busy), "gram", "left_semi"), "index")
     groups = members.groupBy("gid").agg(F.count(F.lit(1)).alias("size"))
-    alive = index.select("gid").unionByName(groups.where("size > 1").select("gid")).distinct()
-    wanted = written(members.join(alive, "gid", "left_semi").select("key", "gid", "n"), "wanted")
+    alive = written(index.select("gid").unionByName(groups.where("size > 1").select("gid")).distinct(), "alive")
+    wanted = written(members.join(small(alive), "gid", "left_semi").select("key", "gid", "n"), "wanted")
     sets = written(_fetch(docs, keys, wanted, words), "sets")
 
     band = F.floor(F.log(F.col("n")) / -math.log(percent / 100)) if percent < 100 else F.col("n")
     banded = index.withColumn("band", band)
     pivots = written(banded.groupBy("gram", "band").agg(F.min(F.struct((F.col("u") / F.col("n")).alias("far"), F.col("gid").alias("gid"), F.col("n").alias("n"), F.col("u").alias("u"), F.col("at").alias("at"))).alias("p")), "pivots")
-    star = banded.alias("x").join(pivots, ["gram", "band"]).where((F.col("gid") != F.col("p.gid")) & _may_overlap("x", "p", percent)).select(F.col("p.gid").alias("a"), F.col("gid").alias("b"))
+    star = banded.alias("x").join(small(pivots, BROADCAST_PIVOTS), ["gram", "band"]).where((F.col("gid") != F.col("p.gid")) & _may_overlap("x", "p", percent)).select(F.col("p.gid").alias("a"), F.col("gid").alias("b"))
     inner = wanted.where("key <> gid").select(F.col("gid").alias("a"), F.col("key").alias("b"))
     links = written(_verified(star.distinct().unionByName(inner), sets, percent), "links")
     comps = components(wanted.select(F.col("key").alias("node")), links, "comps")
@@ -232,10 +311,10 @@ def similar_sets(docs: DataFrame, keys: DataFrame, words: int, percent: int) ->
     placed = wanted.join(comps, wanted["key"] == comps["node"]).select("key", "gid", "n", "comp")
     spread = placed.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
     spread = written(spread, "spread")
-    full = index.join(spread, "gid")
-    split = full.groupBy("gram").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l <> h").select("gram")
+    full = index.join(small(spread), "gid")
+    split = written(full.groupBy("gram").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l <> h").select("gram"), "split")
     lists = members.where("key = gid").select("gid", "prefix")
-    rest = written(full.join(split, "gram", "left_semi").join(lists, "gid"), "rest")
+    rest = written(full.join(small(split), "gram", "left_semi").join(lists, "gid"), "rest")
     x, y = rest.alias("x"), rest.alias("y")
     apart = ~((F.col("x.low") == F.col("x.high")) & (F.col("y.low") == F.col("y.high")) & (F.col("x.low") == F.col("y.low")))
     # a pair meets at its first shared n-gram only
@@ -287,14 +366,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     id reachable over links, itself included; two rows link when 100 * intersection >= percent * union.
     A null or empty text, or one of white space, has an empty set and links with nothing. Repeated rows
     and rows with equal sets are linked; an empty table gives an empty result. A null id counts as
-    larger than any other. Other columns are not read.
+    larger than any other. Texts of any length are read whole. Other columns are not read, whatever their
+    names.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     keys = written(_keys(rows, words), "keys")
     comps = similar_sets(rows, keys, words, percent)
     by_set = keys.where("n > 0").groupBy("key").agg(F.min("id").alias("least")).join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     by_set = written(by_set, "bysets")
-    named = by_set.groupBy("comp").agg(F.min("least").alias("component_id"))
-    answer = written(by_set.join(named, "comp").select("key", "component_id"), "answer")
+    named = written(by_set.groupBy("comp").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("sets")).where("sets > 1").select("comp", "component_id"), "named")
+    answer = written(by_set.join(small(named), "comp", "left").select("key", F.coalesce("component_id", "least").alias("component_id")), "answer")
     out = keys.join(answer, "key", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
