@@ -4,8 +4,10 @@ nulls, empty and very long texts, ties, repeated rows, empty tables, extra colum
 import base64
 import hashlib
 import itertools
+import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -88,6 +90,23 @@ def test_near_duplicates(spark, k, percent):
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == classes(rows, k, percent)
 
 
+def test_near_duplicates_hot_grams(spark, monkeypatch):
+    """N-grams that pass by their buckets, some of them in sets with copies, change no result."""
+    rows = near_rows()
+    hot = prose(14, 78)
+    rows += [(7000 + i, hot + " " + prose(1 + i % 3, 1900 + i // 2)) for i in range(60)] + [(7100 + i, hot) for i in range(9)]
+    monkeypatch.setattr(ngram_join, "HOT", 20)
+    monkeypatch.setattr(ngram_join, "HOT_SAMPLE", 1)
+    monkeypatch.setattr(ngram_join, "TASK_GRAMS", 500)
+    monkeypatch.setattr(common, "SLICE_BYTES", 1 << 10)
+    frame = docs(spark, rows)
+    kinds, n = ngram_join.hot_grams(frame, 3, len(rows), 10**6)
+    assert len(kinds) > 20 and n.min() >= 20 and (np.diff(kinds.astype(float)) > 0).all()
+    for percent in (50, 90):
+        got = ngram_join.near_duplicates(frame, 3, percent).collect()
+        assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == classes(rows, 3, percent)
+
+
 def test_near_duplicates_chain(spark):
     """Links that no star finds: each text is similar only to its neighbours."""
     w = prose(200, 3, 10**6).split()
@@ -140,6 +159,20 @@ def test_warc_least_size_and_empty(spark):
     assert warc_store.reconstruct(warc_store.write_archive(spark.createDataFrame([], schema)), spark).collect() == []
 
 
+def test_warc_string_ids(spark):
+    rows = [("a>b%3E", "same"), ("none", "same"), (None, "same"), ("é\r\n", "same"), ("z%", "same"), ("id1", "o"), (None, "p"), (None, "p")]
+    pages = spark.createDataFrame([(i, None, h) for i, h in rows], "page_id string, url string, html string")
+    got = warc_store.reconstruct(warc_store.write_archive(pages), spark).collect()
+    assert sorted(((r["id"], r["record_type"], r["refers_to"]) for r in got), key=str) == sorted([(i, "revisit", "é\r\n") for i, h in rows if h == "same" and i != "é\r\n"] + [("é\r\n", "response", None), ("id1", "response", None), (None, "response", None), (None, "response", None)], key=str)
+
+
+def test_warc_damage_is_seen(spark):
+    archive = warc_store.write_archive(spark.createDataFrame([(1, "u", "a"), (2, "u", "a"), (3, "u", "b")], "page_id long, url string, html string"))
+    held = [tuple(r) for r in archive.payloads(spark).collect()]
+    spark.createDataFrame([(d, o, bytearray(b"c") if o == 2 else p) for d, o, p in held], "digest string, owner long, payload binary").coalesce(1).write.mode("overwrite").parquet(f"{archive.path}/payloads")
+    assert {r["id"]: r["intact"] for r in warc_store.reconstruct(archive, spark, with_payload=False).collect()} == {1: False, 2: False, 3: True}
+
+
 # -- wavelet matrix
 
 
@@ -169,19 +202,38 @@ def test_wavelet_damage():
 @pytest.mark.parametrize("shard", [1 << 22, 50])
 def test_token_files(spark, shard, monkeypatch):
     monkeypatch.setattr(wavelet, "SHARD_IDS", shard)
-    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tok.encode_special_tokens = True
     rows = [*ODD, (11, "It's <|endoftext|> 1 000 ﬁ   x́ \x1c y 日本語テキスト\r\nZ"), (12, "w" * 5000), (13, "Ab, ab. AB! a1. it's. \x1c\x1f.a,b ,, É. é, ΣΑΣ σας. İ ab")]
-    path, starts = wavelet.tokenize_to_files(docs(spark, rows), public_tokenizers.path("word_bpe_49k.json"), 2)
-    got = sorted(((r["start"], r["id"], r["n_tokens"], r["ids_crc32"]) for r in wavelet.read_documents(spark, path, starts).collect()))
-    want, at = [], 0
-    coded = [(i, [*tok.encode(t or "", add_special_tokens=False).ids, 2]) for i, t in rows]
-    for i, ids in sorted(coded, key=lambda x: (x[0] is not None, x[0])):
-        want.append((at, i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
-        at += len(ids)
-    assert got == want
+    rows += [(14, "a <|endoftext|> b"), (15, "x<|startoftext|>Y é<|endoftext|>"), (16, "A <|ENDOFTEXT|> B <|EndOfText|>"), (17, "<|endoftext|"), (18, "|><|endoftext|><|")]
+    rows += [(None, None), (None, "Some"), (13, "twice")]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):  # the second one's ids of a text are not those of its words
+        tok = Tokenizer.from_file(public_tokenizers.path(name))
+        path, starts = wavelet.tokenize_to_files(docs(spark, rows), public_tokenizers.path(name), 2)
+        got = sorted(((r["start"], r["id"], r["n_tokens"], r["ids_crc32"]) for r in wavelet.read_documents(spark, path, starts).collect()))
+        coded = [(i, np.array([*tok.encode(t or "", add_special_tokens=False).ids, 2], "<u4")) for i, t in rows]
+        small = "<u2" if tok.get_vocab_size() <= 1 << 16 else "<u4"
+        want, at = [], 0
+        for i, ids in sorted(coded, key=lambda x: (x[0] is not None, x[0] or 0, zlib.crc32(x[1].astype(small).tobytes()))):
+            want.append((at, i, len(ids), zlib.crc32(ids.tobytes())))
+            at += len(ids)
+        assert got == want
     path, starts = wavelet.tokenize_to_files(docs(spark, []), public_tokenizers.path("word_bpe_49k.json"), 2)
-    assert starts == [0]
+    assert wavelet.read_documents(spark, path, starts).collect() == []
+
+
+def test_token_files_of_one_id(spark):
+    """Rows of one id, or of none, are spread over parts, and read back in one order."""
+    rows = [(None, prose(9, i)) for i in range(60)] + [(5, prose(9, 100 + i)) for i in range(60)] + [(6, "x")]
+    frame = docs(spark, rows)
+    assert len(wavelet.order_cuts(frame, 8)) == 7
+    path, starts = wavelet.tokenize_to_files(frame, public_tokenizers.path("word_bpe_49k.json"), 2)
+    got = sorted((r["start"], r["n_tokens"], r["id"]) for r in wavelet.read_documents(spark, path, starts).collect())
+    assert len(starts) == 8 and sum(b > a for a, b in itertools.pairwise(starts)) >= 5
+    assert [i for _, _, i in got] == [None] * 60 + [5] * 60 + [6] and all(a + n == b for (a, n, _), (b, _, _) in itertools.pairwise(got))
+
+
+def test_paths_are_qualified(spark, tmp_path):
+    assert wavelet.qualified(spark, f"{tmp_path}/x").startswith("file:/") and (tmp_path / "x").is_dir()
+    assert wavelet.qualified(spark, f"file:{tmp_path}/y") == f"file:{tmp_path}/y"
 
 
 # -- byte-level BPE
@@ -285,7 +337,7 @@ def test_contamination(spark, monkeypatch, windows, shingles):
     base = prose(40, 50, 60)
     w = base.split()
     items = [(1, base), (2, "Two Words"), (3, None), (4, ""), (5, "..."), (10, " ".join(w[5:20])), (11, "É"), (None, " ".join(w[:12])), (12, "a a a a a a a a a a a a")]
-    rows = ODD[:-2] + [(20, "start " + base + " end"), (21, ", ".join(w[3:13]).upper()), (22, " ".join(w[3:12])), (23, "two, words; two words"), (24, prose(300, 51, 60) + " " + " ".join(w[25:]) + " " + base), (25, "A a " * 40), (26, "é"), (27, " ".join(w[30:] + w[:15]))]
+    rows = ODD + [(20, "start " + base + " end"), (21, ", ".join(w[3:13]).upper()), (22, " ".join(w[3:12])), (23, "two, words; two words"), (24, prose(300, 51, 60) + " " + " ".join(w[25:]) + " " + base), (25, "A a " * 40), (26, "é"), (27, " ".join(w[30:] + w[:15]))]
     frame = spark.createDataFrame([(i, t, "q", 1) for i, t in items], "item_id long, text string, window_id string, shingle long")
     got = decontaminate.contamination(docs(spark, rows), frame).collect()
     assert sorted([(r["doc_id"], r["n_words"], r["n_hit"], r["item_ids"]) for r in got], key=str) == brute_contamination(rows, items)
@@ -315,6 +367,34 @@ def test_chat_round_trip(spark):
     assert chat_fsm.read_back(chat_fsm.format_conversations(turns.where("false"))).collect() == []
 
 
+@pytest.mark.parametrize("template", [
+    chat_fsm.Template(open="<|im_start|>", mid="<|sep|>\n", close="<|im_end|>\n", escapes=(("\\", "\\b"), ("<", "\\l"))),
+    chat_fsm.Template(open="", mid="] ", close=" [END]\n", escapes=(("\\", "\\b"), ("[", "\\l"), ("]", "\\r"))),
+    chat_fsm.Template(open="(", mid="^", close="$.*+?|)", escapes=(("!", "!x"), ("^", "!c"), ("$", "!d"))),
+])
+def test_chat_templates(spark, template):
+    texts = ["a <|im_end|>\n b", "x [END]\n", "$.*+?|)", "\\<|im_start|>user\n<|", "!x!c ^ ] [", "", "\\l\\r]"]
+    turns = spark.createDataFrame([(1, i, "user" if i % 2 == 0 else "assistant", t) for i, t in enumerate([*texts, *texts[1:]])], "conv_id long, turn long, role string, text string")
+    r = chat_fsm.read_back(chat_fsm.format_conversations(turns, template), template).first()
+    want = [tuple(x) for x in turns.orderBy("turn").select("role", "text").collect()]
+    assert [tuple(x) for x in r["turns"]] == want and r["learned_text"] == "".join(t for role, t in want if role == "assistant")
+    assert r["state"] == "user" and not r["valid"]
+
+
+@pytest.mark.parametrize("marks", [{"open": "<|s|>", "mid": "\n<|", "close": "<|e|>"}, {"close": " end\n"}, {"mid": " "}, {"close": ""}, {"open": "### x </turn>\n"}, {"close": ": x"}, {"escapes": ()}, {"escapes": (("\\", "\\b"), ("b", "\\x"))}, {"escapes": (("\\", "\\b"), ("#", "\\b"))}])
+def test_chat_templates_refused(marks):
+    with pytest.raises(ValueError):
+        chat_fsm.Template(**marks)
+
+
+def test_chat_long_conversation(spark):
+    n = 20_000
+    turns = spark.range(n).selectExpr("1L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "concat(repeat('é<', 60), id) AS text")
+    began = time.time()
+    r = chat_fsm.read_back(chat_fsm.format_conversations(turns)).selectExpr("n_turns", "loss_chars", "valid").first()
+    assert tuple(r) == (n, sum(120 + len(str(i)) for i in range(1, n, 2)), True) and time.time() - began < 60
+
+
 # -- quality
 
 
@@ -338,6 +418,56 @@ def test_quality_held_out(spark):
     assert pu_quality.learn_and_score(docs(spark, []), lab, lambda i: F.lit(True)).collect() == []
 
 
+def test_quality_equals_one_process(spark):
+    """The same risk, minimised over plain arrays."""
+    r = random.Random(4)
+    rows = [(i, prose(r.randrange(5, 120), i, 3000) + (" ###" * r.randrange(9) if i % 3 == 0 else "")) for i in range(300)]
+    lab = [(i, int(i % 3 != 0)) for i in range(0, 300, 2)]
+    x = np.array([[*np.array(pu_quality.measures(t), "f4"), 1.0] for _, t in rows])
+    pos = np.array([i % 2 == 0 and i % 3 != 0 for i, _ in rows])
+    listed = [[float(v) for v in row[:-1]] for row in x]
+    half = np.array([r[0] for r in spark.createDataFrame(list(enumerate(listed)), "i int, x array<float>").orderBy("i").select(pu_quality.half_of(F.col("x"))).collect()])
+    want = pu_quality.learn(lambda f, fold=None: np.asarray(f(x, pos) if fold is None else f(x[half == fold], pos[half == fold])), x.shape[1])
+    assert want.steps and want.risk[1] >= 0
+    score = 1 / (1 + np.exp(-(x @ np.array(want.weights))))
+    got = {q["doc_id"]: q["score"] for q in pu_quality.learn_and_score(docs(spark, rows), spark.createDataFrame(lab, "doc_id long, quality int"), lambda i: F.lit(True)).collect()}
+    assert max(abs(got[i] - s) for (i, _), s in zip(rows, score, strict=True)) < 1e-6
+
+
+def test_quality_risk_is_least():
+    """Newton's weights against many small steps down the written-out objective."""
+    r = np.random.default_rng(5)
+    x = np.hstack([r.random((400, 4)), np.ones((400, 1))])
+    pos = (x[:, 0] + 0.3 * r.random(400) > 0.8) & (r.random(400) < 0.5)
+    got = pu_quality.minimise(lambda f: np.asarray(f(x, pos)), 5, 0.3)
+    w = np.zeros(5)
+    ridge = np.array([pu_quality.RIDGE] * 4 + [0.0])
+    for _ in range(20_000):
+        z = x @ w
+        down = -0.3 * (x[pos] / (1 + np.exp(z[pos]))[:, None]).mean(0) + (x / (1 + np.exp(-z))[:, None]).mean(0) - 0.3 * (x[pos] / (1 + np.exp(-z[pos]))[:, None]).mean(0) + ridge * w
+        w -= 0.5 * down
+    assert got.risk[1] > 0 and np.abs(x @ w - x @ np.array(got.weights)).max() < 0.02
+
+
+def test_quality_prior():
+    r = np.random.default_rng(1)
+    for prior in (0.2, 0.5, 0.8):
+        pos = r.random(40_000) < prior
+        score = np.where(pos, r.beta(6, 2, len(pos)), r.beta(2, 6, len(pos)))
+        known = pos & (r.random(len(pos)) < 0.3)
+        z = np.log(score / (1 - score))[:, None]
+        assert abs(pu_quality.prior_bound(pu_quality.histogram(z, known, np.ones(1))) - prior) < 0.05
+    assert pu_quality.prior_bound(np.zeros(2 * pu_quality.BINS)) == pu_quality.PRIOR
+
+
+def test_quality_never_below_zero():
+    """Positives alone with a prior that is too high: the negatives' part stays at zero or more."""
+    x = np.hstack([np.random.default_rng(2).random((500, 3)), np.ones((500, 1))])
+    pos = x[:, 0] > 0.3
+    got = pu_quality.minimise(lambda f: np.asarray(f(x, pos)), 4, 0.95)
+    assert got.steps and got.risk[1] >= 0
+
+
 # -- language
 
 
@@ -345,8 +475,56 @@ def test_codewords():
     for k in range(2, 8):
         c = ecoc_langid.codewords(k)
         assert c.shape == (k, 2 ** (k - 1) - 1) and all((a != b).sum() >= 2 ** (k - 2) for a, b in itertools.combinations(c, 2))
-    big = ecoc_langid.codewords(30)
-    assert min((a != b).sum() for a, b in itertools.combinations(big, 2)) >= 16
+    for k in (8, 30, 1300):
+        big = ecoc_langid.codewords(k).astype(int)
+        apart = (big.shape[1] - big @ big.T) // 2 + big.shape[1] * np.eye(k, dtype=int)
+        assert apart.min() >= big.shape[1] / 4 and (abs(big.sum(0)) < k).all()
+
+
+def test_language_of_many_values(spark):
+    """A column of very many values is learned, each value with at least a text."""
+    frame = spark.range(3000).selectExpr("concat('l', id % 600) AS lang", "concat('text ', id % 1500, ' ', id % 600) AS text")
+    model = ecoc_langid.fit(frame)
+    assert len(model.languages) == 600 and len(model.code) == 600
+
+
+def test_language_equals_one_process(spark):
+    """The same classifiers, fitted from the whole matrix and applied by plain loops; repeated rows and ties."""
+    kinds = {"en": "the and of with that".split(), "de": "der und nicht für".split(), "fr": "le une pas été".split()}
+    r = random.Random(8)
+    rows = [(i, " ".join(r.choice(w) for _ in range(r.randrange(1, 9))), k) for i, (k, w) in enumerate(list(kinds.items()) * 8)]
+    rows += [(100, rows[0][1], "en"), (100, rows[0][1], "en"), (101, "zzz", None)]
+    got = ecoc_langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), keep=("text",)).collect()
+
+    def shares(text):
+        data, h = b" " + text.lower().encode() + b" ", {}
+        for order in ecoc_langid.ORDERS:
+            for i in range(len(data) - order + 1):
+                key = 0
+                for x in data[i : i + order]:
+                    key = (key * 0x01000193 & 0xFFFFFFFF) ^ x
+                key = (key ^ key >> 15) * 0x2C1B3C6D & 0xFFFFFFFF
+                at = (order - 1) * ecoc_langid.BUCKETS + (key >> 12) % ecoc_langid.BUCKETS
+                h[at] = h.get(at, 0) + 1
+        n = sum(h.values()) / len(ecoc_langid.ORDERS)
+        return {k: v / n for k, v in h.items()}
+
+    texts, names = sorted({(k, t) for _, t, k in rows if k}), sorted(kinds)
+    used = sorted({b for _, t, _ in rows for b in shares(t)})
+    vector = lambda t: np.array([shares(t).get(b, 0.0) for b in used])
+    x, y = np.array([vector(t) for _, t in texts]), np.array([names.index(k) for k, _ in texts])
+    many, code = np.bincount(y)[y], ecoc_langid.codewords(3)
+    mean = sum(v / n for v, n in zip(x, many, strict=True)) / len(names)
+    scale, weight = 1 / np.sqrt(mean + 1e-4), np.sqrt(len(y) / (len(names) * many))[:, None]
+    a = (x - mean) * scale * weight
+    k = a @ a.T
+    w = a.T @ np.linalg.solve(k + np.eye(len(k)) * (0.02 * np.trace(k) / len(k) + 1e-9), weight * code[y]) * scale[:, None]
+    for row in got:
+        z = np.clip(vector(row["text"]) @ w - mean @ w, -1.5, 1.5)
+        loss = np.array([sum(math.log1p(math.exp(-4 * b * m)) for b, m in zip(c, z, strict=True)) for c in code])
+        p = np.exp(loss.min() - loss)
+        assert row["lang_pred"] == names[int(loss.argmin())] and abs(row["score"] - p.max() / p.sum()) < 1e-3
+    assert len(got) == len(rows)
 
 
 def test_language_held_out(spark):
@@ -402,6 +580,25 @@ def test_cascade_is_exact(spark):
     assert wrong.count() == 0
 
 
+def test_cascade_in_parts(spark, monkeypatch):
+    """A list that needs more than one filter may hold is dealt to parts, each of them exact; a list over all bounds is an error."""
+    monkeypatch.setattr(url_cascade, "MOST_BITS", 1 << 12)
+    universe = spark.range(8000).select(F.concat(F.lit("k"), "id").alias("key"))
+    listed = universe.where("crc32(key) % 7 = 0")
+    cascade = url_cascade.build(listed, universe)
+    assert len(cascade.parts) > 1
+    assert universe.where(cascade.contains(F.col("key")) != (F.crc32("key") % 7 == 0)).count() == 0
+    monkeypatch.setattr(url_cascade, "ALL_BITS", 1 << 12)
+    with pytest.raises(ValueError):
+        url_cascade.build(listed, universe)
+
+
+def test_cascade_of_many_keys(spark):
+    universe = spark.range(200_000).select(F.concat(F.lit("k"), "id").alias("key"))
+    cascade = url_cascade.build(universe.where("crc32(key) % 2 = 0"), universe)
+    assert universe.where(cascade.contains(F.col("key")) != (F.crc32("key") % 2 == 0)).count() == 0
+
+
 # -- pipeline
 
 
@@ -462,3 +659,19 @@ def test_pipeline_language_with_nothing_to_learn(spark, tmp_path):
         got = corpus_pipeline.language(spark, frame, str(tmp_path))
         assert got.columns == frame.columns
         assert sorted(map(tuple, got.collect()), key=str) == sorted([(i, t, lang, "a", 1, "b", "c", "d", "e", 2) for i, t in (rows[0], rows[3])], key=str)
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Empty tables, very long texts and clashing names go through every stage."""
+    long = prose(60_000, 901, 10**6)
+    rows = [(1, long, "en"), (2, long.upper(), None), (3, long + " end", "de"), (4, None, None), (5, "", "en"), (6, "x" * 300_000, "de"), (None, "Some text", "en"), (None, "Some text", "en")]
+    names = "doc_id long, text string, lang string, source string, n_chars long, id string, key long, print long, kept string, component_id long, contaminated string, row_ int, score int"
+    frame = spark.createDataFrame([(*r, "s", 1, "a", 1, 2, "b", 3, "c", 4, 5) for r in rows], names)
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for at, some in (("whole", frame), ("none", frame.where("false"))):
+        some.write.parquet(f"{tmp_path}/{at}/documents.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/{at}/benchmark.parquet")
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            assert stage(spark, some, str(tmp_path)).columns == frame.columns, name
+        got = sorted((r["doc_id"] for r in corpus_pipeline.run(spark, f"{tmp_path}/{at}").collect()), key=str)
+        assert got == ([2, 6, None] if at == "whole" else [])
