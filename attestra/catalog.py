@@ -253,7 +253,7 @@ def spatial_nearest(spark, sf_dir):
     from attestra.operators import entries
 
     lines = _literal(spark, [(1, *r) for r in fixtures.LANGUAGE_LINES], layout.BLOCKS).withColumns({"part": F.lit(0), "section": F.lit("languages")})
-    return entries.language_skills(lines).select("language", "proficiency", "cefr_level")
+    return entries.by_document(lines, {"found": ("languages", entries.languages)}).select(F.inline("found"))
 
 
 def reading_order(spark, sf_dir):

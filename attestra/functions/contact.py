@@ -12,7 +12,7 @@ from pyspark.sql.types import StringType
 
 from attestra.functions import vocabulary as v
 from attestra.functions.dates import is_current, partial_date
-from attestra.functions.text import ANY_CASE, fold, strip
+from attestra.functions.text import ANY_CASE, fold, let, strip
 
 
 def emails(text: Column) -> Column:
@@ -27,8 +27,8 @@ def phones(text: Column, country: str = "994") -> Column:
     between. A national number belongs to ``country``. Validity by numbering plan is not checked.
     """
     raw = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?<![\w+])((?:\+|00|0)[ .()-]*[1-9](?:[ .()-]*\d){7,13})(?!\d)"), F.lit(1))
-    digits = lambda x: F.regexp_replace(x, r"\D", "")
-    return F.array_distinct(F.transform(raw, lambda x: F.when(x.startswith("+"), F.concat(F.lit("+"), digits(x))).when(digits(x).startswith("00"), F.concat(F.lit("+"), F.regexp_replace(digits(x), "^00", ""))).otherwise(F.concat(F.lit("+" + country), F.regexp_replace(digits(x), "^0", "")))))
+    plain = F.transform(raw, lambda x: F.regexp_replace(x, r"[^\d+]", ""))
+    return F.array_distinct(F.transform(plain, lambda x: F.when(x.startswith("+"), x).when(x.startswith("00"), F.concat(F.lit("+"), F.substring(x, 3, 99))).otherwise(F.concat(F.lit("+" + country), F.substring(x, 2, 99)))))
 
 
 @pandas_udf(StringType())
@@ -49,7 +49,11 @@ def url(text: Column, international: bool = False) -> Column:
     ``international`` also rewrites hosts beyond ASCII, which takes Python.
     """
     t = F.regexp_replace(strip(text), r"[.,;)]+$", "")
-    t = F.when(F.locate("://", t) > 0, t).otherwise(F.concat(F.lit("https://"), t))
+    whole = let(t, lambda x: F.when(F.locate("://", x) > 0, x).otherwise(F.concat(F.lit("https://"), x)))
+    return let(whole, lambda x: _one_form(x, international))
+
+
+def _one_form(t: Column, international: bool) -> Column:
     pattern = r"(?s)^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(?:#.*)?$"
     scheme, place = F.lower(F.regexp_extract(t, pattern, 1)), F.regexp_extract(t, pattern, 2)
     host, port = F.lower(F.regexp_extract(place, r"^([^:]*)", 1)), F.regexp_extract(place, r":(\d+)$", 1)
@@ -91,10 +95,15 @@ def labelled(text: Column, aliases: str) -> Column:
 
 def labelled_dates(text: Column) -> Column:
     """``struct<start, end, current>`` from labels; reversed dates are dropped."""
-    start, end = partial_date(labelled(text, "start date|from")), labelled(text, "end date|to")
-    last = partial_date(end)
-    reverse = F.coalesce(start > last, F.lit(False))
-    return F.struct(F.when(~reverse, start).alias("start"), F.when(~reverse, last).alias("end"), (~reverse & is_current(end)).alias("current"))
+
+    def ends(t: Column) -> Column:
+        return let(labelled(t, "end date|to"), lambda end: F.struct(partial_date(labelled(t, "start date|from")).alias("start"), partial_date(end).alias("end"), is_current(end).alias("current")))
+
+    def forward(x: Column) -> Column:
+        none = F.lit(None).cast("string")
+        return F.when(F.coalesce(x["start"] > x["end"], F.lit(False)), F.struct(none.alias("start"), none.alias("end"), F.lit(False).alias("current"))).otherwise(x)
+
+    return let(let(text, ends), forward)
 
 
 def personal_labels(text: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from attestra.functions import vocabulary as v
-from attestra.functions.text import ANY_CASE, strip
+from attestra.functions.text import ANY_CASE, let, lookup, strip
 
 
 def _day(y: Column, m: Column, d: Column) -> Column:
@@ -27,7 +27,10 @@ def partial_date(text: Column) -> Column:
     With both numbers up to 12 and different, day and month can't be told apart. Month names are
     Azerbaijani, English, Turkish or Russian. Other ways to write dates are not read.
     """
-    t = F.lower(strip(F.coalesce(text, F.lit(""))))
+    return let(F.lower(strip(F.coalesce(text, F.lit("")))), _partial)
+
+
+def _partial(t: Column) -> Column:
     g = lambda p, i: F.regexp_extract(t, p, i)
     short = r"^(\d{1,2})\.(\d{1,2})[.-](\d{2})$"
     year2 = g(short, 3).try_cast("int") + F.when(g(short, 3).try_cast("int") < 50, 2000).otherwise(1900)
@@ -38,7 +41,7 @@ def partial_date(text: Column) -> Column:
     month_year = r"^(\d{1,2})[/.](\d{4})$"
     named = rf"{ANY_CASE}^(?:(\d{{1,2}})\s+)?({v.MONTH})\s+(\d{{4}})$"
     starts = {(w[:4] if w.startswith("iyu") else w[:3]): n for n, words in v.MONTH_STARTS.items() for w in words}
-    table = F.create_map(*[F.lit(x) for k, n in starts.items() for x in (k, str(n))])
+    table = lookup({k: str(n) for k, n in starts.items()})
     number = F.coalesce(F.try_element_at(table, F.substring(g(named, 2), 1, 4)), F.try_element_at(table, F.substring(g(named, 2), 1, 3)))
     full = lambda d: d.cast("string")
     to_month = lambda d: F.substring(d.cast("string"), 1, 7)
@@ -56,12 +59,17 @@ def partial_date(text: Column) -> Column:
 def span(text: Column) -> Column:
     """``struct<start, end, current>`` of the first date range in a text; without one, the text as a single date. A reversed range has neither."""
     pattern = ANY_CASE + v.RANGE
-    found = text.rlike(pattern)
-    last = F.regexp_extract(text, pattern, 2)
-    start = F.when(found, partial_date(F.regexp_extract(text, pattern, 1))).otherwise(partial_date(text))
-    end = F.when(found & ~is_current(last), partial_date(last))
-    reverse = F.coalesce(F.substring(start, 1, 7) > F.substring(end, 1, 7), F.lit(False))
-    return F.struct(F.when(~reverse, start).alias("start"), F.when(~reverse, end).alias("end"), (~reverse & found & is_current(last)).alias("current"))
+
+    def ends(t: Column) -> Column:
+        found = t.rlike(pattern)
+        last = F.when(found, F.regexp_extract(t, pattern, 2))
+        return F.struct(partial_date(F.when(found, F.regexp_extract(t, pattern, 1)).otherwise(t)).alias("start"), partial_date(last).alias("end"), (found & is_current(last)).alias("current"))
+
+    def forward(x: Column) -> Column:
+        reverse = F.coalesce(F.substring(x["start"], 1, 7) > F.substring(x["end"], 1, 7), F.lit(False))
+        return F.when(reverse, F.struct(F.lit(None).cast("string").alias("start"), F.lit(None).cast("string").alias("end"), F.lit(False).alias("current"))).otherwise(x)
+
+    return let(let(text, ends), forward)
 
 
 def first_day(partial: Column) -> Column:
@@ -75,14 +83,21 @@ def duration(start: Column, end: Column, current: Column, as_of: Column) -> Colu
     Days count only if both dates have them. ``as_of`` is the end of what is current.
     """
     good = r"^\d{4}-\d{2}(?:-\d{2})?$"
-    until = F.when(current, as_of.cast("string")).otherwise(end)
-    a, b = first_day(start), first_day(until)
-    whole = (F.length(start) == 10) & (F.length(until) == 10)
-    months = (F.year(b) - F.year(a)) * 12 + F.month(b) - F.month(a) - F.when(whole & (F.dayofmonth(b) < F.dayofmonth(a)), 1).otherwise(0)
-    days = F.datediff(b, a)
     unit = lambda n, name: F.when(n > 0, F.concat(n.cast("string"), F.lit(" " + name), F.when(n != 1, "s").otherwise("")))
-    years = F.floor(months / 12).cast("int")
-    words = F.concat_ws(" ", unit(years, "yr"), unit(months - years * 12, "mo"))
-    text = F.when(whole & (months == 0), F.concat(days.cast("string"), F.lit(" day"), F.when(days != 1, "s").otherwise(""))).otherwise(F.when(words == "", "Less than 1 month").otherwise(words))
-    fine = start.rlike(good) & until.rlike(good) & (b >= a)
-    return F.when(F.coalesce(fine, F.lit(False)), text).otherwise("")
+
+    def ends(until: Column) -> Column:
+        whole = (F.length(start) == 10) & (F.length(until) == 10)
+        fine = start.rlike(good) & until.rlike(good)
+        return F.struct(first_day(start).alias("a"), first_day(until).alias("b"), whole.alias("whole"), fine.alias("fine"))
+
+    def between(x: Column) -> Column:
+        a, b = x["a"], x["b"]
+        months = (F.year(b) - F.year(a)) * 12 + F.month(b) - F.month(a) - F.when(x["whole"] & (F.dayofmonth(b) < F.dayofmonth(a)), 1).otherwise(0)
+        return F.struct(months.alias("months"), F.datediff(b, a).alias("days"), x["whole"].alias("whole"), F.coalesce(x["fine"] & (b >= a), F.lit(False)).alias("fine"))
+
+    def said(x: Column) -> Column:
+        words = F.concat_ws(" ", unit(F.floor(x["months"] / 12).cast("int"), "yr"), unit(x["months"] % 12, "mo"))
+        days = F.concat(x["days"].cast("string"), F.lit(" day"), F.when(x["days"] != 1, "s").otherwise(""))
+        return F.when(~x["fine"], "").when(x["whole"] & (x["months"] == 0), days).when(x["months"] == 0, "Less than 1 month").otherwise(words)
+
+    return let(let(let(F.when(current, as_of.cast("string")).otherwise(end), ends), between), said)

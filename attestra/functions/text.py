@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -37,6 +38,17 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` where the value is made once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def lookup(table: dict[str, str]) -> Column:
+    """A map column of fixed entries, as one expression."""
+    quoted = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return F.expr("map(" + ", ".join(f"{quoted(k)}, {quoted(x)}" for k, x in table.items()) + ")")
+
+
 def fold(text: Column) -> Column:
     """Lower case with the Turkish dotted i undone."""
     return F.replace(F.lower(text), F.lit("i̇"), F.lit("i"))
@@ -44,17 +56,14 @@ def fold(text: Column) -> Column:
 
 def canonical(skill: Column) -> Column:
     """The folded skill, or what it is an alias of."""
-    table = F.create_map(*[F.lit(x) for kv in v.ALIASES.items() for x in kv])
-    folded = fold(strip(skill))
-    return F.coalesce(F.try_element_at(table, folded), folded)
+    return let(fold(strip(skill)), lambda folded: F.coalesce(F.try_element_at(lookup(v.ALIASES), folded), folded))
 
 
 def display(skill: Column) -> Column:
     """The usual spelling, or a capital after everything that is not a letter."""
-    table = F.create_map(*[F.lit(x) for kv in v.DISPLAY.items() for x in kv])
     letters = F.split(skill, "")
     titled = F.array_join(F.transform(letters, lambda c, i: F.when((i == 0) | ~F.get(letters, i - 1).rlike(r"\p{L}"), F.upper(c)).otherwise(c)), "")
-    return F.coalesce(F.try_element_at(table, skill), titled)
+    return F.coalesce(F.try_element_at(lookup(v.DISPLAY), skill), titled)
 
 
 def unknown_characters(text: Column) -> Column:

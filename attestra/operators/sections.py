@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,7 +14,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from attestra.functions import vocabulary as v
-from attestra.functions.text import ANY_CASE, LINE_END, strip
+from attestra.functions.text import ANY_CASE, LINE_END, lookup, strip
 
 #: Pieces of text up to which ``containing`` broadcasts them.
 BROADCAST_PIECES = 20_000
@@ -29,6 +31,13 @@ def _shared(a: str, b: str) -> int:
     return row[-1]
 
 
+def _near(a: str, b: str) -> bool:
+    """Whether lengths and letters alone leave it open that two words share nine tenths."""
+    least = 0.45 * (len(a) + len(b))
+    return min(len(a), len(b)) >= least and (Counter(a) & Counter(b)).total() >= least
+
+
+@functools.lru_cache(maxsize=100_000)
 def heading(text: str | None) -> tuple[str | None, float]:
     """The section that a line is the heading of, and how surely: 1 for a listed heading, from 0.9 for one nearly spelled so."""
     t = unicodedata.normalize("NFKC", text or "").casefold().replace("i̇", "i").strip().rstrip(":：").strip()
@@ -37,7 +46,9 @@ def heading(text: str | None) -> tuple[str | None, float]:
         return None, 0.0
     if t in _EXACT:
         return _EXACT[t], 1.0
-    best = max(((2 * _shared(t, w) / (len(t) + len(w)), s) for s, ws in v.SECTIONS.items() for w in ws if len(w.split()) == words and min(len(t), len(w)) >= 5), default=(0.0, ""))
+    if not any(c.isalpha() for c in t):
+        return None, 0.0
+    best = max(((2 * _shared(t, w) / (len(t) + len(w)), s) for s, ws in v.SECTIONS.items() for w in ws if len(w.split()) == words and min(len(t), len(w)) >= 5 and _near(t, w)), default=(0.0, ""))
     return (best[1], round(best[0], 2)) if best[0] >= 0.9 else (None, 0.0)
 
 
@@ -49,8 +60,7 @@ def heading_of(text: pd.Series) -> pd.DataFrame:
 
 def exact_heading(text: Column) -> Column:
     """The listed headings only, without Python."""
-    table = F.create_map(*[F.lit(x) for kv in _EXACT.items() for x in kv])
-    return F.try_element_at(table, strip(F.regexp_replace(strip(F.replace(F.lower(text), F.lit("i̇"), F.lit("i"))), "[:：]+$", "")))
+    return F.try_element_at(lookup(_EXACT), strip(F.regexp_replace(strip(F.replace(F.lower(text), F.lit("i̇"), F.lit("i"))), "[:：]+$", "")))
 
 
 def segment(blocks: DataFrame) -> DataFrame:
@@ -77,9 +87,13 @@ def segment(blocks: DataFrame) -> DataFrame:
     return out.drop("piece", "h", "is_head", "run", "moved")
 
 
+def is_evidence() -> Column:
+    """Whether a line's section says something of the candidate: references and interests don't."""
+    return ~F.col("section").isin("references", "interests")
+
+
 def evidence_sections(blocks: DataFrame) -> DataFrame:
-    """Without references and interests, which say nothing of the candidate."""
-    return blocks.where(~F.col("section").isin("references", "interests"))
+    return blocks.where(is_evidence())
 
 
 def provenance(values: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestra.functions import contact, dates
@@ -18,74 +18,75 @@ def language_of(text: Column) -> Column:
     return F.when(letters < 15, F.struct(F.lit("und").alias("primary"), F.lit(0.0).alias("confidence"))).otherwise(F.struct(F.when(t.rlike("[A-Za-z]"), "en").otherwise("und").alias("primary"), F.lit(0.5).alias("confidence")))
 
 
-def contacts(lines: DataFrame, links: DataFrame) -> DataFrame:
-    """One row of contact fields per document: from the header, addresses from anywhere, then link annotations."""
-    text = lambda where: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(where, F.struct("seq", "part", "text")))), lambda x: x["text"]), "\n")
-    per = lines.groupBy("doc_id").agg(text(F.col("section").isin("header", "personal_information")).alias("head"), text(F.lit(True)).alias("body"))
-    noted = links.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "y0", "x0", "url"))), lambda x: x["url"]), "\n").alias("noted"))
-    d = per.join(noted, "doc_id", "left").withColumn("noted", F.coalesce("noted", F.lit(""))).withColumn("near", F.when(F.col("head") == "", F.col("body")).otherwise(F.col("head")))
+def contacts(d: DataFrame) -> DataFrame:
+    """``d`` with contact fields: from the text ``near``, addresses from ``body`` too, then from link annotations, ``noted``."""
     found = F.concat(contact.urls(F.col("near")), F.array_compact(F.transform(F.split("noted", "\n"), lambda u: contact.url(u))), contact.urls(F.col("body")))
-    d = d.withColumn("addresses", found).withColumn("numbers", F.array_distinct(F.concat(contact.phones(F.col("near")), F.when(F.size(contact.phones(F.col("near"))) == 0, contact.phones(F.col("noted"))).otherwise(F.array().cast("array<string>")))))
-    mails = contact.emails(F.concat_ws("\n", "near", "noted"))
-    out = d.withColumn("labels", contact.personal_labels(F.col("near")))
-    return out.select(
-        "doc_id", "near", "body", F.get(mails, F.lit(0)).alias("email"), F.size(F.array_distinct(mails)).alias("n_emails"), F.size("numbers").alias("n_phones"),
-        F.get("numbers", F.lit(0)).alias("phone"), F.get("numbers", F.lit(1)).alias("alternative_phone"),
-        contact.first_of_class(F.col("addresses"), "linkedin").alias("linkedin"),
-        F.coalesce(contact.first_of_class(F.col("addresses"), "github"), contact.github_user(F.col("near"))).alias("github"),
-        contact.first_of_class(F.col("addresses"), "website").alias("website"),
-        contact.url(F.nullif(F.regexp_extract("near", r"(?imu)^\s*portfolio\s*:\s*(\S+)", 1), F.lit(""))).alias("portfolio"),
-        "labels",
-    )
+    d = d.withColumn("addresses", found).withColumn("mails", contact.emails(F.concat_ws("\n", "near", "noted"))).withColumn("called", contact.phones(F.col("near")))
+    d = d.withColumn("kinds", F.transform("addresses", lambda a: F.struct(contact.url_class(a).alias("kind"), a.alias("address"))))
+    of = lambda kind: F.get(F.filter("kinds", lambda a: a["kind"] == kind), F.lit(0))["address"]
+    return d.withColumns({
+        "numbers": F.when(F.size("called") == 0, contact.phones(F.col("noted"))).otherwise(F.col("called")),
+        "linkedin": of("linkedin"), "github": F.coalesce(of("github"), contact.github_user(F.col("near"))), "website": of("website"),
+        "portfolio": contact.url(F.nullif(F.regexp_extract("near", r"(?imu)^\s*portfolio\s*:\s*(\S+)", 1), F.lit(""))),
+        "labels": contact.personal_labels(F.col("near")),
+    })
 
 
-def unlabelled_location(lines: DataFrame) -> DataFrame:
-    """``(doc_id, place)``: a header line of up to six words of letters right below one with an e-mail address."""
-    w = Window.partitionBy("doc_id").orderBy("seq", "part")
-    near = lines.where("section = 'header'").withColumn("above", F.lag("text").over(w))
-    good = F.col("above").rlike(v.EMAIL) & F.col("text").rlike(r"(?U)^[^\W\d_]+(?:[ ,'-]+[^\W\d_]+)*$") & (F.size(F.split("text", r"(?U)\s+")) <= 6) & sections.exact_heading(F.col("text")).isNull()
-    return near.where(good).groupBy("doc_id").agg(F.min_by("text", F.struct("seq", "part")).alias("place"))
+def unlabelled_location(header: Column) -> Column:
+    """A header line of up to six words of letters right below one with an e-mail address; null if there is none."""
 
+    def place(b: Column, i: Column) -> Column:
+        good = F.get(header, i - 1)["text"].rlike(v.EMAIL) & b["text"].rlike(r"(?U)^[^\W\d_]+(?:[ ,'-]+[^\W\d_]+)*$") & (F.size(F.split(b["text"], r"(?U)\s+")) <= 6) & sections.exact_heading(b["text"]).isNull()
+        return F.when((i > 0) & good, b["text"])
 
-def parse(blocks: DataFrame, links: DataFrame, as_of: Column, width: float = 612.0, ordered: bool = False) -> DataFrame:
+    return F.get(F.array_compact(F.transform(header, place)), F.lit(0))
+
+
+def parse(blocks: DataFrame, links: DataFrame, as_of: Column, width: float = 612.0, ordered: bool = False, names: DataFrame | None = None, suggestions: DataFrame | None = None) -> DataFrame:
     """One nested record per document of ``blocks``.
 
-    Null texts count as empty; a document without lines has no record; repeated lines are kept. Each
-    child table is made from the segmented lines and joined by document.
+    Null texts count as empty; a document without lines has no record; repeated lines are kept. The
+    segmented lines meet once, by document, and every part of the record is an expression over them; a
+    record is bounded by its document. ``names(doc_id, full_name, confidence)`` are what a recogniser says, taken where
+    the header says nothing; ``suggestions`` as in ``sections.accepted_suggestions`` fill fields that are still null.
     """
     lines = sections.segment(blocks if ordered else layout.reading_order(blocks, width))
-    kept = sections.evidence_sections(lines)
-    many = lambda df, name, cols: df.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("entry", *cols))).alias(name))
-    jobs = entries.experience(lines, as_of)
-    studies = entries.education(lines)
-    parts = [
-        many(jobs, "work_experience", ["job_title", "company", "location", "employment_type", "start_date", "end_date", "current_position", "duration", "responsibilities", "page", "source_text", "confidence"]),
-        many(studies, "education", ["institution", "degree", "field_of_study", "start_date", "end_date", "graduation_date", "gpa", "page", "source_text", "confidence"]),
-        many(entries.certifications(lines), "certifications", ["certification_name", "issuer", "issue_date", "credential_id", "credential_url"]),
-        many(entries.projects(lines), "projects", ["project_name", "description", "technologies", "role", "url", "github_url"]),
-        many(entries.language_skills(lines), "languages", ["language", "proficiency", "cefr_level"]),
-        lines.where("section = 'professional_summary'").groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "part", "text"))), lambda x: x["text"]), "\n").alias("summary"), F.min("confidence").alias("summary_confidence")),
-        entries.name_candidate(lines).select("doc_id", F.col("full_name").alias("found_name"), F.col("confidence").alias("name_confidence")),
-        unlabelled_location(lines),
-        kept.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "part", "text"))), lambda x: x["text"]), "\n").alias("evidence_text")),
-        entries.skill_section(lines),
-    ]
-    out = contacts(lines, links)
-    for p in parts:
-        out = out.join(p, "doc_id", "left")
+    readers = {
+        "work_experience": ("work_experience", lambda x: entries.experience(x, as_of)), "education": ("education", entries.education), "certifications": ("certifications", entries.certifications),
+        "projects": ("projects", entries.projects), "languages": ("languages", entries.languages), "section_text": ("skills", entries.merged_items), "found": ("header", entries.name_candidate), "place": ("header", unlabelled_location),
+        "summary": ("professional_summary", lambda x: F.nullif(entries.joined_text(x), F.lit(""))), "summary_confidence": ("professional_summary", lambda x: F.array_min(F.transform(x, lambda b: b["confidence"]))),
+    }
+    every = F.lit(True)
+    kept = sections.is_evidence()
+    groups = {"near_lines": F.col("section").isin("header", "personal_information"), "body_lines": every, "kept_lines": kept}
+    used = sorted({s for s, _ in readers.values()})
+    per = lines.groupBy("doc_id").agg(*[entries.lines_of(F.col("section") == s).alias(f"in_{s}") for s in used], *[F.array_sort(F.collect_list(F.when(c, F.struct("seq", "part", "text")))).alias(n) for n, c in groups.items()])
+    noted = links.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "y0", "x0", "url"))), lambda x: x["url"]), "\n").alias("noted"))
+    out = per.join(noted, "doc_id", "left")
+    out = out.select("doc_id", F.coalesce("noted", F.lit("")).alias("noted"), *[read(F.col(f"in_{s}")).alias(n) for n, (s, read) in readers.items()], entries.joined_text(F.col("near_lines")).alias("head"), entries.joined_text(F.col("body_lines")).alias("body"), entries.joined_text(F.col("kept_lines")).alias("evidence_text"))
+    out = contacts(out.withColumn("near", F.when(F.col("head") == "", F.col("body")).otherwise(F.col("head"))))
     out = entries.skills(out, "evidence_text")
-    name = F.coalesce(F.col("labels.full_name"), F.col("found_name"), F.nullif(F.concat_ws(" ", "labels.first_name", "labels.middle_name", "labels.last_name"), F.lit("")))
-    split = contact.name_parts(name)
-    score = F.array(F.when(F.col("labels.full_name").isNotNull(), 0.9).otherwise(F.col("name_confidence")), F.when(F.col("email").isNotNull(), 0.95), F.when(F.col("summary").isNotNull(), F.least(F.lit(0.8), F.col("summary_confidence"))))
-    more = F.concat(F.coalesce(F.transform("work_experience", lambda e: e["confidence"]), F.array().cast("array<double>")), F.coalesce(F.transform("education", lambda e: e["confidence"]), F.array().cast("array<double>")))
-    missing = F.array(*[F.when(c, F.lit(n)) for n, c in (("personal_information.full_name", name.isNull()), ("personal_information.email", F.col("email").isNull()), ("professional_profile.professional_summary", F.col("summary").isNull()), ("work_experience", F.col("work_experience").isNull()), ("education", F.col("education").isNull()))])
+    name = F.coalesce(F.col("labels.full_name"), F.col("found.full_name"), F.nullif(F.concat_ws(" ", "labels.first_name", "labels.middle_name", "labels.last_name"), F.lit("")))
+    sure = F.when(F.col("labels.full_name").isNotNull(), 0.9).otherwise(F.col("found.confidence"))
+    out = out.withColumns({"name": name, "sure": sure, "email": F.get("mails", F.lit(0))})
+    if names is not None:
+        told = names.groupBy("doc_id").agg(F.max_by("full_name", "confidence").alias("told"), F.max("confidence").alias("told_sure"))
+        out = out.join(told, "doc_id", "left").withColumns({"sure": F.when(F.col("name").isNull(), F.col("told_sure")).otherwise(F.col("sure")), "name": F.coalesce("name", "told")})
+    if suggestions is not None:
+        fields = {"full_name": "name", "email": "email", "professional_summary": "summary"}
+        good = sections.accepted_suggestions(suggestions, lines).groupBy("doc_id").agg(*[F.min(F.when(F.col("field") == f, F.col("value"))).alias(f"new_{c}") for f, c in fields.items()])
+        out = out.join(good, "doc_id", "left").withColumns({c: F.coalesce(c, f"new_{c}") for c in fields.values()})
+    split = contact.name_parts(F.col("name"))
+    score = F.array(F.col("sure"), F.when(F.col("email").isNotNull(), 0.95), F.when(F.col("summary").isNotNull(), F.least(F.lit(0.8), F.col("summary_confidence"))))
+    more = F.concat(F.transform("work_experience", lambda e: e["confidence"]), F.transform("education", lambda e: e["confidence"]))
+    missing = F.array(*[F.when(c, F.lit(n)) for n, c in (("personal_information.full_name", F.col("name").isNull()), ("personal_information.email", F.col("email").isNull()), ("professional_profile.professional_summary", F.col("summary").isNull()), ("work_experience", F.size("work_experience") == 0), ("education", F.size("education") == 0))])
     return out.select(
         "doc_id",
-        F.struct(name.alias("full_name"), F.coalesce("labels.first_name", split["first"]).alias("first_name"), F.coalesce("labels.middle_name", split["middle"]).alias("middle_name"), F.coalesce("labels.last_name", split["last"]).alias("last_name"), "email", "phone", "alternative_phone", "linkedin", "github", "website", "portfolio", F.col("labels.date_of_birth").alias("date_of_birth"), contact.stated_gender(F.col("labels.gender")).alias("stated_gender"), F.col("labels.nationality").alias("nationality"), F.col("labels.marital_status").alias("marital_status"), F.coalesce("labels.location", "place").alias("location")).alias("personal_information"),
+        F.struct(F.col("name").alias("full_name"), F.coalesce("labels.first_name", split["first"]).alias("first_name"), F.coalesce("labels.middle_name", split["middle"]).alias("middle_name"), F.coalesce("labels.last_name", split["last"]).alias("last_name"), "email", F.get("numbers", F.lit(0)).alias("phone"), F.get("numbers", F.lit(1)).alias("alternative_phone"), "linkedin", "github", "website", "portfolio", F.col("labels.date_of_birth").alias("date_of_birth"), contact.stated_gender(F.col("labels.gender")).alias("stated_gender"), F.col("labels.nationality").alias("nationality"), F.col("labels.marital_status").alias("marital_status"), F.coalesce("labels.location", "place").alias("location")).alias("personal_information"),
         "summary", "work_experience", "education", "certifications", "projects", "languages",
         F.col("known").alias("skills"), F.col("other").alias("other_skills"),
         language_of(F.col("body")).alias("document_language"),
-        counts(F.col("body"), contact.emails(F.col("near")), contact.phones(F.col("near"))).alias("counts"),
+        counts(F.col("body"), contact.emails(F.col("near")), F.col("called")).alias("counts"),
         evaluate.quality(F.concat(score, more), missing, F.array().cast("array<string>")).alias("quality"),
     )
 

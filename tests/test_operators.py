@@ -6,6 +6,8 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -130,25 +132,117 @@ def test_segments(spark):
 
 def test_fragments_and_bands(spark):
     row = [fixtures._LINE(1, 0, 40, 100, 45, "•"), fixtures._LINE(1, 1, 47, 100, 70, "SQL"), fixtures._LINE(1, 2, 73, 100.5, 120, "(queries)"), fixtures._LINE(1, 3, 300, 100, 305, "•"), fixtures._LINE(1, 4, 307, 100, 380, "Teamwork")]
-    out = layout.joined(layout.Line.of(spark.createDataFrame([(1, *r) for r in row], layout.BLOCKS).toPandas()))
-    assert [b.text for b in out] == ["• SQL (queries)", "• Teamwork"]
-
-
-def test_entry_groups():
-    line = lambda i, t, bold=False: layout.Line(1, 40, 20 * i, 200, 20 * i + 12, t, 10, bold, "native", 0.95)
-    inline = [line(0, "Dev | A Jan 2020 - Feb 2021"), line(1, "- code"), line(2, "Lead | B Mar 2021 - Present"), line(3, "- plan")]
-    assert [len(g) for g in entries.entry_groups(inline)] == [2, 2]
-    bold = [line(0, "Acme", True), line(1, "2018 - 2019"), line(2, "- a"), line(3, "Beta", True), line(4, "Engineer", True), line(5, "2019-01 - 2020-01")]
-    assert [g[0].text for g in entries.entry_groups(bold)] == ["Acme", "Beta"]
-    labelled = [line(0, "Company: A"), line(1, "Position: X"), line(2, "Company: B"), line(3, "Position: Y")]
-    assert [len(g) for g in entries.entry_groups(labelled)] == [2, 2]
-    assert entries._job([line(0, "Acme | Data Analyst"), line(1, "2020 - 2021")])["job_title"] == "Data Analyst"
-
-
-def test_records():
-    line = lambda i, t: layout.Line(1, 40, 14 * i, 200, 14 * i + 12, t, 10, False, "native", 0.95)
-    got = entries.records([line(0, "Project: A"), line(1, "Technologies: x, y"), line(2, "more"), line(3, "Project: B")], v.PROJECT_LABELS, "project_name")
-    assert got == [{"project_name": "A", "technologies": "x, y", "description": "more"}, {"project_name": "B"}]
+    page = pd.DataFrame([(1, *r) for r in row], columns=layout.COLUMNS)
+    assert list(layout.joined(page)["text"]) == ["• SQL (queries)", "• Teamwork"]
+
+
+def ordered(rows, width=600.0):
+    page = pd.DataFrame([(1, *r) for r in rows], columns=layout.COLUMNS)
+    return list(page["text"].iloc[layout.page_order(page, width)])
+
+
+def test_page_orders():
+    at = lambda i, x, y, x1, t: fixtures._LINE(1, i, x, y, x1, t)
+    cells = [at(2 * i + k, 40 + 280 * k, y, 250 + 280 * k, f"{'LR'[k]}{i}") for i, y in enumerate((50, 80, 200, 230)) for k in (0, 1)]
+    assert ordered([*cells, at(9, 40, 140, 560, "band")]) == ["L0", "L1", "R0", "R1", "band", "L2", "L3", "R2", "R3"]
+    # headings on both sides of a gutter: each side is read whole
+    side = [at(0, 40, 20, 560, "Ann Lee"), at(1, 40, 60, 180, "Skills"), at(2, 40, 80, 180, "SQL"), at(3, 40, 120, 180, "Education"), at(4, 40, 140, 180, "BSc"), at(5, 250, 60, 560, "Experience"), at(6, 250, 80, 560, "Dev"), at(7, 250, 120, 560, "Projects"), at(8, 250, 140, 560, "X")]
+    assert ordered(side) == ["Ann Lee", "Skills", "SQL", "Education", "BSc", "Experience", "Dev", "Projects", "X"]
+    # a heading alone on its height ends what is above it, columns or not
+    bands = [*cells[:4], at(8, 40, 110, 200, "Education"), *cells[4:]]
+    assert ordered(bands) == ["L0", "L1", "R0", "R1", "Education", "L2", "L3", "R2", "R3"]
+    assert ordered([]) == [] and ordered([at(0, 40, 90, 100, "b"), at(1, 40, 50, 100, "a")]) == ["a", "b"]
+
+
+def test_rows_look_back():
+    assert layout.row_numbers(np.array([10, 10.5, 11.2, 11.6, 14, 14.2, 15.6])).tolist() == [0, 0, 0, 1, 2, 2, 3]
+
+
+def test_regions_and_gaps(spark):
+    r = spark.createDataFrame([(2.0, 5.0, 98.0, 50.0, 100.0, 60.0)], "x0 double, y0 double, x1 double, y1 double, width double, height double")
+    assert tuple(layout.clipped(r).first()) == (0.0, 2.0, 100.0, 53.0, 100.0, 60.0)
+    w = spark.createDataFrame([(1, 1, 0.0, 50.0), (1, 1, 10.0, 20.0), (1, 1, 60.0, 70.0), (1, 1, 90.0, 95.0), (1, 2, 0.0, 5.0)], "doc_id long, page int, x0 double, x1 double")
+    assert [tuple(x) for x in layout.widest_gap(w).collect()] == [(1, 1, 70.0, 90.0)]
+
+
+def read(spark, lines, f, section="x"):
+    """``f`` over lines ``(text, bold)`` or whole line rows."""
+    rows = [(1, *(fixtures._LINE(1, i, 40, 20 * i, 200, x[0], 10.0, x[1]) if len(x) == 2 else x), 0, section) for i, x in enumerate(lines)]
+    df = spark.createDataFrame(rows, layout.BLOCKS + ", part int, section string")
+    return entries.by_document(df, {"got": (section, f)}).first()["got"]
+
+
+def test_entry_groups(spark):
+    groups = lambda lines: [[b["text"] for b in g] for g in read(spark, lines, entries.grouped)]
+    inline = [("Dev | A Jan 2020 - Feb 2021", False), ("- code", False), ("Lead | B Mar 2021 - Present", False), ("- plan", False)]
+    assert [len(g) for g in groups(inline)] == [2, 2]
+    bold = [("Acme", True), ("2018 - 2019", False), ("- a", False), ("Beta", True), ("Engineer", True), ("2019-01 - 2020-01", False)]
+    assert [g[0] for g in groups(bold)] == ["Acme", "Beta"]
+    labelled = [("Company: A", False), ("Position: X", False), ("Company: B", False), ("Position: Y", False), ("company : C", True)]
+    assert [g[0] for g in groups(labelled)] == ["Company: A", "Company: B", "company : C"]
+    apart = [fixtures._LINE(1, i, 40, y, 200, t, 10.0, b) for i, (y, t, b) in enumerate([(0, "Acme 2018 - 2019", False), (13, "Bold near", True), (60, "Bold apart", True), (90, "Again apart", True), (104, "2020 - 2021", False), (117, "no | more", False)])]
+    assert [g[0] for g in groups(apart)] == ["Acme 2018 - 2019", "Bold apart"]
+    titles = [("A 2010 - 2011", False), ("Third", True), ("Second", True), ("First", True), ("2012 - 2013", False), ("Only", True), ("x 2014 - 2015", False)]
+    assert groups([fixtures._LINE(1, i, 40, 12 * i, 200, t, 10.0, b) for i, (t, b) in enumerate(titles)]) == [["A 2010 - 2011", "Third"], ["Second", "First", "2012 - 2013", "Only"], ["x 2014 - 2015"]]
+    assert read(spark, [("x", False)], entries.grouped, "y") == [[read(spark, [("x", False)], entries.grouped)[0][0]]]
+
+
+def test_jobs(spark):
+    job = lambda lines: read(spark, lines, lambda x: F.transform(entries.grouped(x), entries.job))[0]
+    r = job([("Acme | Data Analyst", False), ("2020 - 2021", False), ("• Reports", False), ("plain duty", False)])
+    assert (r["job_title"], r["company"], r["dated"], r["responsibilities"]) == ("Data Analyst", "Acme", "2020 - 2021", ["Reports", "plain duty"])
+    line = lambda i, y, t: fixtures._LINE(1, i, 40, y, 200, t, 10.0, False)
+    r = job([line(0, 0, "Engineer at Very Long"), line(1, 13, "Company Name"), line(2, 30, "Jan 2020 - Present"), line(3, 43, "Responsibilities: builds")])
+    assert (r["job_title"], r["company"], r["responsibilities"]) == ("Engineer", "Very Long Company Name", ["builds"])
+    r = job([("Position: Lead", False), ("Company: B", False), ("Location: Baku", False), ("does things", False)])
+    assert (r["job_title"], r["company"], r["location"], r["responsibilities"], r["dated"]) == ("Lead", "B", "Baku", ["does things"], None)
+    scan = [(1, 0, 40.0, 0.0, 200.0, 12.0, "e Asa developer", 0.0, False, "ocr", 0.8)]
+    r = job(scan)
+    assert (r["job_title"], r["confidence"], r["company"]) == ("As a developer", 0.65, None)
+
+
+def test_studies(spark):
+    study = lambda *t: read(spark, [(x, False) for x in t], lambda x: F.transform(entries.grouped(x), entries.study))[0]
+    r = study("Baku State", "University", "Bachelor: Physics", "2014 - 2018 GPA: 3,5 / 4")
+    assert (r["institution"], r["degree"], r["field_of_study"], r["gpa"], r["dated"]) == ("Baku State University", "Bachelor", "Physics", "3,5 / 4", "2014 - 2018")
+    r = study("ADA University | Information Tecnology", "2019 - 2023")
+    assert (r["institution"], r["degree"], r["field_of_study"]) == ("ADA University", None, "Information Technology")
+    r = study("Some College | Diploma")
+    assert (r["institution"], r["degree"], r["field_of_study"]) == ("Some College", "Diploma", None)
+    r = study("University: MIT", "Degree: MSc", "Major: Law")
+    assert (r["institution"], r["degree"], r["field_of_study"]) == ("MIT", "MSc", "Law")
+    r = study("Texnika Universiteti", "Kompüter", "mühəndisliyi")
+    assert r["field_of_study"] is None or "mühəndisliyi" in r["field_of_study"]
+
+
+def test_records(spark):
+    near = lambda lines: [fixtures._LINE(1, i, 40, 13 * i, 200, t, 10.0, b) for i, (t, b) in enumerate(lines)]
+    got = read(spark, near([("Project: A", False), ("Technologies: x, y", False), ("more", False), ("Project: B", False)]), entries.projects)
+    assert [(r["project_name"], r["technologies"], r["description"]) for r in got] == [("A", ["x", "y"], "more"), ("B", [], None)]
+    got = read(spark, near([("• Shop", False), ("first", False), ("Description: told", False), ("and more", False), ("Next", True), ("URL: http://a.b", False)]), entries.projects)
+    assert [(r["project_name"], r["url"], r["description"]) for r in got] == [("Shop", None, "told\nand more"), ("Next", "http://a.b", None)]
+    got = read(spark, near([("PMP", False), ("Issuer: PMI", False), ("Issued: 02/2022", False), ("CKA", False)]), entries.certifications)
+    assert [(r["certification_name"], r["issuer"], r["issue_date"]) for r in got] == [("PMP", "PMI", "2022-02"), ("CKA", None, None)]
+
+
+def test_skill_lines(spark):
+    at = lambda i, x, y, t: fixtures._LINE(1, i, x, y, 200, t, 10.0)
+    assert read(spark, [at(0, 40, 0, "SQL and"), at(1, 40, 13, "more"), at(2, 60, 26, "Go"), at(3, 60, 60, "C")], entries.merged_items) == "• SQL and more\n• Go\n• C"
+
+
+def test_languages_take_levels_in_order(spark):
+    at = lambda i, x, y, t, x1=100: fixtures._LINE(1, i, x, y, x1, t, 10.0)
+    got = read(spark, [at(0, 40, 0, "English"), at(1, 40, 20, "Russian"), at(2, 150, 20, "Fluent"), at(3, 40, 40, "B1"), at(4, 40, 60, "https://x.org, 2020, C1"), at(5, 40, 80, "one two three four five")], entries.languages)
+    assert [tuple(r) for r in got] == [("English", "B1", "B1"), ("Russian", "Fluent", None)]
+
+
+def test_names(spark):
+    at = lambda i, y, t, f: fixtures._LINE(1, i, 40, y, 200, t, f)
+    name = lambda *lines: (read(spark, [at(i, 20 * i if f < 20 else 30 * i, t, f) for i, (t, f) in enumerate(lines)], entries.name_candidate) or {"full_name": None})["full_name"]
+    assert name(("ALEX", 28.0), ("MORGAN", 28.0), ("Data Person", 12.0)) == "ALEX MORGAN"
+    assert name(("Senior Developer", 20.0), ("Jean-Luc O'Neil", 12.0)) == "Jean-Luc O'Neil"
+    assert name(("Work Experience", 12.0), ("ann lee", 12.0), ("Ann", 12.0), ("A1 B2", 12.0)) is None
+    assert name(("Ann Lee", 10.0), ("Bo Li", 14.0), ("Cy Lo", 14.0)) == "Bo Li"
 
 
 def test_match_scores(spark):
