@@ -133,7 +133,9 @@ def reconstruct(archive: Archive, spark: SparkSession, with_payload: bool = True
     Length and digest are made from the stored bytes, and ``intact`` says that they agree with the
     store's key and the header. Without payload the join moves only what was made of it.
     """
-    kept = archive.payloads(spark).select("digest", F.octet_length("payload").cast("long").alias("payload_bytes"), base32(F.sha1("payload")).alias("payload_digest"), F.sha2("payload", 256).alias("sha256"), *["payload"] * with_payload)
+    # each digest is made once, below the expressions that use it several times
+    held = archive.payloads(spark).select("digest", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("sha1"), F.sha2("payload", 256).alias("sha256"), *["payload"] * with_payload)
+    kept = held.select("digest", "payload_bytes", base32(F.col("sha1")).alias("payload_digest"), "sha256", *["payload"] * with_payload)
     heads = read_headers(archive, spark)
     out = heads.join(kept, "digest")
     intact = F.startswith("digest", "sha256") & (F.col("stated_sha1") == F.col("payload_digest"))
