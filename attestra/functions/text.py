@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
@@ -27,6 +29,21 @@ def compatibility_form(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFKC", t) if isinstance(t, str) else t)
 
 
+def compatible(df: DataFrame) -> DataFrame:
+    """``df`` with every string in NFKC, however deep in arrays and structs."""
+
+    def form(x):
+        if isinstance(x, str):
+            return unicodedata.normalize("NFKC", x)
+        return [form(y) for y in x] if isinstance(x, list) else {k: form(y) for k, y in x.items()} if isinstance(x, dict) else x
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pylist([form(r) for r in b.to_pylist()], b.schema)
+
+    return df.mapInArrow(run, df.schema)
+
+
 @pandas_udf(StringType())
 def composed_form(text: pd.Series) -> pd.Series:
     """NFC, at ingest."""
@@ -76,6 +93,12 @@ def clauses(text: Column) -> Column:
     return F.split(text, CLAUSE_END)
 
 
+def stuffed(line: Column, least: int = 40, share: float = 0.18) -> Column:
+    """Whether a line of ``least`` words or more, without an end mark, has fewer different words than that share of them."""
+    words = F.array_remove(F.split(F.lower(line), r"(?U)\W+"), "")
+    return let(words, lambda w: (F.size(w) >= least) & (F.size(F.array_distinct(w)) < F.size(w) * share)) & ~line.rlike("[.!?]")
+
+
 def clean(text: Column) -> Column:
     """``struct<text, changed>``: no format characters, instructions or repetition; each clause once.
 
@@ -88,22 +111,28 @@ def clean(text: Column) -> Column:
 
     def cut(line: Column) -> Column:
         told = line.rlike(marker)
-        left = F.when(told, strip(F.get(F.split(line, marker, 2), F.lit(0)))).otherwise(line)
-        words = F.array_remove(F.split(F.lower(left), r"(?U)\W+"), "")
-        stuffed = (F.size(words) >= 40) & (F.size(F.array_distinct(words)) < F.size(words) * 0.18) & ~left.rlike("[.!?]")
-        return F.struct(F.when(~stuffed, left).alias("text"), (told | stuffed).alias("changed"))
+        return let(F.struct(F.when(told, strip(F.get(F.split(line, marker, 2), F.lit(0)))).otherwise(line).alias("text"), told.alias("told")), thin)
+
+    def thin(x: Column) -> Column:
+        return let(stuffed(x["text"]), lambda s: F.struct(F.when(~s, x["text"]).alias("text"), (x["told"] | s).alias("changed")))
 
-    lines = F.transform(F.split(plain, LINE_END), cut)
-    kept = F.array_join(F.transform(lines, lambda x: x["text"]), "\n")
-    pieces = F.filter(F.transform(clauses(kept), strip), lambda c: c != "")
-    once = F.array_distinct(pieces)
-    changed = F.exists(lines, lambda x: x["changed"]) | (F.size(once) != F.size(pieces))
-    return F.struct(F.array_join(once, "\n").alias("text"), changed.alias("changed"))
+    def whole(lines: Column) -> Column:
+        kept = F.array_join(F.transform(lines, lambda x: x["text"]), "\n")
+        pieces = F.filter(F.transform(clauses(kept), strip), lambda c: c != "")
+        taken = F.exists(lines, lambda x: x["changed"])
+        return let(pieces, lambda p: F.struct(F.array_join(F.array_distinct(p), "\n").alias("text"), (taken | (F.size(F.array_distinct(p)) != F.size(p))).alias("changed")))
+
+    return let(F.transform(F.split(plain, LINE_END), cut), whole)
 
 
 def positive(text: Column) -> Column:
     """The clauses that deny nothing, a line each."""
-    return F.array_join(F.filter(clauses(text), lambda c: ~c.rlike(ANY_CASE + v.NEGATIVE)), "\n")
+    return F.array_join(F.filter(clauses(text), lambda c: ~denies(c)), "\n")
+
+
+def denies(clause: Column) -> Column:
+    """Whether a clause says that something is not so."""
+    return clause.rlike(ANY_CASE + v.NEGATIVE)
 
 
 def evidence(text: Column) -> Column:
@@ -120,7 +149,7 @@ def contextual(text: Column) -> Column:
 
 def recognised(text: Column, vocabulary: dict[str, str]) -> Column:
     """The sorted keys whose pattern occurs between word ends, in any case."""
-    return F.array_compact(F.array(*[F.when(text.rlike(rf"{ANY_CASE}\b(?:{p})\b"), F.lit(k)) for k, p in sorted(vocabulary.items())]))
+    return let(text, lambda t: F.array_compact(F.array(*[F.when(t.rlike(rf"{ANY_CASE}\b(?:{p})\b"), F.lit(k)) for k, p in sorted(vocabulary.items())])))
 
 
 def quoted(phrase: Column) -> Column:
@@ -133,24 +162,37 @@ def holds(text: Column, phrase: Column) -> Column:
     return F.regexp_like(text, F.concat(F.lit(r"(?U)(?<![\w+#])"), quoted(phrase), F.lit(r"(?![\w+#])")))
 
 
-def literal_holds(text: Column, phrase: str) -> Column:
-    return text.rlike(r"(?U)(?<![\w+#])" + re.sub(r"([^\w\s])", r"\\\1", phrase) + r"(?![\w+#])")
+def one_of(words: Iterable[str]) -> Column:
+    """An array of fixed words, as one expression."""
+    return F.map_keys(lookup(dict.fromkeys(words, "")))
+
+
+@functools.cache
+def _terms() -> tuple[str, dict[str, str]]:
+    """A pattern that finds the longest vocabulary term at each place, and for each term the canonical skills that it and its beginnings name."""
+    words = sorted({s for c, terms in v.SKILLS.items() if c != "soft_skills" for s in terms} | set(v.MORE_SKILLS) | set(v.ALIASES), key=lambda w: (-len(w), w))
+    ends = lambda w, u: w == u or (w.startswith(u) and not re.match(r"[\w+#]", w[len(u)]))
+    pattern = "|".join(re.sub(r"([^\w\s])", r"\\\1", w) for w in words)
+    return rf"(?U)(?<![\w+#])(?=({pattern})(?![\w+#]))", {w: ",".join(sorted({v.ALIASES.get(u, u) for u in words if ends(w, u)})) for w in words}
 
 
 def skills_in(text: Column, extra: Column | None = None) -> Column:
     """The sorted canonical skills of a text: the vocabulary, ``extra`` phrases, and what a line `Skills:` lists; no soft ones."""
-    folded = fold(text)
-    words = sorted({s for c, terms in v.SKILLS.items() if c != "soft_skills" for s in terms} | set(v.MORE_SKILLS) | set(v.ALIASES))
-    found = F.array_compact(F.array(*[F.when(literal_holds(folded, w), F.lit(v.ALIASES.get(w, w))) for w in words]))
-    lists = F.regexp_extract_all(folded, F.lit(r"(?imuU)" + v.SKILL_LIST), F.lit(1))
-    items = F.transform(F.flatten(F.transform(lists, lambda x: F.split(x, r"(?U)[,;]|\s+(?:and|və|ve)\s+|\s*&\s*"))), lambda x: F.regexp_replace(strip(x), r"\.+$", ""))
-    listed = F.transform(F.filter(items, lambda x: (x != "") & (F.char_length(x) <= 60) & (F.size(F.split(strip(x), r"(?U)\s+")) <= 4)), canonical)
-    parts = [found, listed]
-    if extra is not None:
-        own = F.transform(F.filter(extra, lambda s: strip(s) != ""), canonical)
-        parts.append(F.filter(own, lambda s: holds(folded, s)))
-    soft = F.array(*[F.lit(s) for s in v.SOFT])
-    return F.array_sort(F.array_except(F.array_distinct(F.concat(*parts)), soft))
+    pattern, named = _terms()
+
+    def found(folded: Column) -> Column:
+        terms = F.array_distinct(F.regexp_extract_all(folded, F.lit(pattern), F.lit(1)))
+        known = F.flatten(F.transform(terms, lambda t: F.split(F.try_element_at(lookup(named), t), ",")))
+        lists = F.regexp_extract_all(folded, F.lit(r"(?imuU)" + v.SKILL_LIST), F.lit(1))
+        items = F.transform(F.flatten(F.transform(lists, lambda x: F.split(x, r"(?U)[,;]|\s+(?:and|və|ve)\s+|\s*&\s*"))), lambda x: F.regexp_replace(strip(x), r"\.+$", ""))
+        listed = F.transform(F.filter(items, lambda x: (x != "") & (F.char_length(x) <= 60) & (F.size(F.split(strip(x), r"(?U)\s+")) <= 4)), canonical)
+        parts = [known, listed]
+        if extra is not None:
+            own = F.transform(F.filter(extra, lambda s: strip(s) != ""), canonical)
+            parts.append(F.filter(own, lambda s: holds(folded, s)))
+        return F.array_sort(F.array_except(F.array_distinct(F.concat(*parts)), one_of(v.SOFT)))
+
+    return let(fold(text), found)
 
 
 def coverage(have: Column, need: Column) -> Column:
@@ -160,20 +202,16 @@ def coverage(have: Column, need: Column) -> Column:
 
 def constraints(text: Column) -> Column:
     """``struct<positive, forbidden>``: optional clauses go; the skills of prohibiting clauses are forbidden."""
-    parts = F.filter(clauses(text), lambda c: ~c.rlike(ANY_CASE + "(?:" + v.OPTIONAL + ")"))
     bans = lambda c: c.rlike(ANY_CASE + "(?:" + v.PROHIBITED + ")")
-    banned = F.array_join(F.filter(parts, bans), "\n")
-    return F.struct(F.array_join(F.filter(parts, lambda c: ~bans(c)), "\n").alias("positive"), skills_in(banned).alias("forbidden"))
+    said = F.filter(clauses(text), lambda c: ~c.rlike(ANY_CASE + "(?:" + v.OPTIONAL + ")"))
+    return let(said, lambda parts: F.struct(F.array_join(F.filter(parts, lambda c: ~bans(c)), "\n").alias("positive"), skills_in(F.array_join(F.filter(parts, bans), "\n")).alias("forbidden")))
 
 
 def required_years(text: Column) -> Column:
     """The largest number of years asked for near a word for experience, months as parts of a year; null if none."""
     near = ANY_CASE + rf"((?s:.){{0,40}}?)(?<![\d.]){v.YEARS}(?=((?s:.){{0,60}}))"
-    whole = F.regexp_extract_all(text, F.lit(near), F.lit(0))
-    after = F.regexp_extract_all(text, F.lit(near), F.lit(4))
-    number = F.regexp_extract_all(text, F.lit(near), F.lit(2))
-    unit = F.regexp_extract_all(text, F.lit(near), F.lit(3))
-    rows = F.arrays_zip(whole.alias("whole"), after.alias("after"), number.alias("number"), unit.alias("unit"))
+    group = lambda t, i, name: F.regexp_extract_all(t, F.lit(near), F.lit(i)).alias(name)
+    rows = let(text, lambda t: F.arrays_zip(group(t, 0, "whole"), group(t, 4, "after"), group(t, 2, "number"), group(t, 3, "unit")))
     near_words = ANY_CASE + v.EXPERIENCE_WORDS
     good = F.filter(rows, lambda r: F.concat(r["whole"], r["after"]).rlike(near_words))
     return F.array_max(F.transform(good, lambda r: r["number"].cast("double") / F.when(F.lower(r["unit"]).startswith("month"), 12).otherwise(1)))
@@ -184,8 +222,8 @@ def degree_level(text: Column, requirement: bool = False) -> Column:
     parts = F.split(text, r"(?U)[\n;]|\.(?=\s+[A-Z])")
     if requirement:
         parts = F.filter(parts, lambda c: ~c.rlike(ANY_CASE + "(?:" + v.NOT_MANDATORY + ")"))
-    names = lambda pattern: F.exists(parts, lambda c: c.rlike(rf"{ANY_CASE}(?<!\w)(?:{pattern})(?!\w)"))
-    hits = F.array_compact(F.array(*[F.when(names(p), F.struct(F.lit(n).alias("level"), F.lit(name).alias("name"))) for n, name, p in v.DEGREES]))
+    names = lambda t, pattern: t.rlike(rf"{ANY_CASE}(?<!\w)(?:{pattern})(?!\w)")
+    hits = let(F.array_join(parts, "\n"), lambda t: F.array_compact(F.array(*[F.when(names(t, p), F.struct(F.lit(n).alias("level"), F.lit(name).alias("name"))) for n, name, p in v.DEGREES])))
     return F.array_min(hits) if requirement else F.array_max(hits)
 
 

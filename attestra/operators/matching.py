@@ -12,6 +12,14 @@ from attestra.operators import intervals
 LEAVES = [(group, leaf) for group, leaves in v.WEIGHTS.items() for leaf in leaves]
 
 
+def matched(need: Column, have: Column) -> Column:
+    return F.array_intersect(need, have)
+
+
+def missing(need: Column, have: Column) -> Column:
+    return F.array_except(need, have)
+
+
 def normalised_weights(weights: dict[str, float], active: dict[str, Column]) -> dict[str, Column]:
     """Weights of what is active, scaled to a sum of 1; all 0 if nothing is."""
     total = sum((F.when(active[k], w).otherwise(0.0) for k, w in weights.items()), F.lit(0.0))
@@ -37,7 +45,7 @@ def verdict(score: Column) -> Column:
 
 def seniority(t: Column) -> Column:
     """The highest level that a text names, 0 if none."""
-    return F.greatest(F.lit(0), *[F.when(t.rlike(rf"{text.ANY_CASE}\b(?:{p})\b"), n) for n, p in v.SENIORITY])
+    return text.let(t, lambda x: F.greatest(F.lit(0), *[F.when(x.rlike(rf"{text.ANY_CASE}\b(?:{p})\b"), n) for n, p in v.SENIORITY]))
 
 
 def candidate_columns(skills: Column, summary: Column, soft: Column, jobs: Column, studies: Column, credentials: Column, projects: Column) -> dict[str, Column]:
@@ -69,15 +77,18 @@ def candidate_columns(skills: Column, summary: Column, soft: Column, jobs: Colum
 
 
 def requirement_columns(description: Column) -> dict[str, Column]:
-    """What depends on the requirement text alone."""
-    c = text.constraints(text.clean(description)["text"])
-    return {"jd_clean": text.clean(description)["text"], "jd_text": c["positive"], "forbidden": c["forbidden"]}
+    """What depends on the requirement text, once it is clean, alone."""
+    c = text.constraints(description)
+    return {"jd_clean": description, "jd_text": c["positive"], "forbidden": c["forbidden"]}
 
 
 def related(job: Column, families: Column, software: Column, domains: Column) -> Column:
     """Whether a job counts for a requirement: by role family, else by field, else by having any text."""
-    own = text.recognised(job["title"], v.ROLE_FAMILIES)
-    target = F.when((F.size(families) == 0) & software, F.array(F.lit("software"))).otherwise(families)
+    one = F.array(F.lit("software"))
+    return text.let(F.struct(text.recognised(job["title"], v.ROLE_FAMILIES).alias("own"), F.when((F.size(families) == 0) & software, one).otherwise(families).alias("target")), lambda x: _related(job, x["own"], x["target"], domains))
+
+
+def _related(job: Column, own: Column, target: Column, domains: Column) -> Column:
     one = F.array(F.lit("software"))
     by_role = F.arrays_overlap(own, target) | ((target == one) & F.arrays_overlap(own, F.array(F.lit("backend"), F.lit("frontend"), F.lit("devops")))) | ((own == one) & F.arrays_overlap(text.recognised(job["duties"], v.ROLE_FAMILIES), target))
     by_field = F.arrays_overlap(text.recognised(F.concat(job["title"], F.lit(" "), job["duties"]), v.DOMAINS), domains)
@@ -98,9 +109,14 @@ def worked_spans(history: Column, as_of: Column) -> Column:
 
 def title_fit(history: Column, jd: Column) -> Column:
     """Over the jobs, the best share of the wanted roles in the title, less for a lower level; 100 if nothing is wanted."""
-    target, need = text.recognised(jd, v.TITLE_ROLES), seniority(jd)
-    fits = F.transform(history, lambda j: F.when(F.size(target) > 0, text.coverage(text.recognised(j["title"], v.TITLE_ROLES), target)).otherwise(100.0) * F.when(need > 0, F.least(F.lit(100.0), 100 * seniority(j["title"]) / need)).otherwise(100.0) / 100)
-    return F.when((F.size(target) == 0) & (need == 0), 100.0).otherwise(F.round(F.coalesce(F.array_max(fits), F.lit(0.0)), 2))
+
+    def fit(x: Column) -> Column:
+        target, need = x["target"], x["need"]
+        named = lambda j: F.when(F.size(target) > 0, text.coverage(text.recognised(j["title"], v.TITLE_ROLES), target)).otherwise(100.0)
+        fits = F.transform(history, lambda j: named(j) * F.when(need > 0, F.least(F.lit(100.0), 100 * seniority(j["title"]) / need)).otherwise(100.0) / 100)
+        return F.when((F.size(target) == 0) & (need == 0), 100.0).otherwise(F.round(F.coalesce(F.array_max(fits), F.lit(0.0)), 2))
+
+    return text.let(F.struct(text.recognised(jd, v.TITLE_ROLES).alias("target"), seniority(jd).alias("need")), fit)
 
 
 def years_and_recency(spans: Column, as_of: Column) -> tuple[Column, Column]:

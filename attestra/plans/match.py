@@ -33,8 +33,8 @@ def prepared_candidates(candidates: DataFrame) -> DataFrame:
 
 def prepared_requirements(jobs: DataFrame) -> DataFrame:
     """What depends on a requirement text alone, once each."""
-    made = m.requirement_columns(F.col("description"))
-    some = jobs.select("jd_id", *[c.alias(n) for n, c in made.items()])
+    made = m.requirement_columns(F.col("clean"))
+    some = jobs.select("jd_id", text.clean(F.col("description"))["text"].alias("clean")).select("jd_id", *[c.alias(n) for n, c in made.items()])
     jd = F.col("jd_text")
     return some.select(
         "jd_id", "jd_clean", "jd_text", "forbidden",
@@ -76,10 +76,10 @@ def score(rows: DataFrame, as_of: Column, similarity=row_similarity) -> DataFram
 
     ``similarity(a, b)`` gives 0 to 1 for two texts of a row; another backend may take its place.
     """
-    s = rows.withColumn("required", F.array_sort(F.array_except(F.array_distinct(F.concat("jd_skills", F.filter(F.array_except(F.transform("own_skills", text.canonical), F.array(*map(F.lit, v.SOFT))), lambda x: text.holds(text.fold(F.col("jd_text")), x)))), "forbidden")))
-    tools = F.array(*map(F.lit, v.TOOLS))
+    s = rows.withColumn("required", F.array_sort(F.array_except(F.array_distinct(F.concat("jd_skills", F.filter(F.array_except(F.transform("own_skills", text.canonical), text.one_of(v.SOFT)), lambda x: text.holds(text.fold(F.col("jd_text")), x)))), "forbidden")))
+    tools = text.one_of(v.TOOLS)
     s = s.withColumns({
-        "matched": F.array_intersect("required", "cv_skills"), "missing": F.array_except("required", "cv_skills"), "violations": F.array_sort(F.array_intersect("cv_skills", "forbidden")),
+        "matched": m.matched(F.col("required"), F.col("cv_skills")), "missing": m.missing(F.col("required"), F.col("cv_skills")), "violations": F.array_sort(F.array_intersect("cv_skills", "forbidden")),
         "hard": F.array_except("required", tools), "tool": F.array_intersect("required", tools),
         "past": F.filter("history", lambda j: F.coalesce(m.related(j, F.col("jd_families"), F.col("jd_software"), F.col("jd_domains")), F.lit(False))),
         "conflict": text.conflicting(F.col("cv_text"), F.col("jd_clean")),
@@ -141,12 +141,12 @@ def score(rows: DataFrame, as_of: Column, similarity=row_similarity) -> DataFram
 
 
 def match(candidates: DataFrame, jobs: DataFrame, as_of: Column, pairs: DataFrame | None = None, above: float | None = None) -> DataFrame:
-    """Scores of ``candidates`` against ``jobs(jd_id, description)``.
+    """Scores of ``candidates`` against ``jobs(jd_id, description)``, both taken in compatibility form (NFKC).
 
     With ``above`` over UNMATCHED only pairs that share a skill are formed, by an equi-join, as no other
     can score more; without it all pairs are.
     """
-    a, b = prepared_candidates(candidates), prepared_requirements(jobs)
+    a, b = prepared_candidates(text.compatible(candidates)), prepared_requirements(text.compatible(jobs.select("jd_id", "description")))
     if pairs is None and above is not None and above >= UNMATCHED:
         pairs = blocked_pairs(a, b)
     out = score(paired(a, b, pairs), as_of)
