@@ -297,8 +297,8 @@ def write_shards(tokens: DataFrame, cuts: list[tuple[int, int]], path: str | Non
 
     ``cuts`` are pairs of an id and a hash that split the rows into parts of about the same size; each
     part is sorted by its task and closed into shards of about SHARD_IDS ids, a document never being
-    split, however many ids it has. A null id is the least; rows with the same id go in order of a hash
-    of their tokens, so those of an id that very many rows have are spread over parts.
+    split, however many ids it has. A null id is the least; rows with the same id go in order of their
+    tokens, but those of an id with several cuts in order of a hash of these, which spreads them over parts.
     """
     spark = tokens.sparkSession
     path = qualified(spark, path or scratch_dir(spark, "tokens"))
@@ -306,14 +306,18 @@ def write_shards(tokens: DataFrame, cuts: list[tuple[int, int]], path: str | Non
     shared = spark.sparkContext.broadcast(edges)
 
     def place(batches):
-        low, hot = np.ascontiguousarray(shared.value[:, 0]), shared.value
+        low, high = np.ascontiguousarray(shared.value[:, 0]), np.ascontiguousarray(shared.value[:, 1])
+        hot = np.unique(low[high > 0])
         for b in batches:
             ids = b.column(0).fill_null(LEAST).to_numpy(zero_copy_only=False)
-            tie = np.fromiter((zlib.crc32(x) for x in b.column(1).to_pylist()), np.int64, b.num_rows)
-            part = np.searchsorted(low, ids, side="left")
-            for i in np.intersect1d(ids, low):
-                mine = ids == i
-                part[mine] += np.searchsorted(hot[low == i, 1], tie[mine], side="right")
+            # a row goes after the cuts at its id, but for ids with several cuts, where its hash says which
+            part = np.searchsorted(low, ids, side="right")
+            tie = np.zeros(len(ids), np.int64)
+            mine = np.flatnonzero(np.isin(ids, hot))
+            tie[mine] = [zlib.crc32(x) for x in b.column(1).take(pa.array(mine)).to_pylist()]
+            for i in np.unique(ids[mine]):
+                at = mine[ids[mine] == i]
+                part[at] = np.searchsorted(low, i) + np.searchsorted(high[low == i], tie[at], side="right")
             yield pa.record_batch([*b.columns, pa.array(tie), pa.array(part.astype(np.int32))], ["id", "ids", "width", "tie", "part"])
 
     dealt = tokens.mapInArrow(place, "id long, ids binary, width int, tie long, part int").repartitionById(len(edges) + 1, "part").sortWithinPartitions("part", F.col("id").asc_nulls_first(), "tie", "ids").drop("tie")
