@@ -6,7 +6,10 @@ Parquet in between; all but the last return the columns of documents.
 
 from __future__ import annotations
 
+import contextlib
+
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,16 +25,23 @@ def _new(name: str, docs: DataFrame) -> str:
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """``docs`` written with a number of each row, and the name of that column.
+    """``docs`` with a key of each row that is the same each time it is read, and the name of that column.
 
-    Ids may be null or repeat; a written number names one row, the same each time it is read.
+    Ids may be null or repeat. A row of a Parquet table is known by its file, as a digest of the whole
+    path, and its place in the file, so no copy is written; the rows of any other plan, whose order may
+    change from one reading to the next, are written with a number each.
     """
     row = _new("row_", docs)
+    # over a join or an explode a file's row may stand more than once, so only a plain scan has these keys
+    if docs._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation":
+        with contextlib.suppress(AnalysisException):  # files of other formats have no places
+            place = docs.metadataColumn("_metadata")
+            return docs.withColumn(row, F.struct(F.unhex(F.md5(place["file_path"])).alias("file"), place["row_index"].alias("at"))), row
     return written(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), row
 
 
 def _without(docs: DataFrame, gone: DataFrame, row: str) -> DataFrame:
-    """``docs`` less the rows whose numbers are in ``gone``."""
+    """``docs`` less the rows whose keys are in ``gone``."""
     return docs.join(small(gone), row, "left_anti").drop(row)
 
 
