@@ -632,12 +632,14 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert 30 < len(want) < len(rows) - 10
 
 
-def test_pipeline_stages_decide_by_row(spark, tmp_path):
-    """Several null and repeated ids: one row of each group stays, and no other row goes for having the same id."""
+@pytest.mark.parametrize("from_files", [False, True])
+def test_pipeline_stages_decide_by_row(spark, tmp_path, from_files):
+    """Several null and repeated ids: one row of each group stays, and no other row goes for having the same id; for tables of files and for other plans."""
     item = prose(30, 600)
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     a, b, c, d, e = (prose(60, 800 + i, 10**6) for i in range(5))
-    frame = lambda rows: spark.createDataFrame([(i, t, "s", "q") for i, t in rows], "doc_id long, text string, row_ string, component_id string").repartition(3)
+    made = lambda rows: spark.createDataFrame([(i, t, "s", "q") for i, t in rows], "doc_id long, text string, row_ string, component_id string").repartition(3)
+    frame = (lambda rows: common.written(made(rows), "docs")) if from_files else made
     left = lambda stage, rows: sorted(((r["doc_id"], r["text"]) for r in stage(spark, frame(rows), str(tmp_path)).collect()), key=str)
     rows = [(None, a), (None, a.upper()), (None, a), (None, b), (1, c), (1, c), (1, d), (2, d), (None, d), (None, None)]
     got = left(corpus_pipeline.exact, rows)
@@ -649,6 +651,16 @@ def test_pipeline_stages_decide_by_row(spark, tmp_path):
     assert left(corpus_pipeline.benchmark, rows) == sorted([(None, b), (None, None), (1, c), (1, c), (2, d)], key=str)
 
 
+def test_pipeline_keys_name_one_row(spark, tmp_path):
+    """Rows of several files have keys of their own, also where a join or an explode repeats a file's rows."""
+    spark.range(40).select(F.col("id").alias("doc_id"), F.lit("a text").alias("text")).repartition(4).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    twice = spark.range(2).withColumnRenamed("id", "other")
+    for some, n in ((docs, 40), (docs.crossJoin(twice), 80), (docs.withColumn("o", F.explode(F.array(F.lit(1), F.lit(2)))), 80), (docs.union(docs), 80)):
+        keyed, row = corpus_pipeline._numbered(some)
+        assert (keyed.count(), keyed.select(row).distinct().count()) == (n, n)
+
+
 def test_pipeline_language_with_nothing_to_learn(spark, tmp_path):
     rows = [(1, "Some words here"), (2, None), (3, "12 ..."), (None, "é"), (4, "")]
     for lang in (None, "en"):
