@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestra import fixtures
@@ -23,6 +23,10 @@ AS_OF = "2026-09-10"
 #: Words that stand for a skill vocabulary in part names and types.
 METALS = {"tin": "tin", "nickel": "nickel", "brass": "brass", "steel": "steel", "copper": "copper"}
 
+#: Skills as texts write them, with the names that they count as.
+WRITTEN = {"Python": "python", "K8s": "kubernetes", "Golang": "go", "C++": "c++", "Rust": "rust", "Terraform": "terraform", "Power BI": "power bi"}
+WRITTEN_TOO = {"SQL": "sql", "Docker": "docker", "Postgres": "postgresql", "Django": "django", "Excel": "excel"}
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -32,6 +36,16 @@ def _literal(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
+def _after(spark: SparkSession, texts: list[str], made: DataFrame) -> DataFrame:
+    """``(id, raw)``: literal texts under -1, -2 and so on, then the rows of ``made``."""
+    return _literal(spark, [(-1 - i, t) for i, t in enumerate(texts)], "id long, raw string").unionByName(made)
+
+
+def _pick(words: list[str], key: Column) -> Column:
+    """One of the words, by the remainder of a key."""
+    return F.get(F.array(*map(F.lit, words)), F.pmod(key, F.lit(len(words))).cast("int"))
+
+
 def lexical_topk(spark, sf_dir):
     """The three documents most like each benchmark item."""
     pairs = lexical.pair_similarity(_table(spark, sf_dir, "documents"), "doc_id", "text", _table(spark, sf_dir, "benchmark"), "item_id", "text")
@@ -173,32 +187,48 @@ def order_dates(spark, sf_dir):
 
 
 def date_spans(spark, sf_dir):
-    """Date ranges."""
+    """Date ranges as written, then the months of each order up to 200 days later, up to now, and back a year."""
+    d, k = F.to_date("o_orderdate"), F.col("o_orderkey")
+    month = lambda x: F.date_format(x, "yyyy-MM")
+    raw = F.when(k % 4 == 0, F.concat(month(d), F.lit(" - "), month(F.date_add(d, 200)))).when(k % 4 == 1, F.concat(F.date_format(d, "yyyy"), F.lit(" - Present")))
+    raw = raw.when(k % 4 == 2, F.concat(month(d), F.lit(" - "), month(F.add_months(d, -12)))).otherwise(F.concat(F.date_format(d, "MMMM yyyy"), F.lit(" to "), F.date_format(F.add_months(d, 5), "MMMM yyyy")))
     s = dates.span(F.col("raw"))
-    return _literal(spark, [(r[0],) for r in fixtures.SPANS], "raw string").select("raw", s["start"].alias("start_date"), s["end"].alias("end_date"), s["current"].alias("current"))
+    return _after(spark, [r[0] for r in fixtures.SPANS], _table(spark, sf_dir, "orders").select(k.alias("id"), raw.alias("raw"))).select("id", s["start"].alias("start_date"), s["end"].alias("end_date"), s["current"].alias("current"))
 
 
 def durations(spark, sf_dir):
-    """Durations in words."""
-    rows = _literal(spark, [(i, *r[:3]) for i, r in enumerate(fixtures.DURATIONS)], "id int, start_date string, end_date string, current boolean")
+    """Durations in words: literal ones, then from each order's day some days on, and from its month some months on."""
+    d, k = F.to_date("o_orderdate"), F.col("o_orderkey")
+    days = k % 2 == 0
+    until = F.when(days, F.date_format(F.date_add(d, (k % 27 + 1).cast("int")), "yyyy-MM-dd")).otherwise(F.date_format(F.add_months(d, (k % 40).cast("int")), "yyyy-MM"))
+    made = _table(spark, sf_dir, "orders").select(k.alias("id"), F.when(days, F.date_format(d, "yyyy-MM-dd")).otherwise(F.date_format(d, "yyyy-MM")).alias("start_date"), until.alias("end_date"), F.lit(False).alias("current"))
+    rows = _literal(spark, [(-1 - i, *r[:3]) for i, r in enumerate(fixtures.DURATIONS)], "id long, start_date string, end_date string, current boolean").unionByName(made)
     return rows.select("id", dates.duration(F.col("start_date"), F.col("end_date"), F.col("current"), F.to_date(F.lit(AS_OF))).alias("duration"))
 
 
 def required_years(spark, sf_dir):
-    """Years of experience that a text asks for."""
-    return _literal(spark, [(r,) for r, _ in fixtures.YEARS], "raw string").select("raw", text.required_years(F.col("raw")).alias("years"))
+    """Years of experience that a text asks for: literal texts, then one for each order."""
+    k = F.col("o_orderkey")
+    say = lambda *parts: F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
+    raw = F.when(k % 4 == 0, say("Minimum ", k % 9 + 1, " years of experience.")).when(k % 4 == 1, say(k % 11 + 1, " months of experience")).when(k % 4 == 2, say("Annual leave: ", k % 30 + 1, " days")).otherwise(say("Experience: ", k % 5 + 1, "+ years; ", k % 7 + 1, " years experience in sales"))
+    return _after(spark, [r for r, _ in fixtures.YEARS], _table(spark, sf_dir, "orders").select(k.alias("id"), raw.alias("raw"))).select("id", text.required_years(F.col("raw")).alias("years"))
 
 
 def degree_levels(spark, sf_dir):
-    """Degrees named, and degrees insisted on."""
-    rows = _literal(spark, [(r[0],) for r in fixtures.DEGREES], "raw string")
-    return rows.select("raw", text.degree_level(F.col("raw"))["level"].alias("named"), text.degree_level(F.col("raw"), True)["level"].alias("needed"))
+    """Degrees named, and degrees insisted on: literal texts, then one for each customer."""
+    k = F.col("c_custkey")
+    name = _pick(["High school diploma", "Associate degree", "Bachelor's degree", "Master of Science", "PhD"], k)
+    raw = F.concat(name, F.when(k % 2 == 0, " required").otherwise(" preferred"), F.when(k % 3 == 0, "; doctorate optional").otherwise(""))
+    rows = _after(spark, [r[0] for r in fixtures.DEGREES], _table(spark, sf_dir, "customer").select(k.alias("id"), raw.alias("raw")))
+    return rows.select("id", text.degree_level(F.col("raw"))["level"].alias("named"), text.degree_level(F.col("raw"), True)["level"].alias("needed"))
 
 
 def headings(spark, sf_dir):
-    """C11: headings and lines that are none."""
-    rows = _literal(spark, [(r[0],) for r in fixtures.HEADINGS], "raw string")
-    return rows.select("raw", sections.heading_of(F.col("raw"))["section"].alias("section"))
+    """C11: headings and lines that are none: literal lines, then one for each customer, some of them misspelt."""
+    k = F.col("c_custkey")
+    raw = F.when(k % 5 == 0, F.col("c_name")).when(k % 5 == 1, F.concat(F.lit("Segment "), F.col("c_mktsegment"))).otherwise(_pick(["WORK EXPERIENCE", "Education:", "Profesional Experience", "Technical Skills"], k))
+    rows = _after(spark, [r[0] for r in fixtures.HEADINGS], _table(spark, sf_dir, "customer").select(k.alias("id"), raw.alias("raw")))
+    return rows.select("id", sections.heading_of(F.col("raw"))["section"].alias("section"))
 
 
 def vocab_coverage(spark, sf_dir):
@@ -208,9 +238,11 @@ def vocab_coverage(spark, sf_dir):
 
 
 def skill_recognition(spark, sf_dir):
-    """Skills of requirement texts."""
-    rows = _literal(spark, [(r[0],) for r in fixtures.SKILL_TEXTS], "raw string")
-    return rows.select("raw", F.array_join(text.skills_in(F.col("raw")), ",").alias("skills"))
+    """Skills of requirement texts: literal ones, then one for each part, with two names as people write them."""
+    k = F.col("p_partkey")
+    raw = F.concat(F.lit("Pythonic teamwork for a "), F.col("p_name"), F.lit(": "), _pick(list(WRITTEN), k), F.lit(", "), _pick(list(WRITTEN_TOO), k), F.lit("."))
+    rows = _after(spark, [r[0] for r in fixtures.SKILL_TEXTS], _table(spark, sf_dir, "part").select(k.alias("id"), raw.alias("raw")))
+    return rows.select("id", F.array_join(text.skills_in(F.col("raw")), ",").alias("skills"))
 
 
 def matched_missing(spark, sf_dir):
@@ -294,29 +326,41 @@ def flatten_export(spark, sf_dir):
     return export.flat(t, "row_id").withColumn("value", export.safe_cell(F.col("value")))
 
 
+def _pages(spark, sf_dir, lines: list[tuple]) -> DataFrame:
+    """The literal ``lines`` as a document of each supplier."""
+    return _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id")).crossJoin(F.broadcast(_literal(spark, lines, layout.BLOCKS.split(",", 1)[1])))
+
+
 def spatial_nearest(spark, sf_dir):
-    """language names and the level lines next to them."""
-    lines = _literal(spark, [(1, *r) for r in fixtures.LANGUAGE_LINES], layout.BLOCKS).withColumns({"part": F.lit(0), "section": F.lit("languages")})
-    return entries.by_document(lines, {"found": ("languages", entries.languages)}).select(F.inline("found"))
+    """language names and the level lines next to them; in documents of odd number the second column's level is further down and without a code."""
+    lines = _pages(spark, sf_dir, fixtures.LANGUAGE_LINES).withColumns({"part": F.lit(0), "section": F.lit("languages")})
+    odd = (F.col("doc_id") % 2 == 1) & (F.col("seq") == 3)
+    lines = lines.withColumns({"text": F.when(odd, "Fluent").otherwise(F.col("text")), "y0": F.col("y0") + F.when(odd, 3.0).otherwise(0.0), "y1": F.col("y1") + F.when(odd, 3.0).otherwise(0.0)})
+    return entries.by_document(lines, {"found": ("languages", entries.languages)}).select("doc_id", F.inline("found")).drop("source_text", "confidence")
 
 
 def reading_order(spark, sf_dir):
-    """Two columns between a title and a footer."""
-    out = layout.reading_order(_literal(spark, [(1, *r) for r in fixtures.TWO_COLUMNS], layout.BLOCKS), 600.0)
-    return out.select((F.col("seq") % 100_000).alias("place"), "text")
+    """Two columns between a title and a footer, on a page of each supplier that stands lower the larger its number."""
+    down = F.col("doc_id") % 50
+    lines = _pages(spark, sf_dir, fixtures.TWO_COLUMNS).withColumns({"y0": F.col("y0") + down, "y1": F.col("y1") + down, "text": F.concat("text", F.lit(" of "), F.col("doc_id").cast("string"))})
+    out = layout.reading_order(lines, 600.0)
+    return out.select("doc_id", (F.col("seq") % 100_000).alias("place"), "text")
 
 
 def hidden_lines(spark, sf_dir):
-    """Lines that a hidden span covers are gone."""
-    lines = _literal(spark, [(1, *r) for r in fixtures.TWO_COLUMNS], layout.BLOCKS)
-    hidden = _literal(spark, [(1, 1, "left 1", 40.4, 250.0, 103.0), (1, 1, "right 1", 42.0, 250.0, 103.0)], "doc_id long, page int, text string, x0 double, x1 double, y1 double")
-    return layout.visible(lines, hidden).select("text")
+    """Lines that a hidden span covers are gone: a left line in every third document, and none where the span lies further off."""
+    hidden = _literal(spark, [(1, "left 1", 40.4, 250.0, 103.0), (1, "right 1", 42.0, 250.0, 103.0)], "page int, text string, x0 double, x1 double, y1 double")
+    spans = _table(spark, sf_dir, "supplier").where("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("doc_id")).crossJoin(F.broadcast(hidden)).select("doc_id", "page", "text", "x0", "x1", "y1")
+    return layout.visible(_pages(spark, sf_dir, fixtures.TWO_COLUMNS), spans).select("doc_id", "text")
 
 
 def parsed_records(spark, sf_dir):
-    """a whole record from positioned lines."""
-    lines = _literal(spark, [(1, *r) for r in fixtures.RECORD_LINES], layout.BLOCKS)
-    links = _literal(spark, [(1, 1, "https://linkedin.com/in/alex", 0.0, 0.0, 1.0, 1.0)], sources.LINKS)
+    """a whole record from positioned lines, for each supplier with addresses of its own."""
+    own = F.when(F.col("seq") == 1, F.concat(F.lit("alex"), F.col("doc_id").cast("string"), F.lit("@example.com | +994 50 123 45 67"))).otherwise(F.col("text"))
+    lines = _pages(spark, sf_dir, fixtures.RECORD_LINES).withColumn("text", own)
+    k = F.col("s_suppkey")
+    at = [F.lit(x).alias(n) for n, x in (("x0", 0.0), ("y0", 0.0), ("x1", 1.0), ("y1", 1.0))]
+    links = _table(spark, sf_dir, "supplier").select(k.alias("doc_id"), F.lit(1).alias("page"), F.concat(F.lit("https://linkedin.com/in/alex"), k.cast("string")).alias("url"), *at)
     r = parse.parse(lines, links, F.to_date(F.lit(AS_OF)))
     p = F.col("personal_information")
     first = lambda c: F.get(c, F.lit(0))
@@ -335,9 +379,26 @@ def full_match(spark, sf_dir):
     return out.select("cv_id", "jd_id", "score", "verdict", "hard_skills_match", "tools_and_frameworks_match", "soft_skills_match", "skills_score", F.array_join("missing_skills", ",").alias("missing_skills"))
 
 
+def labelled_match(spark, sf_dir):
+    """The ten labelled pairs from requests to scores, every leaf and parent, against their labels."""
+    r = sources.requests(_literal(spark, fixtures.labelled_requests(), "pair_id int, cv_json string, job_description string"))
+    c = r.withColumn("cv_id", F.col("pair_id"))
+    jobs = r.select(F.col("pair_id").alias("jd_id"), F.col("job_description").alias("description"))
+    out = match.match(c, jobs, F.to_date(F.lit(AS_OF)), pairs=r.select(F.col("pair_id").alias("cv_id"), F.col("pair_id").alias("jd_id")))
+    labels = _literal(spark, [(p[0], p[-1]) for p in fixtures.LABELLED], "cv_id int, label int")
+    rows = evaluate.compared(out.join(F.broadcast(labels), "cv_id"), "score", "label")
+    parents = [f"{g}_score" for g in ("skills", "context", "experience", "education")]
+    return rows.select(F.col("cv_id").alias("pair_id"), *[n for _, n in matching.LEAVES], *parents, "score", "verdict", "absolute_delta", "aligned")
+
+
 def match_requests(spark, sf_dir):
-    """Requests in both forms, with what is wrong with them."""
-    r = sources.requests(_literal(spark, fixtures.REQUESTS, "pair_id int, cv_json string, job_description string"))
+    """Requests in both forms, with what is wrong with them: literal ones, then one for each customer."""
+    k, name, said = F.col("c_custkey"), F.col("c_name"), lambda *x: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in x])
+    cv = F.when(k % 4 == 0, said('{"summary": "', name, '", "skills": ["', F.col("c_mktsegment"), '", "SQL"], "experience": [{"position": "Dev"}, {"job_title": "Lead"}]}'))
+    cv = cv.when(k % 4 == 1, said('{"skills": {"technical": ["Go"], "soft_skills": ["', F.col("c_mktsegment"), '"]}, "professional_profile": {"professional_summary": {"value": "', name, '"}}}'))
+    cv = cv.when(k % 4 == 2, said('{"summary": "  ", "skills": []}')).otherwise(name)
+    made = _table(spark, sf_dir, "customer").select(k.cast("int").alias("pair_id"), cv.alias("cv_json"), F.when(k % 3 == 0, " -- ").otherwise(F.col("c_mktsegment")).alias("job_description"))
+    r = sources.requests(_literal(spark, [(-i, *r) for i, *r in fixtures.REQUESTS], "pair_id int, cv_json string, job_description string").unionByName(made))
     return r.select("pair_id", F.array_join("skills", ",").alias("skills"), F.array_join("soft_skills", ",").alias("soft_skills"), F.size("experience").alias("jobs"), "summary", F.array_join("errors", ";").alias("errors"))
 
 
@@ -348,7 +409,7 @@ def evidence_of_turns(spark, sf_dir):
     return e.select("doc_id", F.char_length("text").cast("long").alias("chars"), F.size("emails").cast("long").alias("emails"), F.size("urls").cast("long").alias("urls"))
 
 
-_QUERIES = [lexical_topk, clause_dedupe, clean_evidence, negation_filter, repetition_lines, contact_emails, phone_candidates, url_normalize, section_carry_forward, combined_reroute, entry_sessionize, name_candidate, instruction_cut, field_provenance, event_sessions, interval_union_years, recency_decay, partial_dates, order_dates, date_spans, durations, required_years, degree_levels, headings, vocab_coverage, skill_recognition, matched_missing, weights_rollup, guards_verdict, vector_topk, provenance_lookup, quality_metrics, insight_top2, lang_rollup, status_counts, flatten_export, spatial_nearest, reading_order, hidden_lines, parsed_records, full_match, match_requests, evidence_of_turns]
+_QUERIES = [lexical_topk, clause_dedupe, clean_evidence, negation_filter, repetition_lines, contact_emails, phone_candidates, url_normalize, section_carry_forward, combined_reroute, entry_sessionize, name_candidate, instruction_cut, field_provenance, event_sessions, interval_union_years, recency_decay, partial_dates, order_dates, date_spans, durations, required_years, degree_levels, headings, vocab_coverage, skill_recognition, matched_missing, weights_rollup, guards_verdict, vector_topk, provenance_lookup, quality_metrics, insight_top2, lang_rollup, status_counts, flatten_export, spatial_nearest, reading_order, hidden_lines, parsed_records, full_match, labelled_match, match_requests, evidence_of_turns]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -370,24 +431,46 @@ _STRIP = r"regexp_replace(c, '^[\t\n\x0B\f\r \x85\p{Z}]+|[\t\n\x0B\f\r \x85\p{Z}
 
 
 def oracle_sql() -> dict[str, str]:
-    lit = {
-        "partial_dates": _values(fixtures.PARTIAL_DATES, "raw, value"),
-        "date_spans": _values(fixtures.SPANS, "raw, start_date, end_date, current"),
-        "durations": _values([(i, r[3]) for i, r in enumerate(fixtures.DURATIONS)], "id, duration"),
-        "required_years": _values(fixtures.YEARS, "raw, years").replace("*", "raw, CAST(years AS DOUBLE) AS years", 1),
-        "degree_levels": _values(fixtures.DEGREES, "raw, named, needed"),
-        "headings": _values(fixtures.HEADINGS, "raw, section"),
-        "skill_recognition": _values(fixtures.SKILL_TEXTS, "raw, skills"),
-        "spatial_nearest": _values(fixtures.LANGUAGES, "language, proficiency, cefr_level"),
-        "reading_order": _values(enumerate(fixtures.TWO_COLUMNS_READ), "place, text"),
-        "hidden_lines": _values([(t,) for t in fixtures.TWO_COLUMNS_READ if t != "left 1"], "text"),
-        "parsed_records": _values([fixtures.RECORD], ", ".join(fixtures.RECORD_COLUMNS)),
-        "match_requests": _values(fixtures.REQUESTS_READ, "pair_id, skills, soft_skills, jobs, summary, errors"),
+    lit = {"partial_dates": _values(fixtures.PARTIAL_DATES, "raw, value")}
+    before = lambda rows, columns, made: f"{_values([(-1 - i, *r) for i, r in enumerate(rows)], columns)} UNION ALL {made}"
+    pick = lambda words, key: "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + f"][{key} % {len(words)} + 1]"
+    d = "CAST(o_orderdate AS DATE)"
+    parts = "floor(m / 12)::INT AS y, (m % 12)::INT AS r"
+    pages = lambda rows, columns: f"supplier, ({_values(rows, columns)})"
+    title = r"string_split_regex(lower(t), '[^\p{L}\p{N}_+#.]+')"
+    words = rf"list_filter(list_transform({title}, lambda x: regexp_replace(x, '^[^\p{{L}}\p{{N}}_]+', '')), lambda x: x <> '')"
+    weighted = lambda leaves: "coalesce(round((" + " + ".join(f"coalesce({n} * {w}::DOUBLE, 0)" for n, w in leaves.items()) + ") / (" + " + ".join(f"CASE WHEN {n} IS NULL THEN 0 ELSE {w}::DOUBLE END" for n, w in leaves.items()) + "), 2), 0)"
+    on = lambda leaves: "CASE WHEN coalesce(" + ", ".join(leaves) + ") IS NULL THEN 0 ELSE 1 END"
+    lit |= {
+        "date_spans": before([r[1:] for r in fixtures.SPANS], "id, start_date, end_date, current", f"SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 1 THEN strftime({d}, '%Y') WHEN o_orderkey % 4 <> 2 THEN strftime({d}, '%Y-%m') END, CASE o_orderkey % 4 WHEN 0 THEN strftime({d} + 200, '%Y-%m') WHEN 3 THEN strftime({d} + INTERVAL 5 MONTH, '%Y-%m') END, o_orderkey % 4 = 1 FROM orders"),
+        "durations": before([r[3:] for r in fixtures.DURATIONS], "id, duration", f"SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN CASE WHEN {d} + (o_orderkey % 27 + 1)::INT >= {d} + INTERVAL 1 MONTH AND day({d}) <= day({d} + (o_orderkey % 27 + 1)::INT) THEN '1 mo' ELSE (o_orderkey % 27 + 1) || ' day' || CASE WHEN o_orderkey % 27 = 0 THEN '' ELSE 's' END END WHEN m = 0 THEN 'Less than 1 month' ELSE concat_ws(' ', CASE WHEN y > 0 THEN y || ' yr' || CASE WHEN y > 1 THEN 's' ELSE '' END END, CASE WHEN r > 0 THEN r || ' mo' || CASE WHEN r > 1 THEN 's' ELSE '' END END) END FROM (SELECT *, o_orderkey % 40 AS m, {parts} FROM orders)"),
+        "required_years": before([r[1:] for r in fixtures.YEARS], "id, years", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN o_orderkey % 9 + 1 WHEN 1 THEN (o_orderkey % 11 + 1) / 12.0::DOUBLE WHEN 3 THEN greatest(o_orderkey % 5, o_orderkey % 7) + 1 END::DOUBLE FROM orders").replace("*", "id, CAST(years AS DOUBLE) AS years", 1),
+        "degree_levels": before([r[1:] for r in fixtures.DEGREES], "id, named, needed", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 5 ELSE c_custkey % 5 + 1 END, CASE WHEN c_custkey % 2 = 0 THEN c_custkey % 5 + 1 END FROM customer"),
+        "headings": before([r[1:] for r in fixtures.HEADINGS], "id, section", f"SELECT c_custkey, CASE WHEN c_custkey % 5 > 1 THEN {pick(['work_experience', 'education', 'work_experience', 'skills'], 'c_custkey')} END FROM customer"),
+        "skill_recognition": before([r[1:] for r in fixtures.SKILL_TEXTS], "id, skills", f"SELECT p_partkey, array_to_string(list_sort([{pick(WRITTEN.values(), 'p_partkey')}, {pick(WRITTEN_TOO.values(), 'p_partkey')}]), ',') FROM part"),
+        "spatial_nearest": f"SELECT s_suppkey AS doc_id, language, CASE WHEN language = 'Russian' AND s_suppkey % 2 = 1 THEN 'Fluent' ELSE proficiency END AS proficiency, CASE WHEN language <> 'Russian' OR s_suppkey % 2 = 0 THEN cefr_level END AS cefr_level FROM {pages(fixtures.LANGUAGES, 'language, proficiency, cefr_level')}",
+        "reading_order": f"SELECT s_suppkey AS doc_id, place, text || ' of ' || s_suppkey AS text FROM {pages(enumerate(fixtures.TWO_COLUMNS_READ), 'place, text')}",
+        "hidden_lines": f"SELECT s_suppkey AS doc_id, text FROM {pages([(t,) for t in fixtures.TWO_COLUMNS_READ], 'text')} WHERE text <> 'left 1' OR s_suppkey % 3 <> 0",
+        "parsed_records": f"SELECT r.* REPLACE (s_suppkey AS doc_id, 'alex' || s_suppkey || '@example.com' AS email, 'https://linkedin.com/in/alex' || s_suppkey AS linkedin) FROM supplier, ({_values([fixtures.RECORD], ', '.join(fixtures.RECORD_COLUMNS))}) r",
+        "match_requests": _values([(-i, *r) for i, *r in fixtures.REQUESTS_READ], "pair_id, skills, soft_skills, jobs, summary, errors") + " UNION ALL SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN c_mktsegment || ',SQL' WHEN 1 THEN 'Go' ELSE '' END, CASE WHEN c_custkey % 4 = 1 THEN c_mktsegment ELSE '' END, CASE WHEN c_custkey % 4 = 0 THEN 2 ELSE 0 END, CASE WHEN c_custkey % 4 < 2 THEN c_name WHEN c_custkey % 4 = 2 THEN '  ' ELSE '' END, concat_ws(';', CASE WHEN c_custkey % 4 = 3 THEN 'candidate is not an object' END, CASE WHEN c_custkey % 3 = 0 THEN 'requirement has no words' END, CASE WHEN c_custkey % 4 > 1 THEN 'candidate has no evidence' END) FROM customer",
+        "labelled_match": rf"""
+WITH p AS ({_values([(p[0], p[3], p[6], p[10], p[11]) for p in fixtures.LABELLED], "pair_id, duties, since, asked, label")}),
+l AS ({_values(fixtures.LABELLED_LEAVES, "pair_id, hard, tool, soft, domain, need, counts, title, degree, field, cert, has")}),
+x AS (SELECT *, regexp_replace(regexp_replace(asked, 'Required skills: [^;]*; ', ''), ' Minimum .*$', '') AS context FROM p JOIN l USING (pair_id)),
+t AS (SELECT pair_id, 'a' AS side, duties AS t FROM x UNION ALL SELECT pair_id, 'b', context FROM x),
+w AS (SELECT pair_id, side, {words} AS w FROM t),
+c AS (SELECT pair_id, side, term, 1 + ln(count(*)) AS w FROM (SELECT pair_id, side, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w) GROUP BY ALL),
+s AS (SELECT pair_id, sum(a * b) AS ab, sum(CASE WHEN b IS NULL THEN {lexical.ALONE**2!r} ELSE 1 END * a * a) AS na, sum(CASE WHEN a IS NULL THEN {lexical.ALONE**2!r} ELSE 1 END * b * b) AS nb FROM (SELECT pair_id, term, max(w) FILTER (side = 'a') AS a, max(w) FILTER (side = 'b') AS b FROM c GROUP BY ALL) GROUP BY pair_id),
+v AS (SELECT *, round(100 * coalesce(ab, 0) / sqrt(na * nb), 2) AS summary, CASE WHEN counts THEN round(100 * coalesce(ab, 0) / sqrt(na * nb), 2) ELSE 0 END AS resp, CASE WHEN counts THEN round(least(100.0::DOUBLE, 100 * ((DATE '{AS_OF}' - CAST(since AS DATE)) / 365.2425::DOUBLE) / need), 2) ELSE 0 END AS years, CASE WHEN counts THEN 100 ELSE 0 END AS recent FROM x JOIN s USING (pair_id)),
+g AS (SELECT *, {weighted({"hard": 0.5, "tool": 0.3, "soft": 0.2})} AS skills_score, {weighted({"domain": 0.3, "resp": 0.5, "summary": 0.2})} AS context_score, {weighted({"years": 0.6, "title": 0.25, "recent": 0.15})} AS experience_score, {weighted({"degree": 0.6, "field": 0.25, "cert": 0.15})} AS education_score, {on(("hard", "tool", "soft"))} AS k FROM v),
+r AS (SELECT *, round((skills_score * 0.4 * k + context_score * 0.3 + experience_score * 0.2 + education_score * 0.1)::DOUBLE / (0.4 * k + 0.6)::DOUBLE, 2) AS raw FROM g),
+f AS (SELECT *, round(CASE WHEN has THEN raw ELSE least(raw, 9, context_score * 0.09::DOUBLE) END, 2) AS score FROM r)
+SELECT pair_id, coalesce(hard, 0)::DOUBLE AS hard_skills_match, coalesce(tool, 0)::DOUBLE AS tools_and_frameworks_match, coalesce(soft, 0)::DOUBLE AS soft_skills_match, domain::DOUBLE AS domain_relevance, resp AS responsibilities_match, summary AS summary_alignment, years AS years_of_experience_fit, title::DOUBLE AS title_seniority_match, recent::DOUBLE AS recency_factor, degree::DOUBLE AS degree_level_fit, field::DOUBLE AS field_of_study_relevance, coalesce(cert, 0)::DOUBLE AS certifications_match, skills_score, context_score, experience_score, education_score, score, CASE WHEN score >= 80 THEN 'Highly Suitable' WHEN score >= 60 THEN 'Suitable' WHEN score >= 40 THEN 'Partially Suitable' ELSE 'Low Compatibility' END AS verdict, round(abs(score - label), 2) AS absolute_delta, round(abs(score - label), 2) <= 10 AS aligned FROM f""",
     }
     return lit | {
         "lexical_topk": rf"""
-WITH t AS (SELECT 'd' AS side, doc_id AS id, list_filter(list_transform(string_split_regex(lower(coalesce(text, '')), '[^\p{{L}}\p{{M}}\p{{N}}_+#.]+'), lambda x: regexp_replace(x, '^[^\p{{L}}\p{{M}}\p{{N}}_]+', '')), lambda x: x <> '') AS w FROM documents
-  UNION ALL SELECT 'b', item_id, list_filter(list_transform(string_split_regex(lower(coalesce(text, '')), '[^\p{{L}}\p{{M}}\p{{N}}_+#.]+'), lambda x: regexp_replace(x, '^[^\p{{L}}\p{{M}}\p{{N}}_]+', '')), lambda x: x <> '') FROM benchmark),
+WITH t AS (SELECT 'd' AS side, doc_id AS id, list_filter(list_transform(string_split_regex(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}_+#.]+'), lambda x: regexp_replace(x, '^[^\p{{L}}\p{{N}}_]+', '')), lambda x: x <> '') AS w FROM documents
+  UNION ALL SELECT 'b', item_id, list_filter(list_transform(string_split_regex(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}_+#.]+'), lambda x: regexp_replace(x, '^[^\p{{L}}\p{{N}}_]+', '')), lambda x: x <> '') FROM benchmark),
 g AS (SELECT side, id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM t),
 c AS (SELECT side, id, term, 1 + ln(count(*)) AS w FROM g GROUP BY ALL),
 n AS (SELECT side, id, sum(w * w) AS n FROM c GROUP BY ALL),
