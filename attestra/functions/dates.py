@@ -5,16 +5,13 @@ A partial date is the text YYYY, YYYY-MM or YYYY-MM-DD.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from attestra.functions import vocabulary as v
-from attestra.functions.text import ANY_CASE, let, lookup, strip
-
-
-def _day(y: Column, m: Column, d: Column) -> Column:
-    """The date of three numbers in text, null if there is no such day."""
-    return F.try_to_date(F.concat_ws("-", F.lpad(y, 4, "0"), F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
+from attestra.functions.text import ANY_CASE, apply, let, said, strip
 
 
 def is_current(text: Column) -> Column:
@@ -27,33 +24,44 @@ def partial_date(text: Column) -> Column:
     With both numbers up to 12 and different, day and month can't be told apart. Month names are
     Azerbaijani, English, Turkish or Russian. Other ways to write dates are not read.
     """
-    return let(F.lower(strip(F.coalesce(text, F.lit("")))), _partial)
-
-
-def _partial(t: Column) -> Column:
-    g = lambda p, i: F.regexp_extract(t, p, i)
-    short = r"^(\d{1,2})\.(\d{1,2})[.-](\d{2})$"
-    year2 = g(short, 3).try_cast("int") + F.when(g(short, 3).try_cast("int") < 50, 2000).otherwise(1900)
-    triple = r"^(\d{1,2})[/.](\d{1,2})[/.](\d{4})$"
-    a, b = g(triple, 1).try_cast("int"), g(triple, 2).try_cast("int")
-    day, month = F.when(a > 12, g(triple, 1)).otherwise(g(triple, 2)), F.when(a > 12, g(triple, 2)).otherwise(g(triple, 1))
-    iso = r"^(\d{4})[-/.](\d{1,2})(?:[-/.](\d{1,2}))?$"
-    month_year = r"^(\d{1,2})[/.](\d{4})$"
-    named = rf"{ANY_CASE}^(?:(\d{{1,2}})\s+)?({v.MONTH})\s+(\d{{4}})$"
+    return apply(_partial(), F.lower(strip(F.coalesce(text, F.lit("")))))
+
+
+@functools.cache
+def _partial() -> str:
+    def group(pattern: str, i: int) -> str:
+        return f"regexp_extract(t, {said(pattern)}, {i})"
+
+    def is_like(pattern: str) -> str:
+        return f"t RLIKE {said(pattern)}"
+
+    def day(y: str, m: str, d: str, size: int = 10) -> str:
+        """A day as text, or its month; null if there is no such day."""
+        return f"substring(CAST(try_to_date(concat_ws('-', lpad({y}, 4, '0'), lpad({m}, 2, '0'), lpad({d}, 2, '0')), 'yyyy-MM-dd') AS STRING), 1, {size})"
+
+    short, triple, month_year = r"^(\d{1,2})\.(\d{1,2})[.-](\d{2})$", r"^(\d{1,2})[/.](\d{1,2})[/.](\d{4})$", r"^(\d{1,2})[/.](\d{4})$"
+    iso, named = r"^(\d{4})[-/.](\d{1,2})(?:[-/.](\d{1,2}))?$", rf"{ANY_CASE}^(?:(\d{{1,2}})\s+)?({v.MONTH})\s+(\d{{4}})$"
+    two = f"try_cast({group(short, 3)} AS INT)"
+    year = f"CAST({two} + CASE WHEN {two} < 50 THEN 2000 ELSE 1900 END AS STRING)"
+    a, b = f"try_cast({group(triple, 1)} AS INT)", f"try_cast({group(triple, 2)} AS INT)"
     starts = {(w[:4] if w.startswith("iyu") else w[:3]): n for n, words in v.MONTH_STARTS.items() for w in words}
-    table = lookup({k: str(n) for k, n in starts.items()})
-    number = F.coalesce(F.try_element_at(table, F.substring(g(named, 2), 1, 4)), F.try_element_at(table, F.substring(g(named, 2), 1, 3)))
-    full = lambda d: d.cast("string")
-    to_month = lambda d: F.substring(d.cast("string"), 1, 7)
-    return (
-        F.when(t.rlike(short), full(_day(year2.cast("string"), g(short, 2), g(short, 1))))
-        .when(is_current(t) | ~t.rlike(r"(?U)\b(?:19|20)\d{2}\b"), None)
-        .when(t.rlike(r"^(?:19|20)\d{2}$"), t)
-        .when(t.rlike(triple), F.when((a <= 12) & (b <= 12) & (a != b), None).otherwise(full(_day(g(triple, 3), month, day))))
-        .when(t.rlike(iso), F.when(g(iso, 3) != "", full(_day(g(iso, 1), g(iso, 2), g(iso, 3)))).otherwise(to_month(_day(g(iso, 1), g(iso, 2), F.lit("1")))))
-        .when(t.rlike(month_year), to_month(_day(g(month_year, 2), g(month_year, 1), F.lit("1"))))
-        .when(t.rlike(named), F.when(g(named, 1) != "", full(_day(g(named, 3), number, g(named, 1)))).otherwise(to_month(_day(g(named, 3), number, F.lit("1")))))
-    )
+    numbers = "map(" + ", ".join(f"{said(k)}, '{n}'" for k, n in starts.items()) + ")"
+    month = "coalesce(" + ", ".join(f"try_element_at({numbers}, substring({group(named, 2)}, 1, {n}))" for n in (4, 3)) + ")"
+    cases = [
+        (is_like(short), day(year, group(short, 2), group(short, 1))),
+        (is_like(ANY_CASE + "^" + v.CURRENT + "$"), "NULL"),
+        ("NOT " + is_like(r"(?U)\b(?:19|20)\d{2}\b"), "NULL"),
+        (is_like(r"^(?:19|20)\d{2}$"), "t"),
+        (f"{is_like(triple)} AND {a} <= 12 AND {b} <= 12 AND {a} <> {b}", "NULL"),
+        (f"{is_like(triple)} AND {a} > 12", day(group(triple, 3), group(triple, 2), group(triple, 1))),
+        (is_like(triple), day(group(triple, 3), group(triple, 1), group(triple, 2))),
+        (f"{is_like(iso)} AND {group(iso, 3)} <> ''", day(group(iso, 1), group(iso, 2), group(iso, 3))),
+        (is_like(iso), day(group(iso, 1), group(iso, 2), "'1'", 7)),
+        (is_like(month_year), day(group(month_year, 2), group(month_year, 1), "'1'", 7)),
+        (f"{is_like(named)} AND {group(named, 1)} <> ''", day(group(named, 3), month, group(named, 1))),
+        (is_like(named), day(group(named, 3), month, "'1'", 7)),
+    ]
+    return "t -> CASE " + " ".join(f"WHEN {c} THEN {x}" for c, x in cases) + " END"
 
 
 def span(text: Column) -> Column:

@@ -21,6 +21,7 @@ ANY_CASE, UNICODE = "(?iuU)", "(?U)"
 #: Line ends as text files have them beyond the line feed.
 LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85  ]"
 CLAUSE_END = r"(?U)[;\n]+|(?<=[.!?])\s+"
+BLANK_ENDS, NO_WORD, FORMAT = r"(?U)^\s+|\s+$", r"(?U)\W+", r"\p{Cf}"
 
 
 @pandas_udf(StringType())
@@ -52,7 +53,7 @@ def composed_form(text: pd.Series) -> pd.Series:
 
 def strip(text: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(text, BLANK_ENDS, "")
 
 
 def let(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -60,10 +61,28 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
+def said(x: str) -> str:
+    """A string as SQL text."""
+    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def bind(value: str, name: str, body: str) -> str:
+    """SQL text of ``body`` where ``name`` stands for a value that is made once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def apply(function: str, value: Column) -> Column:
+    """What a lambda in SQL text gives for a column.
+
+    Functions that plans use many times are written so, as text is parsed at once, while each operation on columns
+    is a call from Python to the JVM.
+    """
+    return F.get(F.call_function("transform", F.array(value), F.expr(function)), F.lit(0))
+
+
 def lookup(table: dict[str, str]) -> Column:
     """A map column of fixed entries, as one expression."""
-    quoted = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    return F.expr("map(" + ", ".join(f"{quoted(k)}, {quoted(x)}" for k, x in table.items()) + ")")
+    return F.expr("map(" + ", ".join(f"{said(k)}, {said(x)}" for k, x in table.items()) + ")")
 
 
 def fold(text: Column) -> Column:
@@ -95,7 +114,7 @@ def clauses(text: Column) -> Column:
 
 def stuffed(line: Column, least: int = 40, share: float = 0.18) -> Column:
     """Whether a line of ``least`` words or more, without an end mark, has fewer different words than that share of them."""
-    words = F.array_remove(F.split(F.lower(line), r"(?U)\W+"), "")
+    words = F.array_remove(F.split(F.lower(line), NO_WORD), "")
     return let(words, lambda w: (F.size(w) >= least) & (F.size(F.array_distinct(w)) < F.size(w) * share)) & ~line.rlike("[.!?]")
 
 
@@ -106,23 +125,18 @@ def clean(text: Column) -> Column:
     mostly the same few, without an end mark, goes; clauses are stripped and the first of equal ones
     stays. ``changed`` tells whether any of that took something away. Null counts as empty.
     """
-    plain = F.regexp_replace(F.coalesce(text, F.lit("")), r"\p{Cf}", "")
-    marker = ANY_CASE + "(?:" + v.INSTRUCTION + ")"
-
-    def cut(line: Column) -> Column:
-        told = line.rlike(marker)
-        return let(F.struct(F.when(told, strip(F.get(F.split(line, marker, 2), F.lit(0)))).otherwise(line).alias("text"), told.alias("told")), thin)
+    return apply(_clean(), text)
 
-    def thin(x: Column) -> Column:
-        return let(stuffed(x["text"]), lambda s: F.struct(F.when(~s, x["text"]).alias("text"), (x["told"] | s).alias("changed")))
 
-    def whole(lines: Column) -> Column:
-        kept = F.array_join(F.transform(lines, lambda x: x["text"]), "\n")
-        pieces = F.filter(F.transform(clauses(kept), strip), lambda c: c != "")
-        taken = F.exists(lines, lambda x: x["changed"])
-        return let(pieces, lambda p: F.struct(F.array_join(F.array_distinct(p), "\n").alias("text"), (taken | (F.size(F.array_distinct(p)) != F.size(p))).alias("changed")))
-
-    return let(F.transform(F.split(plain, LINE_END), cut), whole)
+@functools.cache
+def _clean() -> str:
+    strip, marker, end = said(BLANK_ENDS), said(ANY_CASE + "(?:" + v.INSTRUCTION + ")"), said("\n")
+    many = bind(f"array_remove(split(lower(y.text), {said(NO_WORD)}), '')", "w", "size(w) >= 40 AND size(array_distinct(w)) < size(w) * 0.18D")
+    thin = bind(f"({many}) AND NOT y.text RLIKE '[.!?]'", "s", "named_struct('text', CASE WHEN NOT s THEN y.text END, 'changed', y.told OR s)")
+    cut = bind(f"named_struct('text', CASE WHEN line RLIKE {marker} THEN regexp_replace(get(split(line, {marker}, 2), 0), {strip}, '') ELSE line END, 'told', line RLIKE {marker})", "y", thin)
+    pieces = f"filter(transform(split(array_join(transform(lines, z -> z.text), {end}), {said(CLAUSE_END)}), c -> regexp_replace(c, {strip}, '')), c -> c <> '')"
+    whole = bind(pieces, "p", f"named_struct('text', array_join(array_distinct(p), {end}), 'changed', exists(lines, z -> z.changed) OR size(array_distinct(p)) <> size(p))")
+    return "x -> " + bind(f"transform(split(regexp_replace(coalesce(x, ''), {said(FORMAT)}, ''), {said(LINE_END)}), line -> {cut})", "lines", whole)
 
 
 def positive(text: Column) -> Column:
@@ -149,7 +163,8 @@ def contextual(text: Column) -> Column:
 
 def recognised(text: Column, vocabulary: dict[str, str]) -> Column:
     """The sorted keys whose pattern occurs between word ends, in any case."""
-    return let(text, lambda t: F.array_compact(F.array(*[F.when(t.rlike(rf"{ANY_CASE}\b(?:{p})\b"), F.lit(k)) for k, p in sorted(vocabulary.items())])))
+    found = ", ".join(f"CASE WHEN t RLIKE {said(rf'{ANY_CASE}\b(?:{p})\b')} THEN {said(k)} END" for k, p in sorted(vocabulary.items()))
+    return apply(f"t -> array_compact(array({found}))", text)
 
 
 def quoted(phrase: Column) -> Column:
