@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attestra.functions.contact import decoded_uri
@@ -72,9 +72,10 @@ def pdf_lines(files: DataFrame) -> DataFrame:
 
 
 def links(raw: DataFrame) -> DataFrame:
-    """Link annotations with decoded addresses; of one address in a document the first stays."""
+    """Link annotations with decoded addresses; of one address in a document the first by page and place stays."""
     out = raw.withColumn("url", F.when(F.col("url").rlike(r"^[(<]"), decoded_uri(F.col("url"))).otherwise(F.col("url"))).where("url is not null")
-    return out.dropDuplicates(["doc_id", "url"])
+    first = Window.partitionBy("doc_id", "url").orderBy("page", "y0", "x0", "y1", "x1")
+    return out.withColumn("nth_", F.row_number().over(first)).where("nth_ = 1").drop("nth_")
 
 
 def ruled_table(cells: Column) -> Column:

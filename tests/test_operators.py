@@ -354,3 +354,25 @@ def test_hooks_that_nothing_reads_are_refused():
     for name in ("pdf_links", "ocr_lines", "person_names", "embeddings", "rerank", "suggestions", "other"):
         with pytest.raises(ValueError):
             sources.register_hook(name, lambda batches: batches)
+
+
+def test_first_link_stays(spark):
+    rows = [(1, 2, "https://a.org", 0.0, 5.0, 1.0, 6.0), (1, 1, "https://a.org", 3.0, 9.0, 4.0, 10.0), (1, 1, "https://a.org", 0.0, 9.0, 1.0, 10.0), (2, 1, None, 0.0, 0.0, 1.0, 1.0), (2, 7, "https://a.org", 0.0, 0.0, 1.0, 1.0)]
+    got = sources.links(spark.createDataFrame(rows, sources.LINKS)).collect()
+    assert sorted((r["doc_id"], r["page"], r["x0"]) for r in got) == [(1, 1, 0.0), (2, 7, 0.0)]
+
+
+def test_words_are_the_same_for_joins_and_rows(spark):
+    """Combining marks part words, dots, plus and hash don't; a term may repeat, and a text may have no word."""
+    texts = ["cafe\u0301 c++ .net c#. a.b", "caf\xe9 C++ x² _y", "cafe e\u0301 c++", "", "?!", "\u0939\u093f\u0928\u094d c++"]
+    a = spark.createDataFrame(list(enumerate(texts)), "a long, t string")
+    b = spark.createDataFrame(list(enumerate(texts)), "b long, t string")
+    got = {(r["a"], r["b"]): r["similarity"] for r in lexical.pair_similarity(a, "a", "t", b, "b", "t").collect()}
+    for i, x in enumerate(texts):
+        for j, y in enumerate(texts):
+            assert got.get((i, j), 0.0) == pytest.approx(lexical._plain(x, y), abs=1e-9)
+
+
+def test_clean_is_bound_once():
+    """The lambdas of text and date functions are text, so that a plan parses each of them with one call."""
+    assert text._clean() is text._clean() and dates._partial() is dates._partial()
